@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import chat, licences, sharding
+from tidewright.llm import chat, licences, secrets, sharding
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": lambda spark, sf: chat.query(table(spark, sf, "conversations")),
         "op2_sharding": lambda spark, sf: sharding.shard_documents(table(spark, sf, "documents")),
+        "op3_secret_scan": lambda spark, sf: secrets.secret_digests(table(spark, sf, "documents")),
         "op4_license_scan": lambda spark, sf: licences.find_licences(table(spark, sf, "documents"), licences.known_licences(spark)),
     }
 
