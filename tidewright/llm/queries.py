@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import chat, licences, quality, secrets, sharding
+from tidewright.llm import chat, decontaminate, licences, quality, secrets, sharding
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_secret_scan": lambda spark, sf: secrets.secret_digests(table(spark, sf, "documents")),
         "op4_license_scan": lambda spark, sf: licences.find_licences(table(spark, sf, "documents"), licences.known_licences(spark)),
         "op5_quality_rules": lambda spark, sf: quality.judge_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
+        "op6_decontamination": lambda spark, sf: decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     }
 
 
