@@ -1,11 +1,64 @@
-"""Corpus pipeline over documents."""
+"""Corpus pipeline over documents: quality, near-duplicates, benchmark passages, secrets, pieces.
 
-STAGES = []
+Each stage takes what its predecessor kept and returns the columns of documents; the last adds
+pieces and n_pieces. SQL cannot express the stages, so ORACLE_SQL is None and the tests hold run()
+against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.llm import decontaminate, near_dup, pieces, quality, secrets
+from tidewright.llm.common import table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dup.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents into which no benchmark item leaked."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts and n_chars counted anew where a text changed."""
+    scanned = docs.withColumn("__tw_scan", secrets.scan_column(F.col("text")))
+    found = F.size("__tw_scan.spans") > 0
+    text = F.when(found, F.col("__tw_scan.redacted")).otherwise(F.col("text"))
+    scanned = scanned.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        scanned = scanned.withColumn("n_chars", F.when(found, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return scanned.select(*docs.columns)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the ids of their pieces."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-dedup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret scan", secrets_stage),
+    ("sentencepiece", pieces_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents of sf_dir, one after the other."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
