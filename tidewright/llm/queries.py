@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import chat, decontaminate, html, licences, near_dup, pieces, quality, secrets, sharding
+from tidewright.llm import chat, decontaminate, html, licences, lm, near_dup, pieces, quality, secrets, sharding
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_license_scan": lambda spark, sf: licences.find_licences(table(spark, sf, "documents"), licences.known_licences(spark)),
         "op5_quality_rules": lambda spark, sf: quality.judge_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op6_decontamination": lambda spark, sf: decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
+        "op7_lm_scoring": lambda spark, sf: lm.score_documents(table(spark, sf, "documents")),
         "op8_sentencepiece": lambda spark, sf: pieces.encoded_digests(table(spark, sf, "documents")),
         "op9_html_extraction": lambda spark, sf: html.extract_pages(table(spark, sf, "pages")),
         "op10_near_dup": lambda spark, sf: near_dup.near_duplicates(table(spark, sf, "documents")),
