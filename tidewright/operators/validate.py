@@ -140,7 +140,7 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
 
     A pair comes out of an aggregate, so there are never more than groups; the distinct masks are few.
     """
-    row = F.struct(F.col(tid).alias("t"), F.array(*[F.col(c) for c in columns]).alias("v"))
+    row = F.struct(F.col(tid).alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
     plans, ods = [], sorted(set(ods))
     bounds = range_bounds(df, [columns[od.key.left] for od in ods if not od.key.constant])
     for od in ods:
@@ -153,7 +153,7 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
             b, p = columns[key.right], "top" if key.same else "low"
             groups = swap_groups(df, _names(columns, od.context), columns[key.left], [(b, key.same)], row, bounds)
             pairs = groups.where(swap_condition(b, key.same, ".b")).select(F.col(f"{p}_{b}.w").alias("w"), F.col(f"{'lo' if key.same else 'hi'}_{b}.w").alias("z"))
-        bits = [F.when(F.col("w.v")[i] != F.col("z.v")[i], F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(columns)) if not key.mask >> i & 1]
+        bits = [F.when(F.col(f"w.v{i}") != F.col(f"z.v{i}"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(columns)) if not key.mask >> i & 1]
         mask = reduce(Column.__add__, bits, F.lit(0)).cast("long")
         found = pairs.groupBy(mask.alias("mask")).agg(F.min(F.struct(F.col("w.t").alias("t1"), F.col("z.t").alias("t2"))).alias("p"))
         plans.append(found.select(F.lit(key.left).alias("left"), F.lit(key.right).alias("right"), F.lit(key.same).alias("same"), "mask", F.col("p.t1").cast("long").alias("t1"), F.col("p.t2").cast("long").alias("t2")))
