@@ -11,8 +11,10 @@ probability. Points after the time by which all registers are filled are never m
 Bands of registers give buckets. Copies (equal shingle sequences) share one representative. In each
 bucket every representative is compared with the bucket's two pivots (least and greatest id); after the
 components of the links found so far are known, only members of buckets that still hold several
-components are compared further. Comparison estimates from signatures and confirms on whole texts.
-No task, group or the driver ever holds all rows of a bucket or component.
+components are compared further: such buckets that share documents form a family, which is dealt into
+blocks of BLOCK documents, and each pair of blocks is compared in one task, which returns links alone.
+Comparison estimates from signatures and confirms on whole texts. No task, group or the driver ever
+holds all rows of a bucket, family or component.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ ESTIMATE = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
 #: Documents in pairs up to so many are picked from the corpus by a broadcast of their ids; beyond, by a shuffle.
 BROADCAST_IDS = 500_000
 CHUNK = 2_000_000  # bytes
+BLOCK = 800  # documents of a block on average; a task holds two blocks, and a document is read once for each block of its family
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -218,6 +221,45 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.where(fit).where(same >= ESTIMATE * REGISTERS).select("a", "b")
 
 
+def _compare(table: pa.Table) -> pa.Table:
+    """The links between two blocks (block: of each row; one block with itself if there is one) of different components."""
+    size = table.num_rows
+    texts = table.column("text").combine_chunks()
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    hashes = [np.unique(h, return_counts=True) for h in shingles(texts)]
+    ids, component, block, weight = (table.column(c).to_numpy() for c in ("id", "component", "block", "weight"))
+    marks = np.array(table.column("marks").to_pylist(), np.int16).reshape(size, REGISTERS)
+    one_block = len(np.unique(block)) < 2
+    out: list[tuple[int, int, float]] = []
+    for i in range(size):
+        fit = (np.minimum(weight, weight[i]) >= SIMILARITY * np.maximum(weight, weight[i])) & (component != component[i])
+        fit &= (np.arange(size) > i) if one_block else (block > block[i])
+        at = np.flatnonzero(fit)
+        at = at[(marks[at] == marks[i]).sum(1) >= ESTIMATE * REGISTERS]
+        for j in at:
+            (a, n), (b, m) = hashes[i], hashes[j]
+            k = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            both = int(np.minimum(n, m[k])[b[k] == a].sum())
+            found = both / (weight[i] + weight[j] - both)
+            if found >= SIMILARITY:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), found))
+    return pa.Table.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(_LINKED.types)], schema=_LINKED)
+
+
+def _links_of_families(open_rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between documents of open buckets (rows: id, component, and the least id of a bucket) in other components."""
+    family = components(open_rows.select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    docs = checkpointed(open_rows.select("id", "component").distinct().join(family, "id"))
+    sizes = docs.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = docs.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("id", "component", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("id", "component", "family", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    ids = docs.select("id")
+    chosen = texts.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = pairs.join(chosen, "id").join(signed.select("id", "weight", "marks"), "id")
+    return checkpointed(rows.groupBy("family", "x", "y").applyInArrow(_compare, "a long, b long, similarity double"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, n_class: one row for each row of docs; class_id is the least id of its near-duplicate class.
 
@@ -240,14 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(_alike(first, signed), texts)
     found = checkpointed(components(links.select("a", "b")))
     # buckets with members in several components may hide a link that no pivot shows
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "bucket", "id", "weight", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band", "bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "bucket", F.col("top.component").alias("main"))
-    open_rows = checkpointed(placed.join(largest, ["band", "bucket"]))
-    side = lambda df, n: df.select("band", "bucket", F.col("id").alias(n), F.col("weight").alias(f"w_{n}"), F.col("component").alias(f"component_{n}"))
-    second = side(open_rows.where("component <> main"), "a").join(side(open_rows, "b"), ["band", "bucket"])
-    second = second.where("component_a <> component_b").where(F.least("w_a", "w_b") >= SIMILARITY * F.greatest("w_a", "w_b")).select("a", "b")
-    more = _confirmed(_alike(second, signed), texts)
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
+    spread = placed.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("low")).where("x < y").select("band", "bucket", "low")
+    open_rows = checkpointed(placed.join(spread, ["band", "bucket"]).select("id", "component", "low").distinct())
+    more = _links_of_families(open_rows, signed, texts)
     if not more.isEmpty():
         found = components(links.select("a", "b").unionByName(more.select("a", "b")))
     classes = copies.select("copy", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("copy", F.coalesce("component", "least").alias("class_id"))
