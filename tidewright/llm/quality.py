@@ -102,7 +102,9 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
         score = let(buckets_of(words), lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("__tw_weights"), x)) / F.nullif(F.size(b), F.lit(0)))
         return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"), score.alias("score"))
 
-    out = docs.withColumn("__tw_weights", weights.scalar()).withColumn("__tw_m", let(words_of(F.col(text_col)), measures)).drop("__tw_weights")
+    # by explode, which no filter or projection is pushed through: the measures are taken once for each row
+    measured = F.explode(F.transform(F.array(words_of(F.col(text_col))), measures)).alias("__tw_m")
+    out = docs.withColumn("__tw_weights", weights.scalar()).select("*", measured).drop("__tw_weights")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = out.withColumns(
         {
