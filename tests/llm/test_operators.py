@@ -106,6 +106,20 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_diagonals(spark):
+    r = random.Random(4)
+    items = {k: prose(100 + k, n).split() for k, n in enumerate((60, 41, 40, 33, 25, 18, 17, 16, 15, 14, 13, 12, 11, 10, 9, 8, 7))}
+    docs = []
+    for k, words in items.items():
+        swaps = [{i for i in range(len(words)) if (i % p == q) ^ turned} for p in range(2, 7) for q in range(p) for turned in (False, True)]
+        swaps += [set(r.sample(range(len(words)), len(words) * share // 100)) for share in (33, 40, 47, 50, 60) for _ in range(12)]
+        docs += [prose(r.random(), 9).split() + [f"new{r.randrange(10**6)}" if i in s else w for i, w in enumerate(words)] + prose(r.random(), 9).split() for s in swaps]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], DOCS)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()}
+    want = {(i, k) for i, d in enumerate(docs) for k, w in items.items() if 2 * max(sum(0 <= s + j < len(d) and d[s + j] == x for j, x in enumerate(w)) for s in range(1 - len(w), len(d))) >= len(w)}
+    assert got == want and len(want) > 800
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(9)
     texts, base = [], [prose(20 + k, 120).split() for k in range(3)]

@@ -4,8 +4,8 @@ A mask is a row of positions that count (1) or are ignored (0). Under each mask
 text's normalised words is hashed without its ignored words, so a window still hits after words at
 ignored positions were replaced. Hashes of benchmark items and of documents are joined; for each
 document and item the hits fix diagonals (place in the document minus place in the item), along
-which all words are compared. An item leaked if at least MIN_OVERLAP of its words are met on diagonals
-that hit.
+which all words are compared. An item leaked if at least MIN_OVERLAP of its words are met on one diagonal,
+or on all diagonals together that have a stretch of DENSE words met in SPAN.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import NOT_ALNUM, bounded, checkpointed, let
 
-#: Masks of five words in seven: words replaced every third or fourth place, or two together, still leave hits.
-MASKS = ("1101011", "1011101", "1100111")
+#: Masks of three words in five at most: however half of the words of an item of LONG words or more are replaced, one hits.
+MASKS, LONG = ("111", "1101", "1011", "10101", "11001"), 13
+#: The same for items of WHOLE words or more; shorter ones are looked up by all their words.
+PAIRS, WHOLE = ("11", "101"), 7
 MIN_OVERLAP = 0.5
+DENSE, SPAN = 5, 7
 #: Benchmark hashes, and hits, up to so many rows are broadcast; beyond, the joins are dealt out by key.
 BROADCAST_SEEDS, BROADCAST_HITS = 1_000_000, 100_000
 
@@ -48,17 +51,18 @@ def _exploded(rows: DataFrame, key: str, masks: tuple[str, ...], place: str) ->
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """id, item_id, n_item, matched, overlap and place: a row for each document and item that leaked into it.
 
-    Null and wordless texts and items leak nothing. Items shorter than a mask are looked up by a mask of their
-    own length without ignored words. Rows of docs of one id (null is an id too) count as one document, and items of
+    Null and wordless texts and items leak nothing. Items shorter than WHOLE words are looked up by a mask of their
+    own length without ignored words. With a min_overlap below MIN_OVERLAP an item may be missed. Rows of docs of one id (null is an id too) count as one document, and items of
     one id as one item: the best overlap is returned. Empty tables give an empty result; other columns are not looked at.
     """
     known = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.size("t") > 0).withColumn("version", F.xxhash64("t")).distinct()
-    short = sorted(r[0] for r in known.select(F.size("t")).where(F.size("t") < len(MASKS[0])).distinct().collect())  # six lengths at most
-    masks = (*MASKS, *("1" * n for n in short))
+    sizes = sorted(r[0] for r in known.select(F.size("t")).where(F.size("t") < LONG).distinct().collect())  # twelve at most
+    whole = ["1" * n for n in sizes if n < WHOLE]
+    masks = tuple(dict.fromkeys((*MASKS, *(PAIRS if sizes and sizes[-1] >= WHOLE else ()), *whole)))
     keyed = known.select(F.struct("item", "version").alias("key"), F.col("t").alias("h"))
-    seeds = _exploded(keyed, "key", MASKS, "at")
-    for n in short:  # a short mask is for items of its length alone
-        seeds = seeds.unionByName(_exploded(keyed.where(F.size("h") == n), "key", ("1" * n,), "at"))
+    seeds = _exploded(keyed.where(F.size("h") >= LONG), "key", MASKS, "at").unionByName(_exploded(keyed.where(F.size("h").between(WHOLE, LONG - 1)), "key", PAIRS, "at"))
+    for mask in whole:  # a whole mask is for items of its length alone
+        seeds = seeds.unionByName(_exploded(keyed.where(F.size("h") == len(mask)), "key", (mask,), "at"))
     numbered = seeds.select("seed", "at", "key.item", "key.version").distinct()
     small = bounded(numbered, BROADCAST_SEEDS)
     hint = F.broadcast if small else (lambda df: df)
@@ -74,7 +78,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     pairs = pairs.join(versions, F.col("item").eqNullSafe(F.col("known_item")) & (F.col("version") == F.col("known_version")))
     met = F.filter(F.transform("t", lambda x, i: F.when(F.get("h", i + F.col("shift")) == x, i)), lambda i: i.isNotNull())
     pairs = pairs.select("doc", "item", "version", "shift", F.size("t").cast("long").alias("n_item"), met.alias("met"))
-    best = pairs.groupBy("doc", "item", "version").agg(F.first("n_item").alias("n_item"), F.size(F.array_distinct(F.flatten(F.collect_list("met")))).cast("long").alias("matched"), F.min("shift").alias("shift"))
+    dense = let(F.col("met"), lambda m: F.exists(F.transform(m, lambda x, i: F.coalesce(F.get(m, i + (DENSE - 1)) - x < SPAN, F.lit(False))), lambda d: d))
+    pairs = pairs.withColumn("dense", dense).where(F.col("dense") | (F.size("met") >= min_overlap * F.col("n_item")))
+    joint = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("dense"), F.col("met"))))))
+    first = F.coalesce(F.min(F.when(F.col("dense"), F.col("shift"))), F.max_by("shift", F.size("met")))
+    best = pairs.groupBy("doc", "item", "version").agg(F.first("n_item").alias("n_item"), F.greatest(joint, F.max(F.size("met"))).cast("long").alias("matched"), first.alias("shift"))
     best = best.withColumn("overlap", F.col("matched") / F.col("n_item")).where(F.col("overlap") >= min_overlap)
     top = F.max(F.struct("overlap", "n_item", "matched", "shift"))
     return best.groupBy("doc", "item").agg(top.alias("b")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_item", "b.matched", "b.overlap", F.greatest(F.col("b.shift"), F.lit(0)).cast("long").alias("place"))
