@@ -120,6 +120,15 @@ def test_decontamination_against_all_diagonals(spark):
     assert got == want and len(want) > 800
 
 
+def test_decontamination_judges_each_text_by_itself(spark):
+    item = prose(7, 40)
+    half = item.split()
+    docs = [(None, prose(1, 50)), (None, f"{prose(2, 9)} {item}"), (None, None), (8, f"{prose(3, 40)} " + " ".join(half[:17])), (8, f"{prose(4, 40)} " + " ".join(half[17:34])), (9, item), (9, item), (9, prose(5, 30))]
+    df, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(decontaminate.without_leaks(df, items).collect(), key=str) == sorted((d for k, d in enumerate(df.collect()) if k not in (1, 5, 6)), key=str)
+    assert {(r.doc_id, r.overlap, r.place) for r in decontaminate.find_leaks(df, items).collect()} == {(None, 1.0, 9), (9, 1.0, 0)}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(9)
     texts, base = [], [prose(20 + k, 120).split() for k in range(3)]

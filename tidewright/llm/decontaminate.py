@@ -42,19 +42,19 @@ def _seeds(h: Column, masks: tuple[str, ...]) -> Column:
     return F.array(*map(one, masks))
 
 
+def _version(text: Column) -> Column:
+    """A digest that tells texts of one id apart."""
+    return F.xxhash64(F.lit("version"), text)
+
+
 def _exploded(rows: DataFrame, key: str, masks: tuple[str, ...], place: str) -> DataFrame:
     """key, place and seed of each window."""
     each = rows.select(key, F.explode(let(F.col("h"), lambda h: _seeds(h, masks))).alias("s"))
     return each.select(key, F.posexplode("s").alias(place, "seed"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """id, item_id, n_item, matched, overlap and place: a row for each document and item that leaked into it.
-
-    Null and wordless texts and items leak nothing. Items shorter than WHOLE words are looked up by a mask of their
-    own length without ignored words. With a min_overlap below MIN_OVERLAP an item may be missed. Rows of docs of one id (null is an id too) count as one document, and items of
-    one id as one item: the best overlap is returned. Empty tables give an empty result; other columns are not looked at.
-    """
+def _overlaps(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_overlap: float) -> DataFrame:
+    """doc (id, own: a digest of its text), item, version, n_item, matched, shift and overlap of each text and version of an item that leaked into it."""
     known = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.size("t") > 0).withColumn("version", F.xxhash64("t")).distinct()
     sizes = sorted(r[0] for r in known.select(F.size("t")).where(F.size("t") < LONG).distinct().collect())  # twelve at most
     whole = ["1" * n for n in sizes if n < WHOLE]
@@ -66,12 +66,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     numbered = seeds.select("seed", "at", "key.item", "key.version").distinct()
     small = bounded(numbered, BROADCAST_SEEDS)
     hint = F.broadcast if small else (lambda df: df)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("x"))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), _version(F.col(text_col)).alias("own")).alias("doc"), F.col(text_col).alias("x"))
     windows = _exploded(rows.select("doc", tokens(F.col("x")).alias("h")), "doc", masks, "place")
     hits = windows.join(hint(numbered), "seed").select("doc", "item", "version", (F.col("place") - F.col("at")).alias("shift")).distinct()
     hits = checkpointed(hits.groupBy("doc").agg(F.collect_list(F.struct("item", "version", "shift")).alias("hits")))
     found = F.broadcast(hits) if bounded(hits, BROADCAST_HITS) else hits
-    again = rows.join(found.withColumnRenamed("doc", "hit_doc"), F.col("doc").eqNullSafe(F.col("hit_doc")))
+    again = rows.join(found.withColumnRenamed("doc", "hit_doc"), F.col("doc.id").eqNullSafe(F.col("hit_doc.id")) & (F.col("doc.own") == F.col("hit_doc.own")))
     pairs = again.select("doc", tokens(F.col("x")).alias("h"), "hits").select("doc", "h", F.explode("hits").alias("hit")).select("doc", "h", "hit.item", "hit.version", "hit.shift")
     versions = known.select(F.col("item").alias("known_item"), F.col("version").alias("known_version"), "t")
     versions = F.broadcast(versions) if small else versions
@@ -81,14 +81,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     dense = let(F.col("met"), lambda m: F.exists(F.transform(m, lambda x, i: F.coalesce(F.get(m, i + (DENSE - 1)) - x < SPAN, F.lit(False))), lambda d: d))
     pairs = pairs.withColumn("dense", dense).where(F.col("dense") | (F.size("met") >= min_overlap * F.col("n_item")))
     joint = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("dense"), F.col("met"))))))
+    pairs = pairs.groupBy("doc", "item", "version", "shift").agg(F.first("n_item").alias("n_item"), F.first("met").alias("met"), F.first("dense").alias("dense"))  # repeated rows
     first = F.coalesce(F.min(F.when(F.col("dense"), F.col("shift"))), F.max_by("shift", F.size("met")))
     best = pairs.groupBy("doc", "item", "version").agg(F.first("n_item").alias("n_item"), F.greatest(joint, F.max(F.size("met"))).cast("long").alias("matched"), first.alias("shift"))
-    best = best.withColumn("overlap", F.col("matched") / F.col("n_item")).where(F.col("overlap") >= min_overlap)
+    return best.withColumn("overlap", F.col("matched") / F.col("n_item")).where(F.col("overlap") >= min_overlap)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """id, item_id, n_item, matched, overlap and place: a row for each document and item that leaked into it.
+
+    Null and wordless texts and items leak nothing. Items shorter than WHOLE words are looked up by a mask of their
+    own length without ignored words. With a min_overlap below MIN_OVERLAP an item may be missed. Each text of docs is
+    judged by itself, and each of items; of those with one id (null is an id too) the best overlap is returned. Empty
+    tables give an empty result; other columns are not looked at.
+    """
+    best = _overlaps(docs, items, id_col, text_col, item_col, item_text, min_overlap)
     top = F.max(F.struct("overlap", "n_item", "matched", "shift"))
-    return best.groupBy("doc", "item").agg(top.alias("b")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_item", "b.matched", "b.overlap", F.greatest(F.col("b.shift"), F.lit(0)).cast("long").alias("place"))
+    out = best.groupBy(F.col("doc.id").alias("doc"), "item").agg(top.alias("b"))
+    return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_item", "b.matched", "b.overlap", F.greatest(F.col("b.shift"), F.lit(0)).cast("long").alias("place"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs into which no item leaked, with the columns that docs has."""
-    leaked = find_leaks(docs, items).select(F.col("doc_id").alias("__tw_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__tw_leaked")), "left_anti")
+    """The rows of docs into whose own text no item leaked, with the columns that docs has."""
+    leaked = _overlaps(docs, items, "doc_id", "text", "item_id", "text", MIN_OVERLAP).select(F.col("doc.id").alias("__tw_leaked"), F.col("doc.own").alias("__tw_version")).distinct()
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__tw_leaked")) & (_version(F.col("text")) == F.col("__tw_version")), "left_anti")
