@@ -120,6 +120,25 @@ def test_decontamination_against_all_diagonals(spark):
     assert got == want and len(want) > 800
 
 
+def test_masks_hit_whatever_half_is_replaced():
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+
+    def least(n, m):  # hits that m words met of n leave at least, by the last four places and the words met so far
+        states = {(0, 0): 0}
+        for _ in range(n):
+            following = {}
+            for (last, met), hits in states.items():
+                for bit in (0, 1):
+                    row = last << 1 | bit
+                    key, more = (row & 15, met + bit), hits + bit * sum(row & k == k for k in masks)
+                    following[key] = min(following.get(key, more), more)
+            states = following
+        return min(hits for (_, met), hits in states.items() if met == m)
+
+    assert all(least(n, (n + 1) // 2) >= (1 if n in decontaminate.ONE_HIT else 2) for n in range(decontaminate.LONG, 60))
+    assert least(decontaminate.SPAN, decontaminate.DENSE) >= 2
+
+
 def test_decontamination_judges_each_text_by_itself(spark):
     item = prose(7, 40)
     half = item.split()

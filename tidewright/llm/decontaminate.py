@@ -17,6 +17,8 @@ from tidewright.llm.common import NOT_ALNUM, bounded, checkpointed, let
 
 #: Masks of three words in five at most: however half of the words of an item of LONG words or more are replaced, one hits.
 MASKS, LONG = ("111", "1101", "1011", "10101", "11001"), 13
+#: Sizes of LONG or more of which that one hit may be the only one on the diagonal; all others, and DENSE words in SPAN, leave two.
+ONE_HIT = (13, 14, 16, 18)
 #: The same for items of WHOLE words or more; shorter ones are looked up by all their words.
 PAIRS, WHOLE = ("11", "101"), 7
 MIN_OVERLAP = 0.5
@@ -59,16 +61,17 @@ def _overlaps(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     sizes = sorted(r[0] for r in known.select(F.size("t")).where(F.size("t") < LONG).distinct().collect())  # twelve at most
     whole = ["1" * n for n in sizes if n < WHOLE]
     masks = tuple(dict.fromkeys((*MASKS, *(PAIRS if sizes and sizes[-1] >= WHOLE else ()), *whole)))
-    keyed = known.select(F.struct("item", "version").alias("key"), F.col("t").alias("h"))
+    keyed = known.select(F.struct("item", "version", F.size("t").alias("n")).alias("key"), F.col("t").alias("h"))
     seeds = _exploded(keyed.where(F.size("h") >= LONG), "key", MASKS, "at").unionByName(_exploded(keyed.where(F.size("h").between(WHOLE, LONG - 1)), "key", PAIRS, "at"))
     for mask in whole:  # a whole mask is for items of its length alone
         seeds = seeds.unionByName(_exploded(keyed.where(F.size("h") == len(mask)), "key", (mask,), "at"))
-    numbered = seeds.select("seed", "at", "key.item", "key.version").distinct()
+    numbered = seeds.select("seed", "at", "key.item", "key.version", "key.n").distinct()
     small = bounded(numbered, BROADCAST_SEEDS)
     hint = F.broadcast if small else (lambda df: df)
     rows = docs.select(F.struct(F.col(id_col).alias("id"), _version(F.col(text_col)).alias("own")).alias("doc"), F.col(text_col).alias("x"))
     windows = _exploded(rows.select("doc", tokens(F.col("x")).alias("h")), "doc", masks, "place")
-    hits = windows.join(hint(numbered), "seed").select("doc", "item", "version", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    met_seeds = windows.join(hint(numbered), "seed").groupBy("doc", "item", "version", "n", (F.col("place") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("times"))
+    hits = met_seeds.where((F.col("times") > 1) | (F.col("n") < LONG) | F.col("n").isin(*ONE_HIT))
     hits = checkpointed(hits.groupBy("doc").agg(F.collect_list(F.struct("item", "version", "shift")).alias("hits")))
     found = F.broadcast(hits) if bounded(hits, BROADCAST_HITS) else hits
     again = rows.join(found.withColumnRenamed("doc", "hit_doc"), F.col("doc.id").eqNullSafe(F.col("hit_doc.id")) & (F.col("doc.own") == F.col("hit_doc.own")))
