@@ -241,6 +241,17 @@ def test_language_model(spark):
     assert lm.score_documents(df.limit(0)).count() == 0
 
 
+def test_every_document_trains_the_attention(spark):
+    texts = [prose(i, 30) for i in range(12)]
+    subwords = lm.Subwords.load(lm.VOCABULARY)
+    counts = lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string"))
+    classes = lm.Classes.from_counts(lm.count_subwords(counts, subwords), np.append(subwords.begins, True))
+    fit = lambda rows: lm.train(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), subwords, classes).dump()
+    whole = fit(texts)
+    assert fit(texts) == whole
+    assert all(fit([*texts[:i], prose(99, 30), *texts[i + 1 :]]) != whole for i in (0, 3, 6, 9, 11))
+
+
 def test_attention_gradient_and_single_scoring():
     r = np.random.default_rng(2)
     ids = [r.integers(0, lm.CLASSES, k).astype(np.uint8) for k in (1, 5, 16, 17, 70)]

@@ -11,9 +11,9 @@ Scoring cuts a text into windows of WINDOW subwords, each STEP behind the last:
 window are scored (each subword once), the ones before are context. Queries, keys and values of a
 class are rows of tables, so a batch of windows is a few gathers and masked matrix products.
 
-Training: word counts, and from them subword counts and classes, cover every training document. The
-weights are fitted on every SHARE-th training document by rounds of local training in tasks and
-averaging of their weights, so the sample grows with the corpus; what reaches the driver does not.
+Training: word counts, and from them subword counts and classes, cover every training document. So do the
+weights: each document is met once, in one of ROUNDS rounds of local training in tasks, whose weights are
+averaged behind each round; what reaches the driver does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ SINGLE, BANDS = 230, 24
 CLASSES = SINGLE + BANDS
 BEGIN, PAD, SYMBOLS = CLASSES, CLASSES + 1, CLASSES + 2
 WINDOW, STEP, HEADS, KEY, WIDTH = 32, 16, 2, 8, 32
-#: Training: every SHARE-th document; rounds of averaging; trainers at most; subwords that a round reads at least, repeating a small sample up to REPEATS times.
-SHARE, ROUNDS, TRAINERS, ROUND_SUBWORDS, REPEATS = 12, 4, 64, 2_000_000, 12
+#: Training: every SHARE-th document, 1 for all; rounds of averaging; trainers at most; documents whose windows are mixed.
+SHARE, ROUNDS, TRAINERS, MIXED = 1, 4, 64, 1024
 BATCH = 64  # windows in a training step
 CHUNK = 48  # windows scored at once
 MIX = math.log(0.5)  # of a word's share of the corpus, and of the attention's probability
@@ -305,15 +305,16 @@ class Attention:
         out["place"] = place
         return out
 
-    def train(self, x: np.ndarray, goal: np.ndarray, rate: float) -> None:
-        """One pass of Adam over windows in their order."""
-        first, second, step = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0
+    def train(self, x: np.ndarray, goal: np.ndarray, rate: float, moments: tuple | None = None) -> tuple:
+        """One pass of Adam over windows in their order; moments: what an earlier call returned, which this one goes on from."""
+        first, second, step = moments or ({k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0)
         for at in range(0, len(x), BATCH):
             step += 1
             for k, g in self.gradient(x[at : at + BATCH], goal[at : at + BATCH]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
                 self.w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        return first, second, step
 
 
 @dataclass
@@ -392,44 +393,32 @@ def count_subwords(counts: DataFrame, subwords: Subwords) -> np.ndarray:
 
 
 def train(docs: DataFrame, subwords: Subwords, classes: Classes, text_col: str = "text", share: int = SHARE) -> Attention:
-    """Attention fitted on every share-th row of docs, chosen by a hash of its text."""
+    """Attention fitted on every share-th row of docs (1: all), each in one of ROUNDS rounds."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((subwords.pieces, classes.of))
     trainers = max(1, min(TRAINERS, spark.sparkContext.defaultParallelism))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, of = shared.value
-        memory = Memory(Subwords(pieces))
-        for batch in batches:
-            texts = [words_of(t.as_py()) for t in batch.column(0)]
-            ids = [np.append(of[memory.subwords_of(memory.numbers(w))[0]], of[-1]) if w else of[-1:] for w in texts]
-            row, starts, goal, _ = inputs_and_starts(ids)
-            for at in range(0, len(starts), 4096):
-                x = row[starts[at : at + 4096, None] + np.arange(WINDOW)]
-                both = np.concatenate([x, goal[at : at + 4096]], axis=1)
-                yield _batch({"w": pa.array([r.tobytes() for r in both], pa.binary())})
-
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col(text_col)), F.lit(share)) == 0).select(text_col)
-    dealt = chosen.mapInArrow(windows, "w binary").withColumn("fold", F.pmod(F.xxhash64("w"), F.lit(ROUNDS)).cast("int"))
-    sample = checkpointed(dealt.repartition(trainers))
-    per_round = sample.count() * STEP / ROUNDS
-    repeats = int(max(1, min(REPEATS, ROUND_SUBWORDS // max(1, per_round))))
+    # by rows, not by texts: copies are dealt to all rounds
+    numbered = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("k")).where(F.col("k") % share == 0)
+    dealt = numbered.select("text", F.floor(F.col("k") / share).alias("k")).withColumn("fold", F.col("k") % ROUNDS)
     model = Attention.initial(classes.share)
     for r in range(ROUNDS):
         start, rate = model.dump(), 0.02 / (1 + 2 * r)
 
         def local(batches: Iterator[pa.RecordBatch], start: bytes = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            # a task keeps its part of one round: bytes of STEP + WINDOW for each window, a ROUNDS-th of a SHARE-th of its part of the corpus
-            own, parts = Attention.load(start), []
+            # a task holds the windows of MIXED documents
+            pieces, of = shared.value
+            own, moments, memory, n, mixer = Attention.load(start), None, Memory(Subwords(pieces)), 0, np.random.default_rng(0)
             for batch in batches:
-                parts.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, WINDOW + STEP))
-            data = np.concatenate(parts) if parts else np.zeros((0, WINDOW + STEP), np.uint8)
-            for k in range(repeats if len(data) else 0):
-                mixed = data[np.random.default_rng(k).permutation(len(data))]
-                own.train(mixed[:, :WINDOW], mixed[:, WINDOW:], rate / (1 + k))
-            yield _batch({"weights": pa.array([own.dump()], pa.binary()), "n": pa.array([len(data)], pa.int64())})
-
-        found = sample.where(F.col("fold") == r).select("w").mapInArrow(local, "weights binary, n long").where("n > 0").collect()
+                for at in range(0, len(batch), MIXED):
+                    texts = [words_of(t.as_py()) for t in batch.slice(at, MIXED).column(0)]
+                    row, starts, goal, _ = inputs_and_starts([np.append(of[memory.subwords_of(memory.numbers(w))[0]], of[-1]) if w else of[-1:] for w in texts])
+                    mixed = mixer.permutation(len(starts))
+                    n += len(mixed)
+                    for part in np.split(mixed, range(64 * BATCH, len(mixed), 64 * BATCH)):
+                        moments = own.train(row[starts[part, None] + np.arange(WINDOW)], goal[part], rate, moments)
+            yield _batch({"weights": pa.array([own.dump()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+        found = dealt.where(F.col("fold") == r).select("text").coalesce(trainers).mapInArrow(local, "weights binary, n long").where("n > 0").collect()
         total = sum(x.n for x in found)
         if total:
             model = Attention.load(sum(np.frombuffer(bytes(x.weights), np.float32) * (x.n / total) for x in found))
