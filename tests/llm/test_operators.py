@@ -175,6 +175,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert len(rows(near_dup.one_of_each(spark.createDataFrame(list(enumerate(texts)), DOCS)))) == len({find(i) for i in range(len(texts))})
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    one, two, three = prose(1, 120), prose(2, 120), prose(3, 120)
+    docs = [(None, one), (None, f"{one} more"), (None, one.upper() + "!"), (None, prose(4, 90)), (5, two), (5, three), (3, f"{three} more"), (None, f"{two} more"), (7, prose(5, 80)), (7, prose(5, 80)), (None, None)]
+    df = spark.createDataFrame(docs, DOCS)
+    got = sorted((tuple(r) for r in near_dup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, None, 3)] * 3 + [(None, None, 1)] * 2 + [(5, 5, 2), (None, 5, 2), (5, 3, 2), (3, 3, 2)] + [(7, 7, 2)] * 2, key=str)
+    kept = [tuple(r) for r in near_dup.one_of_each(df).collect()]
+    assert len(kept) == 6 and {docs[3], docs[4], docs[6], docs[8], docs[10]} < set(kept) and len(set(kept) & set(docs[:3])) == 1
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     hashes = near_dup._mix(np.arange(1, 301, dtype=np.uint64))

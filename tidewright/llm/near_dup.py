@@ -157,8 +157,8 @@ def signature(hashes: np.ndarray, counts: np.ndarray, registers: int = REGISTERS
 
 
 _MIXERS = _mix(np.arange(1, ROWS + 1, dtype=_U) * _GOLDEN) | _U(1)
-_SIGNED = pa.schema([("id", pa.int64()), ("copy", pa.string()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int16()))])
-_SIGNED_DDL = "id long, copy string, weight long, bands array<long>, marks array<short>"
+_SIGNED = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int16()))])
+_SIGNED_DDL = "id long, copy long, weight long, bands array<long>, marks array<short>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +202,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and similarity of the pairs (a < b) that are linked; texts: id, text of representatives."""
+    """a, b and similarity of the pairs (a < b) that are linked; texts: id, text, of copies too."""
     pairs = checkpointed(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = texts.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi")
+    chosen = texts.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi").dropDuplicates(["id"])
     left = pairs.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, similarity double"))
@@ -260,21 +260,30 @@ def _links_of_families(open_rows: DataFrame, signed: DataFrame, texts: DataFrame
     return checkpointed(rows.groupBy("family", "x", "y").applyInArrow(_compare, "a long, b long, similarity double"))
 
 
+def _copy(raw: Column, text: Column) -> Column:
+    """The number of a text, which copies share: 64 bits of its digest; texts without a word by their raw form."""
+    return F.xxhash64(F.sha2(F.when(text == "", F.concat(F.lit("\u0000"), raw)).otherwise(text), 256))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, n_class: one row for each row of docs; class_id is the least id of its near-duplicate class.
 
-    Classes are the connected components of copies and links. Texts without a word are copies only if equal; null counts
-    as empty. Ids are integers; rows of a null id are left in classes by their copies and get no links of their own unless a copy has an id;
-    rows of equal id and equal text are copies, and rows of equal id but other text are told apart by nothing, so the class of
-    either counts for both. An empty table gives an empty result; other columns are not looked at.
+    Classes are the connected components of copies and links, of rows by their text, whatever their id: rows of a null id, or of equal
+    id and other text, are classed like all others. class_id is null if no row of the class has an id. Texts without a word are
+    copies only if equal; null counts as empty. Ids are integers. An empty table gives an empty result; other columns are not looked at.
     """
+    return _classed(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_class")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, copy, class (the least copy in it), class_id and n_class: one row for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")).withColumn("text", normalised(F.col("raw")))
-    keyed = rows.select("id", "text", F.sha2(F.when(F.col("text") == "", F.concat(F.lit("\u0000"), F.col("raw"))).otherwise(F.col("text")), 256).alias("copy"))
+    keyed = rows.select("id", "text", _copy(F.col("raw"), F.col("text")).alias("copy"))
     all_signed = checkpointed(keyed.select("id", "copy", "text").mapInArrow(_sign, _SIGNED_DDL))
-    # the representative of copies is the least id; the signature is a function of the copies' text
-    copies = all_signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    signed = checkpointed(copies.where("id is not null and weight > 0").select("id", "weight", "bands", "marks"))
-    texts = keyed.select("id", "text")
+    # copies are one document from here on, whose id is their number; the signature is a function of their text
+    copies = all_signed.where("weight > 0").groupBy("copy").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    signed = checkpointed(copies.select(F.col("copy").alias("id"), "weight", "bands", "marks"))
+    texts = keyed.select(F.col("copy").alias("id"), "text")
     buckets = signed.select("id", "weight", F.posexplode("bands").alias("band", "bucket"))
     pivots = buckets.groupBy("band", "bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = checkpointed(buckets.join(pivots, ["band", "bucket"]).select("band", "bucket", "id", "weight", "low", "high"))
@@ -288,24 +297,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _links_of_families(open_rows, signed, texts)
     if not more.isEmpty():
         found = components(links.select("a", "b").unionByName(more.select("a", "b")))
-    classes = copies.select("copy", F.col("id").alias("least")).join(found, F.col("least") == F.col("node"), "left").select("copy", F.coalesce("component", "least").alias("class_id"))
-    out = all_signed.select("id", "copy").join(classes, "copy")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))
-    return out.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "n_class")
+    out = all_signed.select("id", "copy").join(found, F.col("copy") == F.col("node"), "left").select("id", "copy", F.coalesce("component", "copy").alias("class"))
+    sizes = out.groupBy("class").agg(F.count(F.lit(1)).alias("n_class"), F.min("id").alias("class_id"))
+    return out.join(sizes, "class")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each near-duplicate class, with the columns that docs has.
-
-    Of rows that repeat the kept id, one stays. Rows without an id stay once for each text that no row with an id has.
-    """
-    keep = near_duplicates(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__tw_kept")).agg(F.count(F.lit(1)).alias("n"))
-    keep = checkpointed(keep)
-    kept = docs.join(keep.select("__tw_kept"), F.col("doc_id") == F.col("__tw_kept"), "left_semi")
-    if not keep.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    if nameless.isEmpty():
-        return kept
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("text").alias("__tw_text"))
-    return kept.unionByName(nameless.dropDuplicates(["text"]).join(named, F.col("text").eqNullSafe(F.col("__tw_text")), "left_anti"))
+    """One row of docs for each near-duplicate class, with the columns that docs has: one of the least id, of none if no row has one."""
+    alike = _classed(docs, "doc_id", "text").groupBy("class", "id", "copy").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copy", "n"))
+    keep = checkpointed(alike.groupBy("class").agg(least.alias("k")).select(F.col("k.id").alias("__tw_id"), F.col("k.copy").alias("__tw_copy"), "k.n"))
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.withColumn("__tw_own", _copy(raw, normalised(raw)))
+    kept = own.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_own") == F.col("__tw_copy")), "left_semi")
+    if not keep.where("n > 1").isEmpty():  # rows that repeat the kept id and text
+        kept = kept.dropDuplicates(["__tw_own"])
+    return kept.select(*docs.columns)
