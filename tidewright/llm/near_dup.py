@@ -8,11 +8,15 @@ axis and a register; points beyond the shingle's count are thinned away, and a r
 earliest point. So two documents agree in a register with their weighted Jaccard similarity as
 probability. Points after the time by which all registers are filled are never made.
 
-Bands of registers give buckets. Copies (equal shingle sequences) share one representative. In each
-bucket every representative is compared with the bucket's two pivots (least and greatest id); after the
-components of the links found so far are known, only members of buckets that still hold several
-components are compared further: such buckets that share documents form a family, which is dealt into
-blocks of BLOCK documents, and each pair of blocks is compared in one task, which returns links alone.
+Bands of registers give buckets. Copies (equal shingle sequences) share one representative. Pairs are
+tried in three rounds, behind each of which the components of the links found so far are known:
+1. every representative with its buckets' two pivots (least and greatest number);
+2. in buckets that still hold several components, every one with the bucket's hub, that is the member with
+   most links, of another component;
+3. what is still apart: buckets that share documents form a family, which is dealt into blocks by hash, and
+   each pair of blocks is compared in one task. Signatures and weights alone say which documents have a
+   partner in a pair of blocks; only the texts of these are read there, and pairs that earlier
+   ones already joined are passed over.
 Comparison estimates from signatures and confirms on whole texts. No task, group or the driver ever
 holds all rows of a bucket, family or component.
 """
@@ -27,18 +31,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NOT_ALNUM, bounded, checkpointed
+from tidewright.llm.common import NOT_ALNUM, Tables, bounded
 from tidewright.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5  # a pair of similarity 0.8 misses all bands with a probability of 3 in 100,000
 REGISTERS = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share of registers are not confirmed: five deviations below SIMILARITY.
-ESTIMATE = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
-#: Documents in pairs up to so many are picked from the corpus by a broadcast of their ids; beyond, by a shuffle.
-BROADCAST_IDS = 500_000
+#: Pairs whose signatures agree in a smaller share of registers are not confirmed: four deviations below SIMILARITY,
+#: so a pair at it is missed with the same probability of 3 in 100,000.
+ESTIMATE = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / REGISTERS)
+#: Ids up to so many are broadcast to pick their rows; beyond, rows and ids are dealt out by id.
+BROADCAST_IDS = 1_000_000
 CHUNK = 2_000_000  # bytes
-BLOCK = 800  # documents of a block on average; a task holds two blocks, and a document is read once for each block of its family
+#: Documents and shingles of a block on average; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1_000, 400_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -162,10 +168,11 @@ _SIGNED_DDL = "id long, copy long, weight long, bands array<long>, marks array<s
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, copy and text to signatures: the bands' hashes and 16 bits of each register."""
+    """id, copy and text to signatures: the bands' hashes and 16 bits of each register; copies in a batch are signed once."""
     for batch in batches:
+        _, first, back = np.unique(batch.column("copy").to_numpy(), return_index=True, return_inverse=True)
         weights, bands, marks = [], [], []
-        for h in shingles(batch.column("text")):
+        for h in shingles(batch.column("text").take(pa.array(first))):
             weights.append(len(h))
             if not len(h):
                 bands.append([])
@@ -175,7 +182,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = signature(own, counts)
             bands.append(_mix((s.reshape(BANDS, ROWS) * _MIXERS).sum(axis=1, dtype=_U)).view(np.int64))
             marks.append((s & _U(0xFFFF)).astype(np.uint16).view(np.int16))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16()))], schema=_SIGNED)
+        of = pa.array(back)
+        signed = [x.take(of) for x in (pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16())))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), *signed], schema=_SIGNED)
 
 
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -201,14 +210,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(keep)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and similarity of the pairs (a < b) that are linked; texts: id, text, of copies too."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = texts.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi").dropDuplicates(["id"])
-    left = pairs.join(chosen.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, similarity double"))
+def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows."""
+    return F.broadcast(df) if bounded(df, limit) else df
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """a, b and similarity of the pairs (a < b) that are linked; texts: id, text."""
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return tables.write(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, similarity double"))
 
 
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -221,43 +232,71 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.where(fit).where(same >= ESTIMATE * REGISTERS).select("a", "b")
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """The links between two blocks (block: of each row; one block with itself if there is one) of different components."""
+def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a pair of blocks, and the rows behind it of another component whose weight and signature allow
+    SIMILARITY, the most alike first. Columns block, component, weight and marks; one block is paired with itself."""
     size = table.num_rows
-    texts = table.column("text").combine_chunks()
-    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-    hashes = [np.unique(h, return_counts=True) for h in shingles(texts)]
-    ids, component, block, weight = (table.column(c).to_numpy() for c in ("id", "component", "block", "weight"))
-    marks = np.array(table.column("marks").to_pylist(), np.int16).reshape(size, REGISTERS)
+    component, block, weight = (table.column(c).to_numpy() for c in ("component", "block", "weight"))
+    marks = table.column("marks").combine_chunks()
+    marks = (marks if isinstance(marks, pa.Array) else pa.concat_arrays(marks.chunks)).flatten().to_numpy(zero_copy_only=False).reshape(size, REGISTERS)
     one_block = len(np.unique(block)) < 2
-    out: list[tuple[int, int, float]] = []
     for i in range(size):
         fit = (np.minimum(weight, weight[i]) >= SIMILARITY * np.maximum(weight, weight[i])) & (component != component[i])
         fit &= (np.arange(size) > i) if one_block else (block > block[i])
         at = np.flatnonzero(fit)
-        at = at[(marks[at] == marks[i]).sum(1) >= ESTIMATE * REGISTERS]
+        same = (marks[at] == marks[i]).sum(1)
+        enough = same >= ESTIMATE * REGISTERS
+        yield i, at[enough][np.argsort(-same[enough], kind="stable")]
+
+
+_MET_DDL = "family long, x int, y int, id long"
+
+
+def _meet(key: tuple, table: pa.Table) -> pa.Table:
+    """The documents of a pair of blocks that have a candidate in it."""
+    met = np.zeros(table.num_rows, bool)
+    for i, at in _candidates(table):
+        met[at] = True
+        met[i] |= len(at) > 0
+    ids = table.column("id").filter(pa.array(met))
+    family, x, y = (pa.array([k.as_py()] * len(ids), kind) for k, kind in zip(key, (pa.int64(), pa.int32(), pa.int32())))
+    return pa.table({"family": family, "x": x, "y": y, "id": ids})
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between documents of a pair of blocks that join all components which its links join."""
+    texts = table.column("text").combine_chunks()
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    hashes = [np.unique(h, return_counts=True) for h in shingles(texts)]
+    ids, weight, now = table.column("id").to_numpy(), table.column("weight").to_numpy(), table.column("component").to_numpy().copy()
+    out: list[tuple[int, int, float]] = []
+    for i, at in _candidates(table):
         for j in at:
+            if now[i] == now[j]:
+                continue
             (a, n), (b, m) = hashes[i], hashes[j]
             k = np.minimum(np.searchsorted(b, a), len(b) - 1)
             both = int(np.minimum(n, m[k])[b[k] == a].sum())
             found = both / (weight[i] + weight[j] - both)
             if found >= SIMILARITY:
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), found))
+                now[now == now[j]] = now[i]
     return pa.Table.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(_LINKED.types)], schema=_LINKED)
 
 
-def _links_of_families(open_rows: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between documents of open buckets (rows: id, component, and the least id of a bucket) in other components."""
-    family = components(open_rows.select(F.col("id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    docs = checkpointed(open_rows.select("id", "component").distinct().join(family, "id"))
-    sizes = docs.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _links_of_families(open_rows: DataFrame, signed: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """Links that join the components of open buckets (rows: id, component, and the least id of a bucket) as all links do."""
+    family = components(open_rows.select(F.col("id").alias("a"), F.col("low").alias("b")), tables).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    docs = tables.write(open_rows.select("id", "component").distinct().join(family, "id").join(signed.select("id", "weight"), "id"))
+    need = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("weight") / BLOCK_SHINGLES)
+    sizes = docs.groupBy("family").agg(F.ceil(need).cast("int").alias("blocks"))
     dealt = docs.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = dealt.select("id", "component", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("id", "component", "family", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    ids = docs.select("id")
-    chosen = texts.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi").dropDuplicates(["id"])
-    rows = pairs.join(chosen, "id").join(signed.select("id", "weight", "marks"), "id")
-    return checkpointed(rows.groupBy("family", "x", "y").applyInArrow(_compare, "a long, b long, similarity double"))
+    pairs = dealt.select("id", "component", "family", "block", "weight", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("id", "component", "family", "block", "weight", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    marked = pairs.join(signed.select("id", "marks"), "id")
+    met = tables.write(marked.groupBy("family", "x", "y").applyInArrow(_meet, _MET_DDL))
+    rows = marked.join(met, ["family", "x", "y", "id"]).join(texts, "id")
+    return tables.write(rows.groupBy("family", "x", "y").applyInArrow(_compare, "a long, b long, similarity double"))
 
 
 def _copy(raw: Column, text: Column) -> Column:
@@ -275,41 +314,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classed(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "n_class")
 
 
+def _placed(members: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (id, bucket) of buckets with several components, with the component and the number of links of each."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    placed = members.join(found.join(degree, "node", "left").withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("id", "bucket", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("two"), F.max(F.struct("degree", "id")).alias("hub"), F.min("id").alias("low")).where("one < two")
+    return placed.join(spread.select("bucket", F.col("hub.id").alias("hub"), "low"), "bucket")
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, copy, class (the least copy in it), class_id and n_class: one row for each row of docs."""
+    tables, result = Tables(docs.sparkSession), Tables(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")).withColumn("text", normalised(F.col("raw")))
     keyed = rows.select("id", "text", _copy(F.col("raw"), F.col("text")).alias("copy"))
-    all_signed = checkpointed(keyed.select("id", "copy", "text").mapInArrow(_sign, _SIGNED_DDL))
+    all_signed = tables.write(keyed.select("id", "copy", "text").mapInArrow(_sign, _SIGNED_DDL))
     # copies are one document from here on, whose id is their number; the signature is a function of their text
-    copies = all_signed.where("weight > 0").groupBy("copy").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    signed = checkpointed(copies.select(F.col("copy").alias("id"), "weight", "bands", "marks"))
-    texts = keyed.select(F.col("copy").alias("id"), "text")
-    buckets = signed.select("id", "weight", F.posexplode("bands").alias("band", "bucket"))
-    pivots = buckets.groupBy("band", "bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = checkpointed(buckets.join(pivots, ["band", "bucket"]).select("band", "bucket", "id", "weight", "low", "high"))
-    first = members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    links = _confirmed(_alike(first, signed), texts)
-    found = checkpointed(components(links.select("a", "b")))
+    least = F.min("id").alias("least")
+    copies = all_signed.groupBy("copy").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.count(F.lit(1)).alias("n"), least)
+    signed = tables.write(copies.withColumnRenamed("copy", "id"))
+    buckets = signed.select("id", F.explode("bands").alias("bucket"))
+    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    members = tables.write(buckets.join(pivots, "bucket"))
+    ids = members.select("id").distinct()
+    near = keyed.select(F.col("copy").alias("id"), "text").join(_few(ids), "id", "left_semi")
+    texts = tables.write(near.dropDuplicates(["id"]))
+    tried = tables.write(_alike(members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")), signed))
+    links = _confirmed(tried, texts, tables)
+    found = components(links, tables)
     # buckets with members in several components may hide a link that no pivot shows
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
-    spread = placed.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("low")).where("x < y").select("band", "bucket", "low")
-    open_rows = checkpointed(placed.join(spread, ["band", "bucket"]).select("id", "component", "low").distinct())
-    more = _links_of_families(open_rows, signed, texts)
-    if not more.isEmpty():
-        found = components(links.select("a", "b").unionByName(more.select("a", "b")))
-    out = all_signed.select("id", "copy").join(found, F.col("copy") == F.col("node"), "left").select("id", "copy", F.coalesce("component", "copy").alias("class"))
-    sizes = out.groupBy("class").agg(F.count(F.lit(1)).alias("n_class"), F.min("id").alias("class_id"))
-    return out.join(sizes, "class")
+    placed = tables.write(_placed(members.select("id", "bucket"), found, links))
+    hubs = placed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    again = _confirmed(tables.write(_alike(hubs, signed).join(tried, ["a", "b"], "left_anti")), texts, tables)
+    links = links.unionByName(again)
+    found = components(links, tables)
+    placed = _placed(placed.select("id", "bucket"), found, links)
+    open_rows = tables.write(placed.select("id", "component", "low").distinct())
+    more = _links_of_families(open_rows, signed, texts, tables)
+    found = components(links.unionByName(more), tables)
+    classes = signed.select(F.col("id").alias("copy"), "n", "least").join(found, F.col("copy") == F.col("node"), "left").select("copy", "n", "least", F.coalesce("component", "copy").alias("class"))
+    sizes = classes.groupBy("class").agg(F.sum("n").alias("n_class"), F.min("least").alias("class_id"))
+    named = classes.select("copy", "class").join(sizes, "class")
+    out = result.write(all_signed.select("id", "copy").join(named, "copy"))
+    tables.clear()
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each near-duplicate class, with the columns that docs has: one of the least id, of none if no row has one."""
+    """One row of docs for each near-duplicate class, with the columns that docs has: one of the least id, of none if no row has one.
+
+    Null and repeated ids, null texts and empty tables as in near_duplicates; of rows alike in id and text one stays.
+    """
     alike = _classed(docs, "doc_id", "text").groupBy("class", "id", "copy").agg(F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copy", "n"))
-    keep = checkpointed(alike.groupBy("class").agg(least.alias("k")).select(F.col("k.id").alias("__tw_id"), F.col("k.copy").alias("__tw_copy"), "k.n"))
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "copy"))
+    tables = Tables(docs.sparkSession)
+    keys = [F.col("id").alias("__tw_id"), F.col("copy").alias("__tw_copy")]
+    marked = tables.write(alike.join(alike.groupBy("class").agg(best.alias("best")), "class").select(*keys, "n", ((F.col("copy") == F.col("best.copy")) & F.col("id").eqNullSafe(F.col("best.id"))).alias("kept")))
     raw = F.coalesce(F.col("text"), F.lit(""))
     own = docs.withColumn("__tw_own", _copy(raw, normalised(raw)))
-    kept = own.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_own") == F.col("__tw_copy")), "left_semi")
-    if not keep.where("n > 1").isEmpty():  # rows that repeat the kept id and text
-        kept = kept.dropDuplicates(["__tw_own"])
-    return kept.select(*docs.columns)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_own") == F.col("__tw_copy"))
+    out = own.join(_few(marked.where("not kept").drop("n", "kept")), match, "left_anti")
+    repeated = marked.where("kept and n > 1").drop("n", "kept")
+    if not repeated.isEmpty():  # rows that repeat the kept id and text
+        repeated = _few(repeated)
+        out = out.join(repeated, match, "left_anti").unionByName(out.join(repeated, match, "left_semi").dropDuplicates(["__tw_own"]))
+    return out.select(*docs.columns)
