@@ -236,56 +236,6 @@ def test_tree_marginals_against_enumeration():
     assert model.marginals(page) == pytest.approx([o / total for o in one])
 
 
-def test_language_model(spark):
-    texts = {i: prose(i, 30) for i in range(60)} | {60: None, 61: "", 62: "Lower UPPER ünï " + prose(1, 9)}
-    df = spark.createDataFrame(list(texts.items()), DOCS)
-    got = rows(lm.score_documents(df, share=1))
-    words = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    counts = Counter(w for i in texts if not held[i] for w in words[i])
-    n, v = sum(counts.values()), len(counts)
-    for i, own in words.items():
-        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(own), sum(counts[w] > 0 for w in own), n)
-        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
-        assert got[i].score < 0
-    assert lm.score_documents(df.limit(0)).count() == 0
-
-
-def test_every_document_trains_the_attention(spark):
-    texts = [prose(i, 30) for i in range(12)]
-    subwords = lm.Subwords.load(lm.VOCABULARY)
-    counts = lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string"))
-    classes = lm.Classes.from_counts(lm.count_subwords(counts, subwords), np.append(subwords.begins, True))
-    fit = lambda rows: lm.train(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), subwords, classes).dump()
-    whole = fit(texts)
-    assert fit(texts) == whole
-    assert all(fit([*texts[:i], prose(99, 30), *texts[i + 1 :]]) != whole for i in (0, 3, 6, 9, 11))
-
-
-def test_attention_gradient_and_single_scoring():
-    r = np.random.default_rng(2)
-    ids = [r.integers(0, lm.CLASSES, k).astype(np.uint8) for k in (1, 5, 16, 17, 70)]
-    row, starts, goal, text = lm.inputs_and_starts(ids)
-    x = row[starts[:, None] + np.arange(lm.WINDOW)]
-    for k, own in enumerate(ids):  # each subword is a goal once, in order
-        assert [g for g in goal[text == k].reshape(-1) if g != lm.PAD] == list(own) or lm.PAD in own
-    model = lm.Attention({k: w.astype(np.float64) for k, w in lm.Attention.initial(np.zeros(lm.CLASSES)).w.items()})
-    begins = np.zeros(lm.CLASSES, bool)
-
-    def loss():
-        fresh = lm.Attention(model.w)
-        return -fresh.score(x, goal, begins)[0].sum() / (goal != lm.PAD).sum()
-
-    for name, g in model.gradient(x, goal).items():
-        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
-        old, values = model.w[name][at], []
-        for step in (1e-2, -1e-2):
-            model.w[name][at] = old + step
-            values.append(loss())
-        model.w[name][at] = old
-        assert (values[0] - values[1]) / 2e-2 == pytest.approx(g[at], rel=0.05, abs=1e-5)
-
-
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

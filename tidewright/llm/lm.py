@@ -2,18 +2,21 @@
 
 Words are cut into subwords of a public vocabulary by longest match (its single bytes leave nothing
 out). The model is one layer of causal self-attention with learned relative places: from the subwords
-before, it gives the class of the next one; within a class subwords have their share of the training
-corpus, so the probabilities of all subwords sum to one. Frequent subwords are classes of their own.
-A word's probability is that of its subwords and of its end (the next subword begins a word); as usual
-it is interpolated with the word's share of the training corpus, so words met often are not spelled out.
+before, it gives the class of the next one, in two steps (its group of classes, then the class in it);
+within a class subwords have their share of the training corpus, so the probabilities of all subwords sum
+to one. Frequent subwords are classes of their own. A word's probability is that of its subwords and of its
+end (the next subword begins a word); as usual it is interpolated with the word's share of the training
+corpus, so words met often are not spelled out.
 
 Scoring cuts a text into windows of WINDOW subwords, each STEP behind the last: the last STEP of a
-window are scored (each subword once), the ones before are context. Queries, keys and values of a
-class are rows of tables, so a batch of windows is a few gathers and masked matrix products.
+window are scored (each subword once), the ones before are context. A class attends to a class by one
+entry of a table, the exponential of query times key, so a batch of windows is a few look-ups and
+masked matrix products.
 
 Training: word counts, and from them subword counts and classes, cover every training document. So do the
-weights: each document is met once, in one of ROUNDS rounds of local training in tasks, whose weights are
-averaged behind each round; what reaches the driver does not grow with the corpus.
+weights: each document is met once, in one of ROUNDS rounds. A round deals its documents by a hash into
+folds of FOLD_WORDS words, a task trains the round's weights on a fold, and the folds' weights are averaged on the
+cluster. Rounds, folds and the order in a fold follow from the rows alone, so the model does not depend on cores or files.
 """
 
 from __future__ import annotations
@@ -36,15 +39,18 @@ from tidewright.llm.common import checkpointed
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Documents with this remainder of crc32(id) modulo PARTS are held out.
 PARTS, HELD_OUT = 7, 2
-#: Classes of one subword, and of many (half of them begin words).
-SINGLE, BANDS = 230, 24
-CLASSES = SINGLE + BANDS
+#: Groups of classes whose subwords begin words (or end a text), and of others; classes in a group.
+BEGIN_GROUPS, OTHER_GROUPS, GROUP = 8, 7, 16
+GROUPS = BEGIN_GROUPS + OTHER_GROUPS
+CLASSES = GROUPS * GROUP
+#: The last classes of either kind hold many subwords of like counts, all others one.
+BANDS = 12
 BEGIN, PAD, SYMBOLS = CLASSES, CLASSES + 1, CLASSES + 2
-WINDOW, STEP, HEADS, KEY, WIDTH = 32, 16, 2, 8, 32
-#: Training: every SHARE-th document, 1 for all; rounds of averaging; trainers at most; documents whose windows are mixed.
-SHARE, ROUNDS, TRAINERS, MIXED = 1, 4, 64, 1024
-BATCH = 64  # windows in a training step
-CHUNK = 48  # windows scored at once
+WINDOW, STEP, HEADS, KEY, WIDTH = 24, 16, 2, 8, 24
+PART = WIDTH // HEADS  # of the hidden row, a head's values
+#: Training: rounds of averaging, words of a fold on average, documents whose windows are mixed, and windows in a step.
+ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 300_000, 1024, 256
+CHUNK, PHASE = 32, 512  # windows attended at once, and scored at once
 MIX = math.log(0.5)  # of a word's share of the corpus, and of the attention's probability
 #: Words counted so often that at most so many are, are looked up in a broadcast table; the rest are joined.
 FREQUENT = 100_000
@@ -131,25 +137,26 @@ class Classes:
     of: np.ndarray
     within: np.ndarray
     share: np.ndarray
-    begins: np.ndarray  # of each class, whether its subwords begin words or end a text
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, begins: np.ndarray) -> Classes:
-        """The SINGLE most frequent subwords are classes of their own; the rest fall into BANDS of like counts, those
-        that begin words (begins; the end of a text does) apart from others."""
+        """Subwords that begin words (begins; the end of a text does) have the classes of the first BEGIN_GROUPS groups,
+        others those behind. Of either kind the most frequent ones are classes of their own; the rest fall into BANDS of like counts."""
         mass = counts + 0.5
-        order = np.argsort(-mass, kind="stable")
         of = np.zeros(len(mass), np.int64)
-        of[order[:SINGLE]] = np.arange(min(SINGLE, len(mass)))
-        half = BANDS // 2
-        for first, kind in ((SINGLE, True), (SINGLE + half, False)):
-            rest = order[SINGLE:][begins[order[SINGLE:]] == kind]
+        for first, size, kind in ((0, BEGIN_GROUPS * GROUP, True), (BEGIN_GROUPS * GROUP, OTHER_GROUPS * GROUP, False)):
+            own = np.flatnonzero(begins == kind)
+            order = own[np.argsort(-mass[own], kind="stable")]
+            single, rest = order[: size - BANDS], order[size - BANDS :]
+            of[single] = first + np.arange(len(single))
             before = np.cumsum(mass[rest]) - mass[rest]
-            of[rest] = first + np.minimum(half - 1, (half * before / max(1.0, mass[rest].sum())).astype(np.int64))
+            of[rest] = first + size - BANDS + np.minimum(BANDS - 1, (BANDS * before / max(1.0, mass[rest].sum())).astype(np.int64))
         total = np.bincount(of, mass, CLASSES)
-        starts = np.zeros(CLASSES, bool)
-        starts[of[begins]] = True
-        return cls(of.astype(np.uint8), np.log(mass / total[of]), np.log((total + 0.5) / (total + 0.5).sum()), starts)
+        return cls(of.astype(np.uint8), np.log(mass / total[of]), np.log((total + 0.5) / (total + 0.5).sum()))
+
+
+def begins_word(classes: np.ndarray) -> np.ndarray:
+    return classes < BEGIN_GROUPS * GROUP
 
 
 def inputs_and_starts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,149 +178,183 @@ def inputs_and_starts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return row, starts, goal.reshape(-1, STEP), text
 
 
-_SHAPES = {"query": (SYMBOLS, HEADS * KEY), "key": (SYMBOLS, HEADS * KEY), "value": (SYMBOLS, WIDTH), "own": (SYMBOLS, WIDTH), "place": (HEADS, WINDOW), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
+_SHAPES = {"query": (HEADS, SYMBOLS, KEY), "key": (HEADS, SYMBOLS, KEY), "value": (HEADS, SYMBOLS, PART), "own": (SYMBOLS, WIDTH), "place": (HEADS, WINDOW), "group": (WIDTH + 1, GROUPS), "member": (GROUPS, WIDTH + 1, GROUP)}
+_SIZE = sum(math.prod(shape) for shape in _SHAPES.values())
 #: How far the query at STEP place i lies behind the key at window place j; negative ones are masked.
 _BEHIND = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None, :]
+_MOST = 60.0  # of an exponent
+
+
+def _named(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name, as views of one row."""
+    out, at = {}, 0
+    for k, shape in _SHAPES.items():
+        out[k] = flat[at : (at := at + math.prod(shape))].reshape(shape)
+    return out
+
+
+def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits (changed in place) and the log of its sum; logits that could overflow are moved below 0."""
+    if max(float(logits.max(initial=0.0)), -float(logits.min(initial=0.0))) > _MOST:
+        logits -= logits.max(1, keepdims=True)
+    e = np.exp(logits)
+    return e, np.log(e @ np.ones((e.shape[1], 1), e.dtype) + e.dtype.type(1e-30))[:, 0]
+
+
+def _squash(x: np.ndarray) -> None:
+    """x / (1 + |x|), in place."""
+    x /= 1.0 + np.abs(x)
+
+
+def _by_group(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of goals that are none of padding, by group; their groups, their places in them, and where each group begins."""
+    g = goal.reshape(-1)
+    real = np.flatnonzero(g != PAD)
+    real = real[np.argsort(g[real] // GROUP, kind="stable")]
+    of, within = np.divmod(g[real].astype(np.intp), GROUP)
+    return real, of, within, np.searchsorted(of, np.arange(GROUPS + 1))
 
 
 class Attention:
-    """One layer of causal self-attention over classes; weights by name."""
+    """One layer of causal self-attention over classes; flat: its weights in one row, w: by name.
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    The last rows of group and member are biases: a group's logits are its column times the hidden row, a class's those of
+    its group's member table.
+    """
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.w = flat, _named(flat)
 
     @classmethod
     def initial(cls, share: np.ndarray, seed: int = 5) -> Attention:
         r = np.random.default_rng(seed)
-        weights = {k: (r.standard_normal(s) * (0.3 if k in ("query", "key", "value", "own") else 0.05)).astype(np.float32) for k, s in _SHAPES.items()}
-        weights["place"] -= (0.2 * np.arange(WINDOW) * np.array([[1.0], [0.1]])).astype(np.float32)
-        weights["bias"] = share.astype(np.float32)
-        return cls(weights)
-
-    def dump(self) -> bytes:
-        return b"".join(self.w[k].astype(np.float32).tobytes() for k in _SHAPES)
+        out = cls(np.zeros(_SIZE, np.float32))
+        for k, x in out.w.items():
+            x[:] = r.standard_normal(x.shape) * (0.3 if k in ("query", "key", "value", "own") else 0.05)
+        out.w["place"] -= 0.2 * np.arange(WINDOW) * np.array([[1.0], [0.1]])[:HEADS]
+        mass = np.exp(share).reshape(GROUPS, GROUP)
+        out.w["group"][-1] = np.log(mass.sum(1))
+        out.w["member"][:, -1] = np.log(mass / mass.sum(1, keepdims=True))
+        return out
 
-    @classmethod
-    def load(cls, data: bytes | np.ndarray) -> Attention:
-        flat, at, out = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data.astype(np.float32), 0, {}
-        for k, shape in _SHAPES.items():
-            n = math.prod(shape)
-            out[k] = flat[at : at + n].reshape(shape).copy()
-            at += n
-        return cls(out)
-
-    def _mask(self) -> np.ndarray:
-        return np.where(_BEHIND >= 0, self.w["place"][:, np.maximum(_BEHIND, 0)], np.float32(-1e4)).astype(np.float32)
-
-    def forward(self, x: np.ndarray) -> tuple:
-        """Hidden rows of the last STEP places of windows x, and what backward needs."""
-        own, mask = x[:, WINDOW - STEP :], self._mask()
-        hidden = np.take(self.w["own"], own, axis=0)
-        heads = []
-        for h in range(HEADS):
-            a, b = slice(h * KEY, (h + 1) * KEY), slice(h * WIDTH // HEADS, (h + 1) * WIDTH // HEADS)
-            masked = np.zeros((SYMBOLS, 1), np.float32)
-            masked[PAD] = -1e4
-            q = np.take(np.hstack([self.w["query"][:, a], np.ones((SYMBOLS, 1), np.float32)]), own, axis=0)
-            k = np.take(np.hstack([self.w["key"][:, a], masked]), x, axis=0)
-            v = np.take(self.w["value"][:, b], x, axis=0)
-            p = q @ k.transpose(0, 2, 1)
-            p += mask[h]
-            np.minimum(p, 60.0, out=p)
-            np.exp(p, out=p)
-            p *= (1.0 / (p @ np.ones((WINDOW, 1), p.dtype) + 1e-20)).astype(p.dtype)
-            hidden[:, :, b] += p @ v
-            heads.append((q, k, v, p))
-        np.tanh(hidden, out=hidden)
-        return hidden, heads, own
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """By head: how much a class attends to a class (padding: nothing), and to a place (ones to come: nothing)."""
+        one = self.w["query"] @ self.w["key"].transpose(0, 2, 1)
+        np.minimum(one, _MOST, out=one)
+        np.exp(one, out=one)
+        one[:, :, PAD] = 0.0
+        return one, np.where(_BEHIND >= 0, np.exp(np.minimum(self.w["place"], _MOST))[:, np.maximum(_BEHIND, 0)], 0.0).astype(one.dtype)
 
     @cached_property
-    def tables(self) -> tuple:
-        """The weights as scoring reads them: queries and keys with an entry that masks padding, values and hidden rows
-        with a one, so that products also give the sums of attention and add the bias; and whether exp is safe as it is."""
-        one, masked = np.ones((SYMBOLS, 1), np.float32), np.zeros((SYMBOLS, 1), np.float32)
-        masked[PAD] = -1e4
-        heads = []
+    def scoring(self) -> tuple:
+        """What scoring reads: the tables of attention, values with a one behind, which gives the sums of attention."""
+        one, place = self.tables()
+        ones = np.ones((SYMBOLS, 1), one.dtype)
+        return [t.ravel() for t in one], place, [np.hstack([v, ones]) for v in self.w["value"]]
+
+    def _hidden(self, x: np.ndarray) -> np.ndarray:
+        """Hidden rows of the last STEP places of windows x, with a one behind."""
+        one, place, value = self.scoring
+        x = x.astype(np.intp)
+        own = x[:, WINDOW - STEP :]
+        hidden = np.ones((*own.shape, WIDTH + 1), place.dtype)
+        hidden[:, :, :WIDTH] = np.take(self.w["own"], own, axis=0)
+        pair = own[:, :, None] * SYMBOLS + x[:, None, :]
         for h in range(HEADS):
-            a, b = slice(h * KEY, (h + 1) * KEY), slice(h * WIDTH // HEADS, (h + 1) * WIDTH // HEADS)
-            heads.append((np.hstack([self.w["query"][:, a], one]), np.hstack([self.w["key"][:, a], masked]), np.hstack([self.w["value"][:, b], one])))
-        most = max(float((q @ k.T).max()) for q, k, _ in heads) + float(self.w["place"].max())
-        logit = float((np.abs(self.w["out"]).sum(0) + np.abs(self.w["bias"])).max())  # hidden rows lie in [-1, 1]
-        return heads, self._mask(), np.vstack([self.w["out"], self.w["bias"]]), most > 60, logit > 60
-
-    def score(self, x: np.ndarray, goal: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            p = np.take(one[h], pair, mode="clip")  # numpy's fast path: no index is out of bounds
+            p *= place[h]
+            mean = p @ np.take(value[h], x, axis=0)
+            hidden[:, :, h * PART : (h + 1) * PART] += mean[:, :, :PART] / (mean[:, :, PART:] + p.dtype.type(1e-20))
+        _squash(hidden[:, :, :WIDTH])
+        return hidden.reshape(-1, WIDTH + 1)
+
+    def score(self, x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each goal class (PAD: 0), and that of any class which begins a word."""
-        heads, mask, out, large, steep = self.tables
+        hidden = np.concatenate([self._hidden(x[at : at + CHUNK]) for at in range(0, len(x), CHUNK)])
+        logits = hidden @ self.w["group"]
+        real, of, within, ends = _by_group(goal)
+        e, total = _shares(logits)
+        begin = np.log(e[:, :BEGIN_GROUPS] @ np.ones((BEGIN_GROUPS, 1), e.dtype) + e.dtype.type(1e-30))[:, 0] - total
+        rows, picked = np.take(hidden, real, axis=0), logits[real, of] - total[real]
+        for k in range(GROUPS):
+            if (a := ends[k]) < (b := ends[k + 1]):
+                logits = rows[a:b] @ self.w["member"][k]
+                _, total = _shares(logits)
+                picked[a:b] += logits[np.arange(b - a), within[a:b]] - total
+        out = np.zeros(goal.size, picked.dtype)
+        out[real] = picked
+        return out, begin
+
+    def gradient(self, x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Of the mean negative log probability of the goals, in one row like the weights."""
+        w = self.w
+        flat = np.zeros(_SIZE, self.flat.dtype)
+        out = _named(flat)
+        x = x.astype(np.intp)
         own = x[:, WINDOW - STEP :]
-        hidden = np.ones((*own.shape, WIDTH + 1), np.float32)
-        hidden[:, :, :WIDTH] = np.take(self.w["own"], own, axis=0)
-        half = WIDTH // HEADS
-        for h, (query, key, value) in enumerate(heads):
-            p = np.take(query, own, axis=0) @ np.take(key, x, axis=0).transpose(0, 2, 1)
-            p += mask[h]
-            if large:
-                np.minimum(p, 60.0, out=p)
-            np.exp(p, out=p)
-            mean = p @ np.take(value, x, axis=0)
-            hidden[:, :, h * half : (h + 1) * half] += mean[:, :, :half] / (mean[:, :, half:] + np.float32(1e-20))
-        np.tanh(hidden[:, :, :WIDTH], out=hidden[:, :, :WIDTH])
-        logits = hidden.reshape(-1, WIDTH + 1) @ out
-        g = goal.reshape(-1)
-        real = g != PAD
-        picked = logits[np.arange(len(g)), np.where(real, g, 0)]
-        if steep:
-            top = logits.max(1, keepdims=True)
-            logits -= top
-            picked -= top[:, 0]
-        np.exp(logits, out=logits)
-        sums = logits @ np.stack([np.ones(CLASSES, np.float32), begins.astype(np.float32)], axis=1)
-        np.log(sums + np.float32(1e-30), out=sums)
-        return np.where(real, picked - sums[:, 0], 0.0), sums[:, 1] - sums[:, 0]
-
-    def gradient(self, x: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability of the goals."""
-        hidden, heads, own = self.forward(x)
-        flat = hidden.reshape(-1, WIDTH)
-        logits = flat @ self.w["out"] + self.w["bias"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        g = goal.reshape(-1)
-        real = g != PAD
-        logits[np.arange(len(g))[real], g[real]] -= 1.0
-        logits[~real] = 0.0
-        logits /= max(1, int(real.sum()))
-        out = {"out": flat.T @ logits, "bias": logits.sum(0)}
-        inner = ((logits @ self.w["out"].T) * (1.0 - flat * flat)).reshape(hidden.shape)
-        marks = (x.reshape(-1)[None, :] == np.arange(SYMBOLS, dtype=x.dtype)[:, None]).astype(np.float32)
-        own_marks = np.ascontiguousarray(marks.reshape(SYMBOLS, len(x), WINDOW)[:, :, WINDOW - STEP :]).reshape(SYMBOLS, -1)
-        spread = lambda at, rows: at @ rows.reshape(at.shape[1], -1)
-        out["own"] = spread(own_marks, inner)
-        parts: dict[str, list[np.ndarray]] = {"query": [], "key": [], "value": []}
-        place = np.zeros((HEADS, WINDOW), np.float32)
-        for h, (q, k, v, p) in enumerate(heads):
-            d = inner[:, :, h * WIDTH // HEADS : (h + 1) * WIDTH // HEADS]
+        pair = own[:, :, None] * SYMBOLS + x[:, None, :]
+        one, place = self.tables()
+        hidden = np.take(w["own"], own, axis=0)
+        heads = []
+        for h in range(HEADS):
+            p, v = np.take(one[h].ravel(), pair, mode="clip"), np.take(w["value"][h], x, axis=0)
+            p *= place[h]
+            p *= 1.0 / (p @ np.ones((WINDOW, 1), p.dtype) + p.dtype.type(1e-20))
+            mean = p @ v
+            hidden[:, :, h * PART : (h + 1) * PART] += mean
+            heads.append((p, v, mean))
+        _squash(hidden)
+        real, of, within, ends = _by_group(goal)
+        rows = np.ones((len(real), WIDTH + 1), hidden.dtype)
+        rows[:, :WIDTH] = np.take(hidden.reshape(-1, WIDTH), real, axis=0)
+        at, n = np.arange(len(real)), flat.dtype.type(max(1, len(real)))
+
+        def error(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            e, total = _shares(logits)
+            e *= (np.exp(-total) / n)[:, None]
+            e[at[: len(e)], wanted] -= 1.0 / n
+            return e
+
+        d = error(rows @ w["group"], of)
+        out["group"][:] = rows.T @ d
+        back = d @ w["group"][:WIDTH].T
+        for k in range(GROUPS):
+            if (a := ends[k]) < (b := ends[k + 1]):
+                d = error(rows[a:b] @ w["member"][k], within[a:b])
+                out["member"][k] = rows[a:b].T @ d
+                back[a:b] += d @ w["member"][k, :WIDTH].T
+        slope = 1.0 - np.abs(rows[:, :WIDTH])
+        back *= slope
+        back *= slope
+        inner = np.zeros((own.size, WIDTH), hidden.dtype)
+        inner[real] = back
+
+        def spread(ids: np.ndarray, grown: np.ndarray) -> np.ndarray:
+            width = grown.shape[-1]
+            return np.bincount((ids.reshape(-1, 1) * width + np.arange(width)).ravel(), grown.ravel().astype(np.float64), SYMBOLS * width).reshape(SYMBOLS, width)
+
+        out["own"][:] = spread(own, inner)
+        inner, pair = inner.reshape(hidden.shape), pair.ravel()
+        for h, (p, v, mean) in enumerate(heads):
+            d = inner[:, :, h * PART : (h + 1) * PART]
             s = d @ v.transpose(0, 2, 1)
-            s = p * (s - (s * p).sum(-1, keepdims=True))
-            parts["value"].append(p.transpose(0, 2, 1) @ d)
-            parts["query"].append(s @ k[:, :, :KEY])
-            parts["key"].append(s.transpose(0, 2, 1) @ q[:, :, :KEY])
-            np.add.at(place[h], np.maximum(_BEHIND, 0).reshape(-1), np.where(_BEHIND >= 0, s.sum(0), 0.0).reshape(-1))
-        out["query"] = spread(own_marks, np.concatenate(parts["query"], axis=2))
-        out["key"] = spread(marks, np.concatenate(parts["key"], axis=2))
-        out["value"] = spread(marks, np.concatenate(parts["value"], axis=2))
-        out["place"] = place
-        return out
+            s -= (d * mean).sum(-1, keepdims=True)
+            s *= p
+            out["value"][h] = spread(x, p.transpose(0, 2, 1) @ d)
+            met = np.bincount(pair, s.ravel().astype(np.float64), SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS).astype(flat.dtype)
+            out["query"][h], out["key"][h] = met @ w["key"][h], met.T @ w["query"][h]
+            out["place"][h] = np.bincount(np.maximum(_BEHIND, 0).ravel(), np.where(_BEHIND >= 0, s.sum(0), 0.0).ravel(), WINDOW)
+        return flat
 
     def train(self, x: np.ndarray, goal: np.ndarray, rate: float, moments: tuple | None = None) -> tuple:
         """One pass of Adam over windows in their order; moments: what an earlier call returned, which this one goes on from."""
-        first, second, step = moments or ({k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}, 0)
+        first, second, step = moments or (np.zeros_like(self.flat), np.zeros_like(self.flat), 0)
         for at in range(0, len(x), BATCH):
             step += 1
-            for k, g in self.gradient(x[at : at + BATCH], goal[at : at + BATCH]).items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                self.w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            g = self.gradient(x[at : at + BATCH], goal[at : at + BATCH])
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            self.flat -= rate / (1 - 0.9**step) * first / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         return first, second, step
 
 
@@ -329,13 +370,13 @@ class Model:
         ends = np.cumsum(sizes)
         row, starts, goal, _ = inputs_and_starts(np.split(self.classes.of[ids], ends[:-1]))
         own, begin = np.zeros(goal.shape), np.zeros(goal.shape)
-        for at in range(0, len(starts), CHUNK):
-            x = row[starts[at : at + CHUNK, None] + np.arange(WINDOW)]
-            got = self.attention.score(x, goal[at : at + CHUNK], self.classes.begins)
-            own[at : at + CHUNK], begin[at : at + CHUNK] = (y.reshape(len(x), STEP) for y in got)
+        for at in range(0, len(starts), PHASE):
+            x = row[starts[at : at + PHASE, None] + np.arange(WINDOW)]
+            got = self.attention.score(x, goal[at : at + PHASE])
+            own[at : at + PHASE], begin[at : at + PHASE] = (y.reshape(len(x), STEP) for y in got)
         real = goal != PAD
         own, begin = own[real] + self.classes.within[ids], begin[real]
-        first = self.classes.begins[self.classes.of[ids]]
+        first = begins_word(self.classes.of[ids])
         word = np.cumsum(first) - 1
         out = np.bincount(word, own)
         moved = first.copy()
@@ -392,36 +433,74 @@ def count_subwords(counts: DataFrame, subwords: Subwords) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, subwords: Subwords, classes: Classes, text_col: str = "text", share: int = SHARE) -> Attention:
-    """Attention fitted on every share-th row of docs (1: all), each in one of ROUNDS rounds."""
+_FIXED = float(1 << 30)  # weights are summed as whole multiples of its inverse, so their order does not count
+
+
+def train(docs: DataFrame, subwords: Subwords, classes: Classes, words: int) -> Attention:
+    """Attention fitted on the texts of docs (key, text), each met once; words: how many they have."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((subwords.pieces, classes.of))
-    trainers = max(1, min(TRAINERS, spark.sparkContext.defaultParallelism))
-    # by rows, not by texts: copies are dealt to all rounds
-    numbered = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("k")).where(F.col("k") % share == 0)
-    dealt = numbered.select("text", F.floor(F.col("k") / share).alias("k")).withColumn("fold", F.col("k") % ROUNDS)
+    folds = max(1, words // (ROUNDS * FOLD_WORDS))
+    drawn = F.xxhash64(F.col("key").cast("string"), F.coalesce("text", F.lit("")))
+    dealt = docs.select("text", drawn.alias("drawn")).withColumn("fold", F.pmod(F.shiftright("drawn", 8), F.lit(folds)).cast("int"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, of = shared.value
+        memory = Memory(Subwords(pieces))
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [words_of(t.as_py()) for t in part.column("text")]
+                ids, sizes = memory.subwords_of(memory.numbers([w for words in texts for w in words]))
+                ends = np.append(0, np.cumsum(sizes))[np.cumsum([len(w) for w in texts])]
+                packed = np.split(np.insert(of[ids], ends, of[-1]), ends[:-1] + np.arange(1, len(ends)))
+                yield _batch({"fold": part.column("fold"), "drawn": part.column("drawn"), "classes": pa.array([c.tobytes() for c in packed], pa.binary())})
+
     model = Attention.initial(classes.share)
     for r in range(ROUNDS):
-        start, rate = model.dump(), 0.02 / (1 + 2 * r)
+        start, rate = model.flat, 0.02 / (1 + 2 * r)
 
-        def local(batches: Iterator[pa.RecordBatch], start: bytes = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
             # a task holds the windows of MIXED documents
-            pieces, of = shared.value
-            own, moments, memory, n, mixer = Attention.load(start), None, Memory(Subwords(pieces)), 0, np.random.default_rng(0)
+            total, trained, now = np.zeros(_SIZE, np.int64), 0, None
+            waiting: list[np.ndarray] = []
+
+            def learn() -> None:
+                nonlocal moments
+                row, starts, goal, _ = inputs_and_starts(waiting)
+                mixed = mixer.permutation(len(starts))
+                for part in np.split(mixed, range(64 * BATCH, len(mixed), 64 * BATCH)):
+                    moments = own.train(row[starts[part, None] + np.arange(WINDOW)], goal[part], rate, moments)
+                waiting.clear()
+
+            def done() -> None:
+                nonlocal trained
+                if now is not None:
+                    if waiting:
+                        learn()
+                    total[:] += np.rint(own.flat * _FIXED).astype(np.int64)
+                    trained += 1
+
             for batch in batches:
-                for at in range(0, len(batch), MIXED):
-                    texts = [words_of(t.as_py()) for t in batch.slice(at, MIXED).column(0)]
-                    row, starts, goal, _ = inputs_and_starts([np.append(of[memory.subwords_of(memory.numbers(w))[0]], of[-1]) if w else of[-1:] for w in texts])
-                    mixed = mixer.permutation(len(starts))
-                    n += len(mixed)
-                    for part in np.split(mixed, range(64 * BATCH, len(mixed), 64 * BATCH)):
-                        moments = own.train(row[starts[part, None] + np.arange(WINDOW)], goal[part], rate, moments)
-            yield _batch({"weights": pa.array([own.dump()], pa.binary()), "n": pa.array([n], pa.int64())})
-
-        found = dealt.where(F.col("fold") == r).select("text").coalesce(trainers).mapInArrow(local, "weights binary, n long").where("n > 0").collect()
-        total = sum(x.n for x in found)
-        if total:
-            model = Attention.load(sum(np.frombuffer(bytes(x.weights), np.float32) * (x.n / total) for x in found))
+                for fold, packed in zip(batch.column("fold").to_pylist(), batch.column("classes")):
+                    if fold != now:
+                        done()
+                        now, own, moments, mixer = fold, Attention(start.copy()), None, np.random.default_rng(0)
+                    waiting.append(np.frombuffer(packed.as_buffer(), np.uint8))
+                    if len(waiting) == MIXED:
+                        learn()
+            done()
+            if trained:
+                yield _batch({"total": pa.array([total], pa.list_(pa.int64())), "trained": pa.array([trained], pa.int64())})
+
+        mine = dealt.where(F.pmod("drawn", F.lit(ROUNDS)) == r).mapInArrow(cut, "fold int, drawn long, classes binary")
+        ordered = mine.repartitionById(folds, "fold").sortWithinPartitions("fold", "drawn", "classes")
+        sums = ordered.select("fold", "classes").mapInArrow(local, "total array<long>, trained long")
+        found = sums.select("trained", F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("total"), F.sum("trained").alias("trained")).toPandas()
+        if len(found):
+            flat = np.zeros(_SIZE, np.float32)
+            flat[found["pos"].to_numpy()] = found["total"].to_numpy() / _FIXED / found["trained"].to_numpy()
+            model = Attention(flat)
     return model
 
 
@@ -441,7 +520,7 @@ def frequent_words(counts: DataFrame, limit: int = FREQUENT) -> tuple[dict[bytes
     return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist())), least
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, share: int = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
     Null and empty texts are one token, the end. Repeated rows are scored (and learned from) each by itself; a null id
@@ -450,20 +529,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    known = rows.where(~is_held_out(F.col("key"))).select("text")
+    known = rows.where(~is_held_out(F.col("key")))
     counts = checkpointed(count_words(known))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent, least = frequent_words(counts)
     subwords = Subwords.load(vocabulary)
     classes = Classes.from_counts(count_subwords(counts, subwords), np.append(subwords.begins, True))
-    attention = train(known, subwords, classes, "text", share)
-    shared = spark.sparkContext.broadcast((subwords.pieces, classes, attention.dump(), frequent))
+    attention = train(known, subwords, classes, total)
+    shared = spark.sparkContext.broadcast((subwords.pieces, classes, attention.flat, frequent))
     n_end = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, classes, weights, often = shared.value
         subwords = Subwords(pieces)
-        model, memory = Model(subwords, classes, Attention.load(weights)), Memory(subwords, often)
+        model, memory = Model(subwords, classes, Attention(weights)), Memory(subwords, often)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
