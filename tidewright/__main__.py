@@ -5,28 +5,21 @@ from __future__ import annotations
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from tidewright.functions.cluster import checkpointed
 from tidewright.operators.compare import compare
 from tidewright.operators.engine import OdEngine
 from tidewright.operators.violations import delete_by_value
 from tidewright.sources.sinks import append_stats, result_path, write_final, write_ods, write_text
-from tidewright.sources.tables import Config, load_config, read_changes, read_ods, start_of
-
-
-def _rows(df: DataFrame, names: list[str], offset: int) -> DataFrame:
-    """Inserts with ids: record ids where given, else file positions behind offset."""
-    return checkpointed(df.select(F.coalesce(F.col("_rid"), F.col("_seq") + F.lit(offset)).alias("_tid"), *names))
+from tidewright.sources.tables import Config, load_config, numbered, read_changes, read_ods, start_of
 
 
 def run(spark: SparkSession, config: Config) -> list[dict]:
     """Runs a configuration; a row of statistics for each phase."""
-    table, names, ods = start_of(spark, config)
+    table, names, ods, free = start_of(spark, config)
     empty = spark.createDataFrame([], "_tid long, " + ", ".join(f"`{n}` long" for n in names))
     began = time.time()
-    engine = OdEngine(empty if table is None else _rows(table, names, 0), names, ods)
+    engine = OdEngine(empty if table is None else table, names, ods)
     stats: list[dict] = []
 
     def done(phase: str, expected: str | None, source: str) -> None:
@@ -47,7 +40,8 @@ def run(spark: SparkSession, config: Config) -> list[dict]:
             if config.csv.can_have_deletions:
                 engine.apply(changes)
             else:
-                engine.insert(_rows(changes, names, (i + 1) << 50))
+                rows, free = numbered(changes, names, free)
+                engine.insert(rows)
             done(f"increment_{i}", wanted.get(i), path)
     if config.deletion_mode != "none":
         for i in reversed(range(len(config.increments))):

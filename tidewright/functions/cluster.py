@@ -1,22 +1,56 @@
-"""Helpers for plans that must hold on a cluster: reliable checkpoints, and global positions without a global task."""
+"""Helpers for plans that must hold on a cluster: reliable checkpoints and tables, and global positions without a global task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the folder that spark.checkpoint.dir names (a local one where it is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one where it is unset and the master is local."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Tables:
+    """Tables written in the shared folder, which cut lineage: a lost executor costs no work before them."""
+
+    #: Rows of a file of a table whose size is known to be small.
+    ROWS = 250_000
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.written = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again; with rows (at most so many) in files of ROWS, else in as many as df has partitions."""
+        self.written += 1
+        path = f"{self.root}/{self.written}"
+        (df if rows is None else df.coalesce(1 + rows // self.ROWS)).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes all tables; whatever reads them must have been written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "_pos") -> DataFrame:
     """df with its rows' places from 0 in the order given.
 

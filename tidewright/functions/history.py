@@ -4,21 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.cluster import with_position
 
+#: Names of attributes up to so many are broadcast to the changes; beyond, the join is dealt out by name.
+BROADCAST_NAMES = 200_000
+
 
 def normal_type(name: Column) -> Column:
-    """A type's name: lower case, without its prefixes, white space collapsed."""
-    out = F.regexp_replace(F.lower(F.trim(name)), r"^(template:\s*)?(infobox\s+)?", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """A type's name: lower case, without "infobox " (or "infobox_") and "template:" wherever they stand, white space collapsed; null is empty."""
+    out = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("infobox_"), F.lit("infobox "))
+    out = F.replace(F.replace(out, F.lit("infobox "), F.lit("")), F.lit("template:"), F.lit(""))
+    return F.trim(F.regexp_replace(out, r"[\s\x1c-\x1f\x85\xa0]+", " "))
 
 
 def normal_attribute(name: Column) -> Column:
-    return F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
+    """An attribute's name in lower case with _ for spaces; null is empty."""
+    return F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit(" "), F.lit("_"))
+
+
+def in_feed_order(events: DataFrame, time: str, operation: str) -> DataFrame:
+    """events by time, of one time by operation, so that deletes stand before inserts before updates."""
+    return events.orderBy(time, operation)
+
+
+def allowed_attributes(stats: DataFrame) -> DataFrame:
+    """name, attributes: the allow-list of each type from rows of statistics (infobox_name, attributes: a map to counts);
+    types without a name are left out."""
+    return stats.where(F.coalesce(F.col("infobox_name"), F.lit("")) != "").select(F.col("infobox_name").alias("name"), F.coalesce(F.map_keys("attributes"), F.array().cast("array<string>")).alias("attributes"))
+
+
+def only_allowed(events: DataFrame, kind: str, attribute: str, allowed: DataFrame) -> DataFrame:
+    """The changes (one attribute each) of attributes that their type's allow-list has (name, attributes)."""
+    pairs = allowed.select(F.col("name").alias("_kind"), F.explode("attributes").alias("_attribute")).distinct()
+    return events.join(F.broadcast(pairs) if pairs.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else pairs, (F.col(kind) == F.col("_kind")) & (F.col(attribute) == F.col("_attribute")), "left_semi")
 
 
 def safe_file_name(name: Column) -> Column:
@@ -50,33 +71,27 @@ def carried_forward(events: DataFrame, record: str, order: Sequence[str], column
 def rebuild(changes: DataFrame, record: str, time: str, attribute: str, value: str, allowed: Sequence[str]) -> DataFrame:
     """record, time, event_type and one column for each allowed attribute: the states that single changes give.
 
-    Changes of one time are one step, of which the first of an attribute counts (by value where given twice); a null
-    value removes it. A step that adds no value makes no event. The first event of a record is an insert, later ones are
-    updates with the whole state, and a step that leaves nothing is a delete.
+    Changes of one time are one step, of which the first of an attribute counts (by value where given twice, null last); a
+    null value removes it. A step that adds no value makes no event, but one that leaves nothing of a known record is
+    a delete, after which the record is unknown. The first event of a record, and the first behind a delete, is an
+    insert; later ones are updates with the whole state. Null values of record and time are values like others.
     """
-    schema = ", ".join([f"`{record}` {changes.schema[record].dataType.simpleString()}", f"`{time}` {changes.schema[time].dataType.simpleString()}", "event_type string", *(f"`{c}` string" for c in allowed)])
-
-    def states(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, str] = {}
-        out, known = [], False
-        for at, step in rows.sort_values([time, attribute, value], kind="stable").groupby(time, sort=True):
-            added = False
-            for name, new in step.drop_duplicates(attribute)[[attribute, value]].itertuples(index=False):
-                if name not in allowed:
-                    continue
-                if pd.isna(new):
-                    state.pop(name, None)
-                else:
-                    state[name], added = new, True
-            if added:
-                out.append((rows[record].iloc[0], at, "update" if known else "insert", *(state.get(c) for c in allowed)))
-                known = True
-            elif known and not state:
-                out.append((rows[record].iloc[0], at, "delete", *(None for _ in allowed)))
-                known = False
-        return pd.DataFrame(out, columns=[record, time, "event_type", *allowed])
-
-    return changes.groupBy(record).applyInPandas(states, schema)
+    mine = F.when(F.col(attribute).isin(*allowed), F.col(attribute))
+    named = changes.select(F.col(record).alias("r"), F.col(time).alias("t"), mine.alias("a"), F.col(value).cast("string").alias("v")).where("a is not null")
+    # a struct of (is null, value) orders values before null
+    firsts = [F.min(F.when(F.col("a") == c, F.struct(F.col("v").isNull().alias("gone"), "v"))).alias(f"c{i}") for i, c in enumerate(allowed)]
+    steps = named.groupBy("r", "t").agg(*firsts)
+    own = [f"c{i}" for i in range(len(allowed))]
+    adds = F.greatest(*[F.coalesce(~F.col(f"{c}.gone"), F.lit(False)).cast("int") for c in own], F.lit(0)) > 0
+    before = Window.partitionBy("r").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    state = steps.withColumn("adds", adds).withColumns({c: F.last(c, ignorenulls=True).over(before)["v"] for c in own})
+    empty = F.coalesce(*[F.col(c) for c in own]).isNull()
+    # of steps that could be events, a delete counts only behind an addition
+    marked = state.withColumn("kind", F.when(F.col("adds"), "add").when(empty, "none")).where("kind is not null")
+    previous = F.lag("kind").over(Window.partitionBy("r").orderBy("t"))
+    events = marked.withColumn("previous", previous).where("adds or previous = 'add'")
+    kind = F.when(~F.col("adds"), "delete").when(F.col("previous") == "add", "update").otherwise("insert")
+    return events.select(F.col("r").alias(record), F.col("t").alias(time), kind.alias("event_type"), *[F.col(c).alias(name) for c, name in zip(own, allowed)])
 
 
 def final_state(events: DataFrame, record: str, order: Sequence[str], operation: str, delete: str = "delete") -> DataFrame:

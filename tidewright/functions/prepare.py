@@ -12,8 +12,17 @@ from tidewright.functions.cluster import with_position
 
 #: Tokens that stand for null, in any case.
 NULL_TOKENS = ("", "?", "null")
-#: Date formats that are tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss")
+#: Date formats in the order in which they are tried, each with Spark's patterns for it.
+DATE_FORMATS = {
+    "%Y-%m-%dT%H:%M:%SZ": ("yyyy-M-d'T'H:m:s'Z'",),
+    "%a, %d %b %Y %H:%M:%S %Z": ("d MMM yyyy H:m:s z",),
+    "%m/%d/%Y": ("M/d/yyyy",),
+    "%d.%m.%Y": ("d.M.yyyy",),
+    "%Y-%m-%d": ("yyyy-M-d",),
+    "%Y-%m-%d%z": ("yyyy-M-dXXX", "yyyy-M-dXX"),
+}
+#: The name of a day before a date says nothing more, and Spark does not read it.
+_DAY = r"^\s*(Mon|Tue|Wed|Thu|Fri|Sat|Sun), "
 #: Distinct values of a column up to so many are broadcast with their ranks; beyond, the join is dealt out by value.
 BROADCAST_VALUES = 500_000
 
@@ -47,20 +56,28 @@ def sample_columns(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.select(*[c for c in df.columns if c in drawn])
 
 
-def date_formats(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> dict[str, str]:
+def _as_date(column: str, name: str) -> Column:
+    """The timestamp that a text column says in a format, null where it says none."""
+    text = F.col(column)
+    if name.startswith("%a"):
+        text = F.when(text.rlike(_DAY), F.regexp_replace(text, _DAY, ""))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in DATE_FORMATS[name]])
+
+
+def date_formats(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> dict[str, str]:
     """For each text column the first format that reads all its values (nulls aside; a column of nulls has none); one job."""
     text = [c for c, kind in df.dtypes if kind == "string"]
     if not text:
         return {}
-    count = [F.count(F.expr(f"try_to_timestamp(`{c}`, '{f}')")).alias(f"{c}|{i}") for c in text for i, f in enumerate(formats)]
+    count = [F.count(_as_date(c, f)).alias(f"{c}|{i}") for c in text for i, f in enumerate(formats)]
     row = df.agg(*[F.count(c).alias(c) for c in text], *count).first()
     found = {c: next((f for i, f in enumerate(formats) if row[c] and row[f"{c}|{i}"] == row[c]), None) for c in text}
     return {c: f for c, f in found.items() if f}
 
 
-def infer_dates(df: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def infer_dates(df: DataFrame, formats: Sequence[str] = tuple(DATE_FORMATS)) -> DataFrame:
     """df with columns of dates as timestamps."""
-    return df.withColumns({c: F.expr(f"try_to_timestamp(`{c}`, '{f}')") for c, f in date_formats(df, formats).items()})
+    return df.withColumns({c: _as_date(c, f) for c, f in date_formats(df, formats).items()})
 
 
 def dense_ranks(df: DataFrame, column: str, nulls: str = "first") -> DataFrame:

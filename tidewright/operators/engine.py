@@ -17,9 +17,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.functions.cluster import checkpointed
+from tidewright.functions.cluster import Tables
 from tidewright.model import Key, OrderDependency, all_keys, to_frame
-from tidewright.operators.validate import broken, key_of, witnesses
+from tidewright.operators.validate import broken, key_of, touched, witnesses
 from tidewright.plans.lattice import contexts_of, cover, evidence_of, maximal_invalid, minimal, minimal_hitting_sets
 
 OPERATIONS = ("insert", "update", "delete")
@@ -32,10 +32,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CHANGES + 1).count() <= BROADCAST_CHANGES else df
 
 
+#: Changes are appended as tables of their own; behind so many the table is written anew.
+COMPACT = 16
+
+
 class OdEngine:
-    """Maintains the minimal cover of a table of orderable, null-free columns (rank-encode others first).
+    """Maintains the minimal cover of a table of orderable, null-free columns (rank-encode others first; nulls are errors).
 
     rows: the start of the table, with a unique id in `tid` (and, for changes by record, `rid`); ods: its cover if known.
+    A batch costs what it changes: rows are appended or left out by their ids, a context that held before is judged only in
+    classes that a new row is in, and contexts are judged on the whole table only where a proof against them was deleted.
     """
 
     def __init__(self, rows: DataFrame, columns: Iterable[str], ods: Iterable[OrderDependency] | None = None, tid: str = "_tid"):
@@ -43,7 +49,8 @@ class OdEngine:
         if len(self.columns) > 62:
             raise ValueError("contexts are 62 columns wide at most")
         self.keys = all_keys(len(self.columns))
-        self.rows = checkpointed(rows.select(tid, *self.columns))
+        self.tables, self.spent, self.batches = Tables(rows.sparkSession), None, 0
+        self.rows = self._checked(self.tables.write(rows.select(tid, *self.columns)))
         self.proofs: dict[Key, dict[int, tuple[int, int] | None]] = {k: {} for k in self.keys}
         self.contexts: dict[Key, set[int]] = {}
         if ods is not None:
@@ -56,9 +63,18 @@ class OdEngine:
     def spark(self) -> SparkSession:
         return self.rows.sparkSession
 
-    def refine(self) -> int:
-        """Judges candidates until none is broken; the number of rounds."""
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """rows, or an error if a value is null: null differs from nothing, so no order says what it breaks."""
+        found = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in (self.tid, *self.columns)]).first()
+        if any(found):
+            raise ValueError(f"null values in {[c for c, n in found.asDict().items() if n]}: rank-encode or remove them first")
+        return rows
+
+    def refine(self, added: DataFrame | None = None) -> int:
+        """Judges candidates until none is broken; the number of rounds. added: rows that the known contexts were not judged on."""
+        held = {k: set(c) for k, c in self.contexts.items()}
         valid: dict[Key, set[int]] = {k: set() for k in self.keys}
+        near = None if added is None else touched(self.rows, self.columns, added)
         rounds = 0
         while True:
             wanted = {k: minimal_hitting_sets(p) for k, p in self.proofs.items()}
@@ -71,24 +87,46 @@ class OdEngine:
                 return rounds
             # constants first: they may settle compatibles without a job
             first = {od for od in open_ods if od.key.constant} or open_ods
-            failed = broken(self.rows, self.columns, first)
+            # what held before can be broken by added rows alone
+            known = {od for od in first if any(c & od.context == c for c in held.get(od.key, ()))}
+            failed = broken(self.rows, self.columns, first - known) if first - known else set()
+            if near is not None and known:
+                failed |= broken(self.rows, self.columns, known, near)
             for od in first - failed:
                 valid[od.key].add(od.context)
-            if failed:
-                for row in witnesses(self.rows, self.columns, failed, self.tid).collect():  # distinct masks
-                    self.proofs[key_of(row)].setdefault(row["mask"], (row.t1, row.t2))
+            news = 0
+            for ods, rows in ((failed & known, near), (failed - known, None)):
+                if ods:
+                    for row in witnesses(self.rows, self.columns, ods, self.tid, rows).collect():  # distinct masks
+                        proofs = self.proofs[key_of(row)]
+                        news += row["mask"] not in proofs
+                        proofs.setdefault(row["mask"], (row.t1, row.t2))
+            if failed and not news:
+                raise RuntimeError("a dependency was found broken without a proof against it")
             rounds += 1
 
+    def _write(self, rows: DataFrame) -> DataFrame:
+        """The new state of the table, written anew behind COMPACT batches."""
+        self.batches += 1
+        if self.spent:  # the tables of the state before the last one written anew
+            self.spent.clear()
+            self.spent = None
+        if self.batches % COMPACT:
+            return rows
+        self.spent, self.tables = self.tables, Tables(self.spark)
+        return self.tables.write(rows)
+
     def insert(self, delta: DataFrame) -> None:
         """Adds rows (tid and columns)."""
-        self.rows = checkpointed(self.rows.unionByName(delta.select(self.tid, *self.columns)))
-        self.refine()
+        delta = self._checked(self.tables.write(delta.select(self.tid, *self.columns)))
+        self.rows = self._write(self.rows.unionByName(delta))
+        self.refine(delta)
 
     def delete(self, ids: DataFrame) -> None:
         """Removes the rows whose id is in ids; proofs that lost a row are dropped, then candidates are judged anew."""
-        ids = checkpointed(ids.select(F.col(self.tid)).distinct())
-        self.rows = checkpointed(self.rows.join(small(ids), self.tid, "left_anti"))
+        ids = self.tables.write(ids.select(F.col(self.tid)).distinct())
         self._drop_lost(ids)
+        self.rows = self._write(self.rows.join(small(ids), self.tid, "left_anti"))
         self.refine()
 
     def _drop_lost(self, ids: DataFrame) -> None:
@@ -110,17 +148,19 @@ class OdEngine:
         checked = changes.withColumn("_op", F.lower(F.trim(F.col(operation))))
         first = F.min_by("_op", F.col(sequence))
         last = F.max_by(F.struct("_op", *self.columns), F.col(sequence))
-        net = checkpointed(checked.groupBy(F.col(rid).cast("long").alias(self.tid)).agg(first.alias("first"), last.alias("last"), F.max(~F.col("_op").isin(*OPERATIONS) | F.col("_op").isNull()).alias("unknown")))
+        net = self.tables.write(checked.groupBy(F.col(rid).cast("long").alias(self.tid)).agg(first.alias("first"), last.alias("last"), F.max(~F.col("_op").isin(*OPERATIONS) | F.col("_op").isNull()).alias("unknown")))
         known = self.rows.select(F.col(self.tid).alias("known"))
-        judged = checkpointed(net.join(known, net[self.tid] == known["known"], "left").withColumn("wrong", F.when(F.col("unknown"), "unknown operation").when((F.col("first") == "insert") & F.col("known").isNotNull(), "insert of a known record").when((F.col("first") != "insert") & F.col("known").isNull(), "change of an unknown record")))
+        judged = self.tables.write(net.join(known, net[self.tid] == known["known"], "left").withColumn("wrong", F.when(F.col("unknown"), "unknown operation").when((F.col("first") == "insert") & F.col("known").isNotNull(), "insert of a known record").when((F.col("first") != "insert") & F.col("known").isNull(), "change of an unknown record")))
         wrong = judged.where("wrong is not null").select(self.tid, "wrong").head()
         if wrong:
             raise ValueError(f"{wrong.wrong}: {wrong[0]}")
         gone = judged.where("known is not null").select(self.tid)
-        fresh = judged.where("last._op <> 'delete'").select(self.tid, "last.*").drop("_op")
-        self.rows = checkpointed(self.rows.join(small(gone), self.tid, "left_anti").unionByName(fresh))
+        fresh = self._checked(self.tables.write(judged.where("last._op <> 'delete'").select(self.tid, "last.*").drop("_op")))
         self._drop_lost(gone)
-        self.refine()
+        added = fresh if not fresh.isEmpty() else None
+        # rows that are as they were before the batch change nothing, and a deleted id may come back with other values
+        self.rows = self._write(self.rows.join(small(gone), self.tid, "left_anti").unionByName(fresh))
+        self.refine(added)
 
     def ods(self) -> set[OrderDependency]:
         return cover(self.contexts)

@@ -10,7 +10,7 @@ rows are looked at, so neither the empty context nor a hot class is one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from tidewright.model import Key, OrderDependency, members
 
 RANGES = 64
+#: Values drawn to find the ranges of a column that is no number.
+SAMPLED = 2_000
+#: Tables up to so many rows are not cut into ranges.
+WHOLE = 200_000
 #: Contexts of one GROUPING SETS job at most, since Spark expands each row once for each.
 SETS = 12
 
@@ -31,15 +35,28 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def range_bounds(df: DataFrame, names: Iterable[str]) -> dict[str, list[float]]:
-    """Bounds of the ranges of numeric columns: approximate quantiles, found in one job; other columns are one range."""
-    numeric = [c for c in dict.fromkeys(names) if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
+def range_bounds(df: DataFrame, names: Iterable[str]) -> dict[str, list]:
+    """Bounds of the ranges of columns: of numbers approximate quantiles, of other types those of at most about SAMPLED
+    distinct values, drawn by their hash. Bounds only say how work is dealt out, never a result; small tables have none."""
+    names = list(dict.fromkeys(names))
+    if not names or df.limit(WHOLE + 1).count() <= WHOLE:
+        return dict.fromkeys(names, [])
+    numeric = [c for c in names if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
     found = df.stat.approxQuantile(numeric, [i / RANGES for i in range(1, RANGES)], 0.01) if numeric else []
-    return {c: sorted(set(f)) for c, f in zip(numeric, found)}
+    out = {c: sorted(set(f)) for c, f in zip(numeric, found)}
+    others = [c for c in names if c not in numeric]
+    if others:
+        distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first()
+        for c in others:
+            drawn = F.pmod(F.xxhash64(F.lit("range"), c), F.lit(1 + distinct[c] // SAMPLED)) == 0
+            values = df.where(F.col(c).isNotNull() & drawn).select(c).distinct().orderBy(c).toPandas()[c].tolist()
+            out[c] = [values[i * len(values) // RANGES] for i in range(1, RANGES)] if len(values) >= RANGES else values
+            out[c] = list(dict.fromkeys(out[c]))
+    return out
 
 
-def _range(value: Column, bounds: Sequence[float]) -> Column:
-    return reduce(Column.__add__, [F.coalesce(value > b, F.lit(False)).cast("int") for b in bounds], F.lit(0))
+def _range(value: Column, bounds: Sequence) -> Column:
+    return reduce(Column.__add__, [F.coalesce(value > F.lit(b), F.lit(False)).cast("int") for b in bounds], F.lit(0))
 
 
 def constant_groups(df: DataFrame, contexts: dict[str, Sequence[str]], targets: Sequence[str]) -> DataFrame:
@@ -59,8 +76,32 @@ def constant_groups(df: DataFrame, contexts: dict[str, Sequence[str]], targets:
     return grouped.withColumn("gid", gid).drop("g")
 
 
-def constant_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency]) -> set[OrderDependency]:
-    """Those of the constant dependencies that do not hold on df (null-free, as rank-encoded tables are)."""
+Rows = Callable[[int], DataFrame]
+
+
+def touched(df: DataFrame, columns: Sequence[str], delta: DataFrame) -> Rows:
+    """For each context the rows of df in classes that a row of delta is in: an insert can break a dependency in these alone.
+
+    The classes of delta are broadcast if few, so the rest of df is left out where it is scanned.
+    """
+
+    def rows(context: int) -> DataFrame:
+        names = _names(columns, context)
+        return df.join(_few(delta.select(*names).distinct()), names, "left_semi") if names else df
+
+    return rows
+
+
+#: Classes of a change up to so many are broadcast.
+BROADCAST_CLASSES = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
+
+
+def constant_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
+    """Those of the constant dependencies that do not hold on df, or on the rows of their context (null-free, as rank-encoded tables are)."""
     by_context: dict[int, list[OrderDependency]] = {}
     for od in ods:
         by_context.setdefault(od.context, []).append(od)
@@ -70,14 +111,19 @@ def constant_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[Order
         part = order[at : at + SETS]
         targets = sorted({od.key.left for m in part for od in by_context[m]})
         names = {str(m): _names(columns, m) for m in part}
-        groups = constant_groups(df, names, [columns[t] for t in targets])
-        verdicts = groups.groupBy("gid").agg(*(F.max(F.col(f"lo_{columns[t]}") != F.col(f"hi_{columns[t]}")).alias(f"v_{t}") for t in targets))
+        if rows is None:
+            groups = constant_groups(df, names, [columns[t] for t in targets])
+            verdicts = groups.groupBy("gid").agg(*(F.max(F.col(f"lo_{columns[t]}") != F.col(f"hi_{columns[t]}")).alias(f"v_{t}") for t in targets))
+        else:
+            extremes = lambda m: rows(m).groupBy(*names[str(m)]).agg(*(f(columns[t]).alias(f"{p}_{t}") for t in targets for p, f in (("lo", F.min), ("hi", F.max))))
+            flags = [F.coalesce(F.max(F.col(f"lo_{t}") != F.col(f"hi_{t}")), F.lit(False)).alias(f"v_{t}") for t in targets]
+            verdicts = _union([extremes(m).agg(*flags).select(F.lit(str(m)).alias("gid"), "*") for m in part])
         for row in verdicts.collect():  # a row for each context
             broken |= {od for od in by_context[int(row.gid)] if row[f"v_{od.key.left}"]}
     return broken
 
 
-def swap_groups(df: DataFrame, context: Sequence[str], a: str, targets: Sequence[tuple[str, bool]], witness: Column | None = None, bounds: dict[str, list[float]] | None = None) -> DataFrame:
+def swap_groups(df: DataFrame, context: Sequence[str], a: str, targets: Sequence[tuple[str, bool]], witness: Column | None = None, bounds: dict[str, list] | None = None) -> DataFrame:
     """For each class and value of a: lo, hi (of each target b) and the extreme of b over smaller values of a.
 
     targets: (b, same direction). Columns: the context, a, n, lo_b, hi_b, top_b (greatest before) if same, low_b (least
@@ -89,7 +135,11 @@ def swap_groups(df: DataFrame, context: Sequence[str], a: str, targets: Sequence
     keys = [F.col(c).alias(f"x_{i}") for i, c in enumerate(context)]
     classes = [f"x_{i}" for i in range(len(context))]
     groups = df.groupBy(*keys, F.col(a).alias("a")).agg(F.count(F.lit(1)).alias("n"), *(f(value(b)).alias(f"{p}_{b}") for b in names for p, f in (("lo", F.min), ("hi", F.max))))
-    groups = groups.withColumn("_part", _range(F.col("a"), bounds.get(a, ())))
+    if not bounds.get(a):
+        running = Window.partitionBy(*classes).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+        pick = [(F.max(f"hi_{b}") if same else F.min(f"lo_{b}")).over(running).alias(f"{'top' if same else 'low'}_{b}") for b, same in dict.fromkeys(targets)]
+        return groups.select(*classes, "a", "n", *(f"{p}_{b}" for b in names for p in ("lo", "hi")), *pick)
+    groups = groups.withColumn("_part", _range(F.col("a"), bounds[a]))
     inside = Window.partitionBy(*classes, "_part").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*classes).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     extremes = groups.groupBy(*classes, "_part").agg(*(f(f"{p}_{b}").alias(f"{q}_{b}") for b in names for p, q, f in (("hi", "m_top", F.max), ("lo", "m_low", F.min))))
@@ -107,8 +157,9 @@ def swap_condition(b: str, same: bool, inner: str = "") -> Column:
     return F.col(f"top_{b}{inner}") > F.col(f"lo_{b}{inner}") if same else F.col(f"low_{b}{inner}") < F.col(f"hi_{b}{inner}")
 
 
-def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency]) -> set[OrderDependency]:
-    """Those of the compatible dependencies that do not hold on df: one plan for each (context, A), shared by all B."""
+def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
+    """Those of the compatible dependencies that do not hold on df, or on the rows of their context: one plan for each
+    (context, A), shared by all B."""
     by_group: dict[tuple[int, int], list[OrderDependency]] = {}
     for od in ods:
         by_group.setdefault((od.context, od.key.left), []).append(od)
@@ -119,7 +170,7 @@ def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[Ord
         plans = []
         for context, a in order[at : at + SETS]:
             own = by_group[context, a]
-            groups = swap_groups(df, _names(columns, context), columns[a], [(columns[od.key.right], od.key.same) for od in own], bounds=bounds)
+            groups = swap_groups(df if rows is None else rows(context), _names(columns, context), columns[a], [(columns[od.key.right], od.key.same) for od in own], bounds=bounds)
             flags = [F.coalesce(F.max(swap_condition(columns[od.key.right], od.key.same)), F.lit(False)) for od in own]
             plans.append(groups.agg(F.array(*flags).alias("v")).select(F.lit(context).cast("long").alias("context"), F.lit(a).alias("a"), "v"))
         for row in _union(plans).collect():  # a row for each (context, A)
@@ -127,14 +178,14 @@ def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[Ord
     return broken
 
 
-def broken(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency]) -> set[OrderDependency]:
-    """Those of ods that do not hold on df; constants first."""
+def broken(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
+    """Those of ods that do not hold on df, or on what rows (see touched) gives for their context; constants first."""
     ods = set(ods)
     fixed = {od for od in ods if od.key.constant}
-    return (constant_verdicts(df, columns, fixed) if fixed else set()) | (compatible_verdicts(df, columns, ods - fixed) if ods - fixed else set())
+    return (constant_verdicts(df, columns, fixed, rows) if fixed else set()) | (compatible_verdicts(df, columns, ods - fixed, rows) if ods - fixed else set())
 
 
-def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], tid: str = "_tid") -> DataFrame:
+def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], tid: str = "_tid", rows: Rows | None = None) -> DataFrame:
     """left, right, same, mask, t1, t2: for each broken dependency of ods the distinct difference sets of one pair of
     rows of each violating class (or violating group of it), with the ids of such a pair.
 
@@ -142,9 +193,9 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
     """
     row = F.struct(F.col(tid).alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
     plans, ods = [], sorted(set(ods))
-    bounds = range_bounds(df, [columns[od.key.left] for od in ods if not od.key.constant])
+    bounds, whole = range_bounds(df, [columns[od.key.left] for od in ods if not od.key.constant]), df
     for od in ods:
-        key = od.key
+        key, df = od.key, whole if rows is None else rows(od.context)
         if key.constant:
             a = columns[key.left]
             value = F.struct(F.col(a).alias("b"), row.alias("w"))
@@ -153,7 +204,7 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
             b, p = columns[key.right], "top" if key.same else "low"
             groups = swap_groups(df, _names(columns, od.context), columns[key.left], [(b, key.same)], row, bounds)
             pairs = groups.where(swap_condition(b, key.same, ".b")).select(F.col(f"{p}_{b}.w").alias("w"), F.col(f"{'lo' if key.same else 'hi'}_{b}.w").alias("z"))
-        bits = [F.when(F.col(f"w.v{i}") != F.col(f"z.v{i}"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(columns)) if not key.mask >> i & 1]
+        bits = [F.when(F.col(f"w.v{i}").eqNullSafe(F.col(f"z.v{i}")), F.lit(0)).otherwise(F.lit(1 << i)) for i in range(len(columns)) if not key.mask >> i & 1]
         mask = reduce(Column.__add__, bits, F.lit(0)).cast("long")
         found = pairs.groupBy(mask.alias("mask")).agg(F.min(F.struct(F.col("w.t").alias("t1"), F.col("z.t").alias("t2"))).alias("p"))
         plans.append(found.select(F.lit(key.left).alias("left"), F.lit(key.right).alias("right"), F.lit(key.same).alias("same"), "mask", F.col("p.t1").cast("long").alias("t1"), F.col("p.t2").cast("long").alias("t2")))

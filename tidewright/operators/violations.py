@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.engine import small
+from tidewright.operators.engine import BROADCAST_CHANGES, small
 
 
 def _sides(base: DataFrame, delta: DataFrame, context: Sequence[str]) -> tuple[DataFrame, Column]:
     d = small(delta.select([F.col(c).alias(f"d_{c}") for c in delta.columns]))
+    if not context and delta.limit(BROADCAST_CHANGES + 1).count() > BROADCAST_CHANGES:
+        raise ValueError(f"in the empty context every row meets every changed one; a change is {BROADCAST_CHANGES} rows at most there")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in context], F.lit(True))
     return d, same
 
@@ -81,6 +83,8 @@ def swap_pairs(df: DataFrame, context: Sequence[str], a: str, b: str, same: bool
     """context, pairs: how many pairs of rows swap in each class; for contexts of small classes, since it joins a class to itself."""
     left = df.select(*context, a, b)
     right = df.select([F.col(c).alias(f"d_{c}") for c in [*context, a, b]])
-    match = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"d_{c}") for c in context])
+    if not context:
+        raise ValueError("pairs of the empty context are not counted: one class would be joined to itself whole")
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in context])
     wrong = (F.col(b) > F.col(f"d_{b}")) if same else (F.col(b) < F.col(f"d_{b}"))
-    return left.join(right, match & (F.col(a) < F.col(f"d_{a}")) & wrong).groupBy(*context).agg(F.count(F.lit(1)).alias("pairs"))
+    return left.join(right, match & (F.col(a) < F.col(f"d_{a}")) & wrong).groupBy(*[left[c] for c in context]).agg(F.count(F.lit(1)).alias("pairs"))

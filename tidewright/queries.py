@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import history, prepare
 from tidewright.functions.cluster import with_position
-from tidewright.model import OrderDependency, compatible, constant, to_frame, to_text
+from tidewright.model import OrderDependency, all_keys, compatible, constant, to_frame, to_text
 from tidewright.operators import report, validate, violations
 from tidewright.operators.compare import compare_frames
 from tidewright.operators.engine import OdEngine, discover
@@ -102,7 +102,7 @@ def min_max_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 def clusters_to_check(spark: SparkSession, sf: str) -> DataFrame:
     base, delta = _change(spark, sf)
-    return violations.clusters_to_check(base, delta.where("l_orderkey % 970 = 0"), ["l_suppkey"], "l_quantity", "l_tax", "tid")
+    return violations.clusters_to_check(base, delta, ["l_partkey"], "l_quantity", "l_tax", "tid")
 
 
 def dense_ranks(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +114,9 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_inference(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("slashed"), "o_orderpriority")
+    """The format of five text columns of orders, one of them no date."""
+    day = F.col("o_orderdate")
+    orders = table(spark, sf, "orders").select(F.date_format(day, "yyyy-MM-dd").alias("iso"), F.date_format(day, "MM/dd/yyyy").alias("american"), F.date_format(day, "dd.MM.yyyy").alias("dotted"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"), "o_orderpriority")
     found = prepare.date_formats(orders)
     return spark.createDataFrame([(c, found.get(c)) for c in orders.columns], "column string, format string")
 
@@ -219,25 +221,28 @@ def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "kind", "n")
 
 
+#: Tables whose covers are discovered, and their columns.
+DISCOVERED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]}
+CHANGED = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"]
+
+
 def discover_minimal_cover(spark: SparkSession, sf: str) -> DataFrame:
-    region, nation = ["r_regionkey", "r_name"], ["n_nationkey", "n_name", "n_regionkey"]
-    one = to_frame(spark, discover(table(spark, sf, "region"), region), region)
-    return one.unionByName(to_frame(spark, discover(table(spark, sf, "nation"), nation), nation)).select("od", "kind")
+    parts = [to_frame(spark, discover(table(spark, sf, t), names), names).select("od", "kind") for t, names in DISCOVERED.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def maximal_non_ods(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["n_nationkey", "n_name", "n_regionkey"]
+    names = DISCOVERED["nation"]
     engine = OdEngine(table(spark, sf, "nation").withColumn("_tid", F.col("n_nationkey").cast("long")), names)
     return to_frame(spark, engine.non_ods(), names).select("od")
 
 
 def cover_after_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """The cover of four columns of lineitem after a batch of inserts and a batch of deletes."""
-    names = ["l_linenumber", "l_returnflag", "l_linestatus", "l_tax"]
-    lines = with_position(table(spark, sf, "lineitem").select(*LINES, *[c for c in names if c not in LINES]), [F.col(c) for c in (*LINES, "l_returnflag", "l_linestatus", "l_tax")], "_tid")
-    engine = OdEngine(lines.where("l_orderkey % 97 <> 0"), names)
-    engine.insert(lines.where("l_orderkey % 97 = 0"))
-    engine.delete(lines.where("l_orderkey % 89 = 0").select("_tid"))
+    """The cover of four columns of orders after a batch of inserts and a batch of deletes."""
+    orders = table(spark, sf, "orders").withColumn("_tid", F.col("o_orderkey").cast("long"))
+    engine = OdEngine(orders.where("o_orderkey % 97 <> 0"), CHANGED)
+    engine.insert(orders.where("o_orderkey % 97 = 0"))
+    engine.delete(orders.where("o_orderkey % 89 = 0").select("_tid"))
     return engine.to_frame().select("od")
 
 
@@ -289,9 +294,37 @@ def _stripped(context: str) -> str:
     return f"SELECT count(*) AS classes, coalesce(sum(n), 0)::BIGINT AS rows_in_classes, '{context}' AS context FROM (SELECT count(*) AS n FROM lineitem GROUP BY {context} HAVING count(*) > 1)"
 
 
+def _lattice(source: str, names: list[str]) -> str:
+    """SQL for every dependency of a table in every context: od, kind, its key, the context's mask, and whether it holds."""
+    rows = []
+    for key in all_keys(len(names)):
+        for context in range(1 << len(names)):
+            if context & key.mask:
+                continue
+            within = ", ".join(names[i] for i in range(len(names)) if context >> i & 1)
+            text = to_text(OrderDependency(key, context), names)
+            if key.constant:
+                a = names[key.left]
+                holds = f"(SELECT coalesce(bool_and(lo = hi), true) FROM (SELECT min({a}) AS lo, max({a}) AS hi FROM {source}{f' GROUP BY {within}' if within else ''}))"
+            else:
+                holds = _no_swap(source, names[key.left], names[key.right], within, key.same)
+            rows.append(f"SELECT '{text}' AS od, '{'constant' if key.constant else 'compatible'}' AS kind, {key.left} AS a, {key.right} AS b, {str(key.same).lower()} AS same, {context} AS ctx, {holds} AS holds")
+    return " UNION ALL ".join(rows)
+
+
+def _cover(source: str, names: list[str], columns: str) -> str:
+    """SQL for the minimal cover: what holds in no smaller context, and is not implied by a constant side."""
+    return f"""SELECT {columns} FROM (WITH v AS MATERIALIZED ({_lattice(source, names)}) SELECT * FROM v WHERE holds
+      AND NOT EXISTS (SELECT 1 FROM v o WHERE o.holds AND (o.a, o.b, o.same) = (v.a, v.b, v.same) AND o.ctx <> v.ctx AND o.ctx & v.ctx = o.ctx)
+      AND NOT EXISTS (SELECT 1 FROM v o WHERE v.b >= 0 AND o.b < 0 AND o.holds AND o.a IN (v.a, v.b) AND o.ctx & v.ctx = o.ctx))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    nation = [("{n_nationkey}: [] ↦ n_name"), ("{n_nationkey}: [] ↦ n_regionkey"), ("{n_name}: [] ↦ n_nationkey"), ("{n_name}: [] ↦ n_regionkey")]
-    region = [("{r_regionkey}: [] ↦ r_name", "constant"), ("{r_name}: [] ↦ r_regionkey", "constant"), ("{}: r_regionkey↑ ~ r_name↑", "compatible")]
+    expected = ", ".join(f"('{x}')" for x in ("{n_nationkey}: [] ↦ n_name", "{n_nationkey}: [] ↦ n_regionkey", "{n_name}: [] ↦ n_nationkey", "{n_regionkey}: [] ↦ n_nationkey"))
+    formats = {"iso": ("%Y-%m-%d", "o_orderdate"), "american": ("%m/%d/%Y", "o_orderdate"), "dotted": ("%d.%m.%Y", "o_orderdate"), "stamp": ("%Y-%m-%dT%H:%M:%SZ", "o_orderdate"), "o_orderpriority": (None, "o_orderpriority")}
+    tried = ("%Y-%m-%dT%H:%M:%SZ", "%m/%d/%Y", "%d.%m.%Y", "%Y-%m-%d")
+    shown = lambda f, c: f"strftime({c}, '{f}')" if f else c
+    reads = lambda f, c, t: f"WHEN bool_and(try_strptime({shown(f, c)}, '{t}') IS NOT NULL) THEN '{t}'"
     return {
         "constant_od_verdicts": " UNION ALL ".join(map(_verdict, ("o_totalprice", "o_custkey", "o_custkey,o_orderdate", "o_orderkey"))),
         "constant_od_split_classes": "SELECT l_orderkey, l_linenumber, min(l_partkey) AS lo, max(l_partkey) AS hi, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING min(l_partkey) <> max(l_partkey)",
@@ -311,12 +344,12 @@ def oracle_sql() -> dict[str, str]:
         "minimal_difference_masks": f"WITH m AS ({_MASKS}) SELECT mask FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.mask <> m.mask AND m.mask & o.mask = o.mask)",
         "stripped_partition_sizes": " UNION ALL ".join(map(_stripped, ("l_orderkey", "l_partkey,l_suppkey", "l_orderkey,l_linenumber"))),
         "min_max_clusters": "SELECT l_suppkey, l_quantity, min(l_discount) AS lo, max(l_discount) AS hi, count(*) AS n FROM lineitem GROUP BY 1, 2",
-        "clusters_to_check": f"""WITH c AS (SELECT l_suppkey, l_quantity, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_orderkey % 97 <> 0 GROUP BY 1, 2)
-          SELECT {_TID.replace('l_', 'd.l_')} AS delta_id, c.l_quantity, lo, hi FROM c JOIN lineitem d ON d.l_orderkey % 97 = 0 AND d.l_orderkey % 970 = 0 AND c.l_suppkey = d.l_suppkey
+        "clusters_to_check": f"""WITH c AS (SELECT l_partkey, l_quantity, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_orderkey % 97 <> 0 GROUP BY 1, 2)
+          SELECT {_TID.replace('l_', 'd.l_')} AS delta_id, c.l_quantity, lo, hi FROM c JOIN lineitem d ON d.l_orderkey % 97 = 0 AND c.l_partkey = d.l_partkey
           AND ((c.l_quantity < d.l_quantity AND hi > d.l_tax) OR (c.l_quantity > d.l_quantity AND lo < d.l_tax))""",
         "dense_rank_encode": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority NULLS FIRST)::INTEGER AS o_orderpriority, dense_rank() OVER (ORDER BY o_totalprice NULLS FIRST)::INTEGER AS o_totalprice FROM orders",
         "distinct_counts": " UNION ALL ".join(f"SELECT '{n}' AS column, count(DISTINCT {c}) AS n_distinct, (count(*) - count({c}))::BIGINT AS n_null FROM customer" for n, c in (("c_custkey", "c_custkey"), ("c_nationkey", "c_nationkey"), ("c_mktsegment", "c_mktsegment"), ("fixed", "1"))),
-        "date_inference": "SELECT * FROM (VALUES ('iso', 'yyyy-MM-dd'), ('slashed', 'yyyy/MM/dd'), ('o_orderpriority', NULL)) v(\"column\", format)",
+        "date_inference": " UNION ALL ".join(f"SELECT '{n}' AS column, CASE {' '.join(reads(f, c, t) for t in tried)} END AS format FROM orders" for n, (f, c) in formats.items()),
         "batch_split": "SELECT batch::INTEGER AS batch, n::BIGINT AS n FROM (SELECT count(*) AS c FROM orders), LATERAL (VALUES (0, c // 2), (1, c // 4), (2, c - c // 2 - c // 4)) v(batch, n)",
         "row_positions": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders",
         "cdc_final_state": f"SELECT user_id, event_id, op, value FROM {_EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND op <> 'delete'",
@@ -331,7 +364,8 @@ def oracle_sql() -> dict[str, str]:
         "dead_witnesses": f"SELECT o_custkey FROM ({_WITNESS}) WHERE t1 % 3 = 0 OR t2 % 3 = 0",
         "delete_by_value": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS k,
           count(*) FILTER (o_orderkey % 5 = 0) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) SELECT o_orderkey FROM r WHERE k <= n""",
-        "od_set_diff": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{o}')" for s, o in [("correct", nation[0]), ("correct", nation[1]), ("correct", nation[2]), ("unexpected", nation[3]), ("missing", "{n_regionkey}: [] ↦ n_nationkey")]) + ") v(status, od)",
+        "od_set_diff": f"""SELECT CASE WHEN f.od IS NULL THEN 'missing' WHEN e.od IS NULL THEN 'unexpected' ELSE 'correct' END AS status, coalesce(f.od, e.od) AS od
+          FROM ({_cover('nation', DISCOVERED['nation'], 'od')}) f FULL JOIN (VALUES {expected}) e(od) ON f.od = e.od""",
         "superkey_check": " UNION ALL ".join(f"SELECT '{t}' AS context, NOT EXISTS (SELECT 1 FROM {t} GROUP BY {c} HAVING count(*) > 1) AS is_key" for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey, l_linenumber"), ("customer", "c_custkey"))),
         "metric_rates": """SELECT event_type, event_id, event_id - lag(event_id) OVER w AS d_step, round(value - lag(value) OVER w, 6) AS d_time,
           round((value - lag(value) OVER w) / nullif(event_id - lag(event_id) OVER w, 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
@@ -343,5 +377,8 @@ def oracle_sql() -> dict[str, str]:
         "ratio_table": """WITH a AS (SELECT user_id % 50 AS k, avg(value) AS one FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id % 50 AS k, avg(value) AS two FROM events WHERE event_type = 'purchase' AND user_id % 50 < 40 GROUP BY 1)
           SELECT a.k, round(one, 6) AS one, round(two, 6) AS two, round(two / nullif(one, 0), 6) AS ratio, CASE WHEN two IS NULL THEN 'missing' ELSE 'ok' END AS status FROM a LEFT JOIN b ON a.k = b.k""",
         "windowed_event_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
-        "discover_minimal_cover": "SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{k}')" for o, k in [*region, *((o, "constant") for o in nation)]) + ") v(od, kind)",
+        "discover_minimal_cover": " UNION ALL ".join(_cover(t, names, "od, kind") for t, names in DISCOVERED.items()),
+        "maximal_non_ods": f"""SELECT od FROM (WITH v AS MATERIALIZED ({_lattice('nation', DISCOVERED['nation'])}) SELECT * FROM v WHERE NOT holds
+          AND NOT EXISTS (SELECT 1 FROM v o WHERE NOT o.holds AND (o.a, o.b, o.same) = (v.a, v.b, v.same) AND o.ctx <> v.ctx AND o.ctx & v.ctx = v.ctx))""",
+        "cover_after_changes": _cover("(SELECT * FROM orders WHERE o_orderkey % 89 <> 0)", CHANGED, "od"),
     }

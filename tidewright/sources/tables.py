@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.functions.cluster import with_position
 from tidewright.functions.prepare import null_tokens
 from tidewright.model import OrderDependency, parse, trivial
 
@@ -21,7 +22,7 @@ log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class CsvOptions:
     delimiter: str = ","
-    has_header: bool = True
+    has_header: bool = False
     can_have_deletions: bool = False
     columns_to_include: tuple[str, ...] = ()
 
@@ -32,29 +33,32 @@ def letters(n: int) -> list[str]:
 
 
 def header(spark: SparkSession, path: str, options: CsvOptions) -> list[str]:
-    """The column names of a file; blank and repeated ones are errors."""
+    """The column names of a file. Blank names are left out, so later ones move forward; columns at the end without a
+    name are called by their place. Repeated names are errors."""
     first = spark.read.csv(path, sep=options.delimiter, header=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).head()
     if first is None:
         raise ValueError(f"{path} is empty")
+    meta = ["_op", "_rid"] if options.can_have_deletions else []
+    n = len(first) - len(meta)
+    if n < 0:
+        raise ValueError(f"{path}: a change feed begins with an operation and a record id")
     if not options.has_header:
-        n = len(first) - 2 * options.can_have_deletions
-        return (["_op", "_rid"] if options.can_have_deletions else []) + letters(n)
-    names = [(x or "").strip() for x in first]
-    if "" in names or len(set(names)) < len(names):
-        raise ValueError(f"{path}: blank or repeated column names in {names}")
-    return names
+        return meta + letters(n)
+    names = [x.strip() for x in first[len(meta) :] if (x or "").strip()]
+    if len(set(names)) < len(names):
+        raise ValueError(f"{path}: repeated column names in {names}")
+    return meta + names + [f"_c{i}" for i in range(len(names), n)]
 
 
 def read_integers(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """The integer table of a delimited file; a cell that is none, or a row of another width, fails the read."""
+    """The integer table of a delimited file; a cell that is none, blank ones too, or a row of another width fails the read."""
     names = header(spark, path, options)
-    kinds = [T.StringType() if options.can_have_deletions and i == 0 else T.LongType() for i in range(len(names))]
+    kinds = [T.StringType() if n == "_op" and options.can_have_deletions else T.LongType() for n in names]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     df = spark.read.csv(path, schema=schema, sep=options.delimiter, header=options.has_header, enforceSchema=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    if options.can_have_deletions:
-        meta, df = names[:2], df.withColumnsRenamed(dict(zip(names[:2], ("_op", "_rid"))))
-        names = ["_op", "_rid", *names[len(meta) :]]
-    return project(df, options.columns_to_include, keep=("_op", "_rid") if options.can_have_deletions else ())
+    df = project(df, options.columns_to_include, keep=("_op", "_rid") if options.can_have_deletions else ())
+    blank = lambda c: F.raise_error(F.lit(f"{path}: a blank cell in column {c}")).cast("long")
+    return df.withColumns({c: F.coalesce(F.col(c), blank(c)) for c in df.columns if c != "_op"})
 
 
 def project(df: DataFrame, wanted: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -73,16 +77,28 @@ def project(df: DataFrame, wanted: Sequence[str], keep: Sequence[str] = ()) -> D
 def read_changes(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:
     """_op, _rid, _seq and the values: a change feed, or a plain table as inserts (with null _rid).
 
-    _seq follows the order of the file; unknown operations and changes without a record fail the read.
+    _seq follows the order of the file, and of a folder's files by name; unknown operations and changes without a
+    record fail the read.
     """
     df = read_integers(spark, path, options)
     if not options.can_have_deletions:
         df = df.select(F.lit("insert").alias("_op"), F.lit(None).cast("long").alias("_rid"), "*")
     known = F.lower(F.trim("_op"))
     op = F.when(known.isin("insert", "update", "delete"), known).otherwise(F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("_op", F.lit("null")))))
-    rid = F.when(F.col("_rid").isNotNull(), F.col("_rid")).otherwise(F.raise_error(F.lit("a change without a record id")).cast("long")) if options.can_have_deletions else F.col("_rid")
     values = [c for c in df.columns if c not in ("_op", "_rid")]
-    return df.select(op.alias("_op"), rid.alias("_rid"), F.monotonically_increasing_id().alias("_seq"), *values)
+    out = df.select(op.alias("_op"), "_rid", F.monotonically_increasing_id().alias("_seq"), *values)
+    if len(df.inputFiles()) < 2:
+        return out
+    # Spark packs several files by size, so their order is that of their names, and within one that of its lines
+    placed = with_position(out.withColumn("_file", F.input_file_name()), [F.col("_file"), F.col("_seq")], "_place")
+    return placed.withColumn("_seq", F.col("_place").cast("long")).drop("_file", "_place")
+
+
+def numbered(changes: DataFrame, names: Sequence[str], first: int) -> tuple[DataFrame, int]:
+    """The rows with an id in _tid: their record id where given, else their place behind first; and the first id that is free."""
+    rows = changes.select(F.coalesce(F.col("_rid"), F.col("_seq") + F.lit(first)).alias("_tid"), *names)
+    top = changes.agg(F.max(F.coalesce("_rid", F.col("_seq") + F.lit(first)))).first()[0]
+    return rows, first if top is None else max(first, top + 1)
 
 
 def read_raw(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True) -> DataFrame:
@@ -120,14 +136,14 @@ class Config:
 
 
 #: Options that tune another engine and change no result; accepted and ignored.
-TUNING = ("noInvalidTuplesBelow", "minMaxCacheThreshold", "skipRevalidationByInsert", "useBuildOrder", "useLazyList", "useEfficientUpdates", "disableEfficientUpdates", "partialCacheEviction")
+TUNING = ("minMaxCacheThreshold", "optimizeBuildOrder", "partialCacheEviction", "showProgressBar", "skipRevalidationByInsert", "useEfficientUpdates", "useLazyList")
 
 
 def _plain(options: dict, known: dict[str, str], what: str) -> dict:
     unknown = set(options) - set(known)
     if unknown:
         raise ValueError(f"unknown options of {what}: {sorted(unknown)}")
-    return {known[k]: tuple(v) if isinstance(v, list) else v for k, v in options.items()}
+    return {known[k]: tuple(v) if isinstance(v, list) else v for k, v in options.items() if v is not None}
 
 
 def load_config(source: str) -> Config:
@@ -142,7 +158,7 @@ def load_config(source: str) -> Config:
     data, results = raw["data"], raw.get("results", {})
     csv = CsvOptions(**_plain(raw.get("csv", {}), {"delimiter": "delimiter", "hasHeader": "has_header", "canHaveDeletions": "can_have_deletions", "columnsToInclude": "columns_to_include"}, "csv"))
     algorithm = dict(raw.get("algo", {}))
-    mode = str(algorithm.pop("deletionMode", raw.get("deletionMode", "none"))).lower()
+    mode = str(algorithm.pop("deletionMode", None) or "none").lower()
     _plain(algorithm, dict.fromkeys(TUNING, "_"), "algo")
     if mode not in ("none", "afterinsert", "deleteonly"):
         raise ValueError(f"deletionMode: {mode}")
@@ -158,8 +174,8 @@ def config_json(config: Config) -> str:
     return json.dumps(out, indent=2)
 
 
-def start_of(spark: SparkSession, config: Config) -> tuple[DataFrame | None, list[str], set[OrderDependency] | None]:
-    """The first table (None: empty), its value columns and its cover if known.
+def start_of(spark: SparkSession, config: Config) -> tuple[DataFrame | None, list[str], set[OrderDependency] | None, int]:
+    """The first table (_tid and values; None: empty), its value columns, its cover if known, and the first id that is free.
 
     Delete-only runs start with all files and the cover after the last; a run without a first table with the trivial cover.
     """
@@ -169,9 +185,10 @@ def start_of(spark: SparkSession, config: Config) -> tuple[DataFrame | None, lis
     first = read_changes(spark, paths[0] if paths else config.increments[0], config.csv)
     names = [c for c in first.columns if c not in ("_op", "_rid", "_seq")]
     if not paths:
-        return None, names, trivial(len(names))
-    table = first
+        return None, names, trivial(len(names)), 0
+    table, free = numbered(first, names, 0)
     for p in paths[1:]:
-        table = table.unionByName(read_changes(spark, p, config.csv))
+        more, free = numbered(read_changes(spark, p, config.csv), names, free)
+        table = table.unionByName(more)
     expected = (config.expected_increments or (None,))[-1] if config.deletion_mode == "deleteonly" else config.expected_initial
-    return table, names, read_ods(spark, expected, names) if expected else None
+    return table, names, read_ods(spark, expected, names) if expected else None, free

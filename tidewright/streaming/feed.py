@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewright.functions.cluster import with_position
 from tidewright.operators.engine import OdEngine
 
 
-def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, on_batch: Callable[[int, OdEngine], None] | None = None, available_now: bool = True, sequence: str = "_seq") -> StreamingQuery:
+def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, state: str, on_batch: Callable[[int, OdEngine], None] | None = None, available_now: bool = True, sequence: str = "_seq", done: int = -1) -> StreamingQuery:
     """Applies a stream of changes (_op, _rid, _seq, values) to engine by foreachBatch and starts it.
 
-    A batch that is replayed after a failure of this driver's query is skipped by its number; a new driver builds the
-    engine from the table of its last batch. on_batch sees the number and the engine after each batch.
+    The first table and each batch are stored under state before they are applied, so a new driver goes on from
+    recover(). Batches up to done, replayed behind a failure, are passed over. on_batch sees the number and the engine after each batch.
     """
-    done = -1
+    engine.rows.write.mode("ignore").parquet(f"{state}/start")
 
     def apply(batch: DataFrame, number: int) -> None:
         nonlocal done
         if number <= done:
             return
-        if not batch.isEmpty():
-            engine.apply(batch, sequence=sequence)
+        batch.write.mode("overwrite").parquet(f"{state}/changes/batch={number}")
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{state}/changes/batch={number}")
+        if not stored.isEmpty():
+            engine.apply(stored, sequence=sequence)
         done = number
         if on_batch:
             on_batch(number, engine)
@@ -33,6 +37,20 @@ def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, on_batch: Cal
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def recover(spark: SparkSession, state: str, columns: Sequence[str], tid: str = "_tid", sequence: str = "_seq") -> tuple[OdEngine, int]:
+    """The engine behind all batches stored under state, and the last one's number (-1: none); the batches count as one."""
+    engine = OdEngine(spark.read.parquet(f"{state}/start"), columns, tid=tid)
+    try:
+        changes = spark.read.option("basePath", f"{state}/changes").parquet(f"{state}/changes")
+    except AnalysisException:  # no batch was stored
+        return engine, -1
+    last = changes.agg(F.max("batch")).first()[0]
+    if last is not None:
+        placed = with_position(changes, [F.col("batch"), F.col(sequence)], "_place")
+        engine.apply(placed.drop(sequence, "batch").withColumnRenamed("_place", sequence), sequence=sequence)
+    return engine, -1 if last is None else int(last)
+
+
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
     """start, kind, n: events by window of time; works on streams, where events later than `late` are left out by the watermark."""
     marked = events.withWatermark(time, late) if events.isStreaming else events
