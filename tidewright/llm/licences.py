@@ -14,25 +14,29 @@ from tidewright.llm.common import NOT_ALNUM, bounded
 #: Known digests up to so many rows are broadcast; beyond, the join is dealt out by digest.
 BROADCAST_ROWS = 20_000
 
-#: Lines that name a holder or reserve rights, with their line end.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that state a copyright: such a word or sign at the start, and a year, a sign or a place for them; and lines that
+#: say "all rights reserved" and no more. A line of running text that begins with the word is none.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\n]*(?:[0-9]{4}|\(c\)|©|<year>|\[year\]|\[yyyy\])[^\n]*|(?:\(c\)|©)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+)
 
-#: Equivalent spellings, left is written as right.
+#: Equivalent spellings, left is written as right; a space stands for the edge of a word.
 SPELLINGS = (
-    ("licence", "license"),
-    ("sub license", "sublicense"),
-    ("non infringement", "noninfringement"),
-    ("organisation", "organization"),
-    ("authoris", "authoriz"),
-    ("acknowledgement", "acknowledgment"),
-    ("copyright owner", "copyright holder"),
-    ("favour", "favor"),
-    ("whilst", "while"),
-    ("wilful", "willful"),
-    ("per cent", "percent"),
-    ("modelled", "modeled"),
-    ("recognis", "recogniz"),
-    ("https", "http"),
+    (" licence", " license"),
+    (" sub license", " sublicense"),
+    (" sublicence", " sublicense"),
+    (" non infringement ", " noninfringement "),
+    (" organisation", " organization"),
+    (" authoris", " authoriz"),
+    (" acknowledgement", " acknowledgment"),
+    (" copyright owner", " copyright holder"),
+    (" favour", " favor"),
+    (" whilst ", " while "),
+    (" wilful", " willful"),
+    (" per cent ", " percent "),
+    (" modelled ", " modeled "),
+    (" recognis", " recogniz"),
+    (" https ", " http "),
 )
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE'
@@ -56,28 +60,58 @@ TEXTS = (
 )
 
 
-def known_licences(spark: SparkSession) -> DataFrame:
-    """license_id, text: each known licence with and without its title line."""
+#: Canonical digests of public licences whose texts are long, from their plain text forms; of some also
+#: without the appendix that says how to apply them.
+DIGESTS = (
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("Apache-2.0", "9446b99128ec9c3946adbb681853599f3a5f01a69d6c0762a9d0ab699868d801"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "7843068060f4d9ee30736221ce49abf6cb7dafa9b775fabb47fbf0c21e05b102"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+)
+
+
+def known_digests(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """license_id, digest: each known licence with and without its title line; texts: more of them (license_id, text)."""
     rows = [(i, body) for i, _, body in TEXTS] + [(i, f"{title}\n\n{body}") for i, title, body in TEXTS if title]
-    return spark.createDataFrame(rows, "license_id string, text string")
+    known = spark.createDataFrame(rows, "license_id string, text string")
+    known = known if texts is None else known.unionByName(texts.select("license_id", "text"))
+    digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    return digests.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
 
 
 def canonical(text: Column) -> Column:
     """The canonical text: null as empty; lower case words joined by one space, without copyright lines."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(out, NOT_ALNUM, " "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_ALNUM, " ")), F.lit(" "))
     for left, right in SPELLINGS:
         out = F.replace(out, F.lit(left), F.lit(right))
-    return out
+    return F.trim(out)
 
 
 def find_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_canonical (code points), digest (SHA-256 of the canonical text), license_id (null: none known) for every row.
 
+    known: license_id, digest.
+
     Null, empty and wordless texts have no licence. If known licences share a digest, the least id counts,
     so no row is doubled. Repeated rows stay; an empty docs or known table is fine; other columns are not looked at.
     """
-    named = known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    named = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("c")).select(F.col(id_col), F.length("c").cast("long").alias("n_canonical"), F.sha2("c", 256).alias("digest"))
     return rows.join(F.broadcast(named) if bounded(known, BROADCAST_ROWS) else named, "digest", "left").select(id_col, "n_canonical", "digest", "license_id")
 
@@ -86,13 +120,15 @@ def oracle_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(text: str) -> str:
-        out = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(NOT_ALNUM)}, ' ', 'g'))"
+        out = f"' ' || trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(NOT_ALNUM)}, ' ', 'g')) || ' '"
         for left, right in SPELLINGS:
             out = f"replace({out}, '{left}', '{right}')"
-        return out
+        return f"trim({out})"
 
     rows = [(i, body) for i, _, body in TEXTS] + [(i, f"{title}\n\n{body}") for i, title, body in TEXTS if title]
     values = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in rows)
-    return f"""WITH named AS (SELECT sha256({canon('text')}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS v(license_id, text) GROUP BY 1),
+    digests = ", ".join(f"({quoted(i)}, {quoted(d)})" for i, d in DIGESTS)
+    return f"""WITH named AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({canon('text')}) AS digest FROM (VALUES {values}) AS v(license_id, text)
+      UNION ALL SELECT * FROM (VALUES {digests}) AS w(license_id, digest)) GROUP BY 1),
     d AS (SELECT doc_id, {canon('text')} AS c FROM documents)
     SELECT doc_id, length(c)::BIGINT AS n_canonical, sha256(c) AS digest, license_id FROM d LEFT JOIN named ON named.digest = sha256(c)"""

@@ -17,7 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": lambda spark, sf: chat.query(table(spark, sf, "conversations")),
         "op2_sharding": lambda spark, sf: sharding.shard_documents(table(spark, sf, "documents")),
         "op3_secret_scan": lambda spark, sf: secrets.secret_digests(table(spark, sf, "documents")),
-        "op4_license_scan": lambda spark, sf: licences.find_licences(table(spark, sf, "documents"), licences.known_licences(spark)),
+        "op4_license_scan": lambda spark, sf: licences.find_licences(table(spark, sf, "documents"), licences.known_digests(spark)),
         "op5_quality_rules": lambda spark, sf: quality.judge_documents(table(spark, sf, "documents"), table(spark, sf, "labels")),
         "op6_decontamination": lambda spark, sf: decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
         "op7_lm_scoring": lambda spark, sf: lm.score_documents(table(spark, sf, "documents")),
