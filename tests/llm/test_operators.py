@@ -69,13 +69,6 @@ def test_secrets(spark):
         assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
-def test_licences(spark):
-    name, title, body = licences.TEXTS[0]
-    docs = [(1, f"Copyright (c) 2020 Someone\n\n{body.upper()}"), (2, f"{title}\n\n{body}"), (3, body + " more"), (4, None), (5, "")]
-    got = rows(licences.find_licences(spark.createDataFrame(docs, DOCS), licences.known_licences(spark)))
-    assert [got[i].license_id for i in range(1, 6)] == [name, name, None, None, None]
-
-
 def test_quality_counts_against_brute_force(spark):
     texts = [prose(1, 80), "a b c " * 30, "x\nx\n x \n", None, "", prose(2, 60) + "\n" + "# $ %", "one two three one two three"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")
