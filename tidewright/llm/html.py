@@ -35,7 +35,9 @@ TAGGED = ("links", "under", "stop", "plain")
 
 #: Fixed values of HTML: elements without an end tag, elements whose text is not shown, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript textarea title iframe select svg object noembed noframes xmp".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())  # up to the end tag, without markup inside
+HIDDEN = frozenset("noscript template select svg math object".split())  # nest, and end with their parent at the latest
+FOREIGN = frozenset("svg math".split())  # may close themselves
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -52,7 +54,8 @@ ENDS = {
 _STOPS = frozenset(["table", "article", "section", "body", "ul", "ol"])
 _GROUPS = {"ol": "ul", "menu": "ul", "dir": "ul", "dl": "ul", "dt": "li", "dd": "li", "th": "td", "tbody": "table", "thead": "table", "tfoot": "table", "tr": "table"} | {f"h{i}": "h" for i in range(1, 7)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?", re.DOTALL)
+# a quoted value ends where white space or the end of the tag follows; a quote without such an end is a character like others
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|["'])*+)>?""", re.DOTALL)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|%s)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""" % LABEL, re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -75,9 +78,16 @@ def parse(html: str) -> Page:
     stack: list[int] = []
     opened: dict[str, int] = {}
     pieces: list[str] = []
-    in_link, at = False, 0
+    in_link, at, hidden = False, 0, 0
 
     def push(tag: str, attributes: str) -> None:
+        nonlocal hidden
+        names.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
+        hidden += tag in HIDDEN
+        if hidden:  # no node of the tree: what is inside is not shown
+            stack.append(stack[-1])
+            return
         cues, label = [], None
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -93,8 +103,6 @@ def parse(html: str) -> Page:
         page.label.append(label)
         page.linked.append(0)
         stack.append(len(page.tag) - 1)
-        names.append(tag)
-        opened[tag] = opened.get(tag, 0) + 1
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
@@ -103,10 +111,14 @@ def parse(html: str) -> Page:
             page.runs.append((stack[-1], text))
 
     def pop() -> None:
+        nonlocal hidden
         stack.pop()
+        hidden -= names[-1] in HIDDEN
         opened[names.pop()] -= 1
 
     def text(value: str) -> None:
+        if hidden:
+            return
         value = entities.unescape(value) if "&" in value else value
         pieces.append(value)
         if in_link:
@@ -124,15 +136,19 @@ def parse(html: str) -> Page:
         if m[1]:
             if tag == "a":
                 in_link = False
-            elif tag in BLOCK and tag not in ("html", "body") and opened.get(tag):
-                flush()
+            elif (tag in BLOCK or tag in HIDDEN) and tag not in ("html", "body") and opened.get(tag):
+                if tag in BLOCK:
+                    flush()
                 while names[-1] != tag:
                     pop()
                 pop()
                 in_link = False
-        elif tag in HIDDEN:
+        elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
+        elif tag in HIDDEN:
+            if not (tag in FOREIGN and m[3].endswith("/")):
+                push(tag, "")
         elif tag == "a":
             in_link = True
         elif tag == "br":
@@ -140,7 +156,8 @@ def parse(html: str) -> Page:
         elif tag in ("hr",):
             flush()
         elif tag in BLOCK and tag != "html":
-            flush()
+            if not hidden:
+                flush()
             if names[-1] == "p":
                 pop()
             if tag in ENDS:
@@ -380,7 +397,7 @@ def labelled_pages(spark: SparkSession, n: int = LABELLED_PAGES, seed: int = LAB
 
 
 def extract(pages: DataFrame, model: TreeModel, html_col: str = "html") -> DataFrame:
-    """pages with text and n_chars (code points), columns of these names replaced; every row stays.
+    """pages with text and n_chars (code points), columns of these names replaced; every row stays, an empty table has none.
 
     Null and empty pages have an empty text; a page is read whole, however long or deep; repeated rows are read alike.
     """
