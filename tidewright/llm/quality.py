@@ -89,11 +89,16 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return one.select(F.when(F.col("n_good") > 0, F.transform("c", ratio)).alias("weights"))
 
 
+#: The struct that judge adds; no table has a column of this name.
+VERDICT = "__tw_verdict"
+
+
 def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
+    """docs with the struct VERDICT: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
-    Null and empty texts have no words and fail; without trusted documents (null weights) score is null and
-    the base rules decide alone. Each row is judged by itself, so repeated rows stay; columns of these names are replaced.
+    Null and empty texts have no words and fail; without trusted documents (null weights) score is null and the base rules
+    decide alone. Each row is judged by itself, so repeated rows stay; an empty table stays empty; a text is judged
+    whole, however long; other columns are neither looked at nor changed.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -105,26 +110,22 @@ def judge(docs: DataFrame, weights: DataFrame, text_col: str = "text", threshold
     # by explode, which no filter or projection is pushed through: the measures are taken once for each row
     measured = F.explode(F.transform(F.array(words_of(F.col(text_col))), measures)).alias("__tw_m")
     out = docs.withColumn("__tw_weights", weights.scalar()).select("*", measured).drop("__tw_weights")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    out = out.withColumns(
-        {
-            "n_words": F.col("__tw_m.n_words"),
-            "word_chars": F.length(F.regexp_replace(text, SPACE, F.lit(""))).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", F.lit(""))).cast("long"),
-            "n_dup_lines": duplicate_lines(F.col(text_col)).cast("long"),
-            "n_repeat_words": F.col("__tw_m.n_repeat_words"),
-            "score": F.col("__tw_m.score"),
-        }
-    )
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))).drop("__tw_m")
+    m = F.col("__tw_m")
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
+    verdict = F.struct(
+        m["n_words"].alias("n_words"), F.length(F.regexp_replace(text, SPACE, F.lit(""))).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", F.lit(""))).cast("long").alias("n_symbols"), duplicate_lines(F.col(text_col)).cast("long").alias("n_dup_lines"),
+        m["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), m["score"].alias("score"), (~failed & F.coalesce(m["score"] >= threshold, F.lit(True))).alias("kept"),
+    )
+    return out.withColumn(VERDICT, verdict).drop("__tw_m")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The verdict on every row of docs, by its id; other columns are not looked at."""
     rows = docs.select("doc_id", "text")
-    return judge(rows, ratio_weights(rows, labels)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judge(rows, ratio_weights(rows, labels)).select("doc_id", f"{VERDICT}.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns that docs has."""
-    return judge(docs, ratio_weights(docs, labels)).where("kept").select(*docs.columns)
+    """The rows of docs that are kept, with the columns that docs has, whatever their names."""
+    return judge(docs, ratio_weights(docs, labels)).where(f"{VERDICT}.kept").select(*docs.columns)
