@@ -5,7 +5,9 @@ and each relaxes the best score of the position. Characters without a piece beco
 so decoding gives back every text exactly. Ids are packed (two bytes each, least first), which keeps
 a text's ids smaller than the text.
 
-The model's file is read by the driver; its pieces (a few MB) are broadcast, so executors need no file.
+The model's file is read by the driver; its pieces (a few MB) are broadcast, so executors need no file. The default
+file's scores are those of a byte-pair model (minus a merge's rank), whose own encoder merges greedily; here its
+scores are summed, so the split of the greatest sum is found, which is that of a unigram model with these scores.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL_MARK = "▁", "\ud800"  # the space of pieces, and what stands for that character in a text: no text holds half a pair
 #: Words whose ids a Python worker remembers; a full memory is emptied, which costs time only.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 64
 _ID = np.dtype("<u2")
 
 
@@ -163,7 +165,18 @@ class Codec:
             for packed in batches:
                 yield pa.array([own.decode(p.as_py()) if p.is_valid else None for p in packed], pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("pieces binary, round_trip boolean")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = model.value
+            for texts in batches:
+                packed, same = [], []
+                for t in texts:
+                    text = t.as_py()
+                    packed.append(None if text is None else own.encode(text))
+                    same.append(None if text is None else own.decode(packed[-1]) == text)
+                yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], ["pieces", "round_trip"])
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """Packed ids (binary); null stays null, an empty text has no ids, a text is encoded whole however long."""
@@ -173,17 +186,26 @@ class Codec:
         """The text of packed ids; null stays null."""
         return self._decode(packed)
 
+    def encode_and_compare(self, text: Column) -> Column:
+        """A struct of the packed ids and whether decoding them gives the text back, in one pass; null gives nulls."""
+        return self._both(text)
+
 
 def encode_documents(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
-    """docs with pieces (packed ids) and n_pieces; columns of these names are replaced, repeated rows stay."""
+    """docs with pieces (packed ids) and n_pieces; columns of these names are replaced, repeated rows stay.
+
+    Null text has null pieces, an empty text none; an empty table stays empty; texts are encoded whole, however long.
+    """
     codec = Codec(docs.sparkSession, path)
     return docs.withColumn("pieces", codec.encode(F.col(text_col))).withColumn("n_pieces", (F.octet_length("pieces") / 2).cast("long"))
 
 
 def encoded_digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_chars, pieces_sha256 and round_trip (decoding gave the text back) for every row of docs; null text counts as empty."""
+    """doc_id, n_pieces, n_chars, pieces_sha256 and round_trip (decoding gave the text back) for every row of docs.
+
+    Null text counts as empty; repeated rows stay; an empty table has no row; other columns are not looked at.
+    """
     codec = Codec(docs.sparkSession, path)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("pieces", codec.encode(F.col("text")))
-    rows = rows.withColumn("decoded", codec.decode(F.col("pieces")))
-    return rows.select("doc_id", (F.octet_length("pieces") / 2).cast("long").alias("n_pieces"), F.length("text").cast("long").alias("n_chars"), F.sha2("pieces", 256).alias("pieces_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), codec.encode_and_compare(F.col("text")).alias("r"))
+    return rows.select("doc_id", (F.octet_length("r.pieces") / 2).cast("long").alias("n_pieces"), "n_chars", F.sha2("r.pieces", 256).alias("pieces_sha256"), "r.round_trip")
