@@ -56,6 +56,14 @@ def brute_score(text, subwords, classes, attention, counts, total):
     return out
 
 
+def fitted(docs, subwords, words):
+    """The classes and the attention that the training documents give."""
+    cut = lm.cut_texts(docs, subwords)
+    counts = cut.where("n > 0").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
+    classes = lm.Classes.from_counts(lm.count_subwords(counts, subwords), np.append(subwords.begins, True))
+    return classes, lm.train(cut.where("row is not null"), classes, words)
+
+
 def test_scores_against_one_token_after_another(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 40)  # most words are joined, not broadcast
     texts = {i: prose(i, 30) for i in range(60)} | {60: None, 61: "", 62: "Lower UPPER ünï " + prose(1, 9), 63: "a" * 300, 64: "\x0b \n", 65: prose(3, 30)}
@@ -64,10 +72,8 @@ def test_scores_against_one_token_after_another(spark, monkeypatch):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     counts = Counter(w for i in texts if not held[i] for w in words_of(texts[i]))
     n, v = sum(counts.values()), len(counts)
-    known = df.where(~lm.is_held_out(df.doc_id)).select(df.doc_id.alias("key"), "text")
     subwords = lm.Subwords.load()
-    classes = lm.Classes.from_counts(lm.count_subwords(lm.count_words(known), subwords), np.append(subwords.begins, True))
-    attention = lm.train(known, subwords, classes, n)
+    classes, attention = fitted(df.where(~lm.is_held_out(df.doc_id)).select(df.doc_id.alias("key"), "text"), subwords, n)
     assert sorted(got) == sorted(texts)
     for i, text in texts.items():
         own = words_of(text)
@@ -88,14 +94,14 @@ def test_null_ids_repeats_and_empty_tables(spark):
 
 def test_the_model_follows_from_all_rows_alone(spark, monkeypatch):
     monkeypatch.setattr(lm, "FOLD_WORDS", 40)  # several folds in a round
+    monkeypatch.setattr(lm, "HELD_OUT", -1)
     texts = [(i, prose(i, 30)) for i in range(24)]
     subwords = lm.Subwords.load()
-    frame = lambda data, parts: spark.createDataFrame(data, "key long, text string").repartition(parts)
-    classes = lm.Classes.from_counts(lm.count_subwords(lm.count_words(frame(texts, 1)), subwords), np.append(subwords.begins, True))
-    fit = lambda data, parts=1: lm.train(frame(data, parts), subwords, classes, 720).flat.tobytes()
-    whole = fit(texts)
-    assert fit(texts[::-1], 5) == whole  # whatever the layout
-    assert all(fit([*texts[:i], (i, prose(99, 30)), *texts[i + 1 :]]) != whole for i in (0, 11, 23))
+    frame = lambda data, parts=1: spark.createDataFrame(data, "key long, text string").repartition(parts)
+    classes, whole = fitted(frame(texts), subwords, 720)
+    fit = lambda data, parts=1: lm.train(lm.cut_texts(frame(data, parts), subwords).where("row is not null"), classes, 720).flat.tobytes()
+    assert fit(texts[::-1], 5) == whole.flat.tobytes()  # whatever the layout
+    assert all(fit([*texts[:i], (i, prose(99, 30)), *texts[i + 1 :]]) != whole.flat.tobytes() for i in (0, 23))
 
 
 def test_attention_learns():

@@ -13,6 +13,8 @@ window are scored (each subword once), the ones before are context. A class atte
 entry of a table, the exponential of query times key, so a batch of windows is a few look-ups and
 masked matrix products.
 
+Texts are cut once, into a table of subword ids; what follows knows a word by its ids.
+
 Training: word counts, and from them subword counts and classes, cover every training document. So do the
 weights: each document is met once, in one of ROUNDS rounds. A round deals its documents by a hash into
 folds of FOLD_WORDS words, a task trains the round's weights on a fold, and the folds' weights are averaged on the
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import checkpointed
+from tidewright.llm.common import Tables
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Documents with this remainder of crc32(id) modulo PARTS are held out.
@@ -46,15 +47,15 @@ CLASSES = GROUPS * GROUP
 #: The last classes of either kind hold many subwords of like counts, all others one.
 BANDS = 12
 BEGIN, PAD, SYMBOLS = CLASSES, CLASSES + 1, CLASSES + 2
-WINDOW, STEP, HEADS, KEY, WIDTH = 24, 16, 2, 8, 24
+WINDOW, STEP, HEADS, KEY, WIDTH = 24, 16, 1, 8, 16
 PART = WIDTH // HEADS  # of the hidden row, a head's values
 #: Training: rounds of averaging, words of a fold on average, documents whose windows are mixed, and windows in a step.
-ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 300_000, 1024, 256
+ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 400_000, 1024, 512
 CHUNK, PHASE = 32, 512  # windows attended at once, and scored at once
 MIX = math.log(0.5)  # of a word's share of the corpus, and of the attention's probability
 #: Words counted so often that at most so many are, are looked up in a broadcast table; the rest are joined.
 FREQUENT = 100_000
-#: Words whose subwords a Python worker remembers; a full memory is emptied, which costs time only.
+#: Words whose subwords a Python worker remembers; a full memory is counted and emptied, which costs time only.
 REMEMBERED = 400_000
 
 
@@ -95,30 +96,25 @@ class Subwords:
 
 
 class Memory:
-    """Numbers of the words met in a task, and by number a word's subwords (CSR) and whatever a table says of it."""
+    """Numbers of the words met in a task, and by number a word's subwords (CSR)."""
 
-    def __init__(self, subwords: Subwords, known: dict[bytes, int] | None = None):
-        self.subwords, self.known = subwords, known or {}
+    def __init__(self, subwords: Subwords):
+        self.subwords = subwords
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.flat, self.starts, self.count = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of words; those of earlier calls may be out of date."""
-        if len(self.number) > REMEMBERED:
-            self.clear()
+        """The numbers of words; new words are cut and get the next ones."""
         found = list(map(self.number.get, words))
         if None in found:
             new = list(dict.fromkeys(w for w, n in zip(words, found) if n is None))
-            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += new
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             ids, begins = self.subwords.cut(new)
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.append(begins[1:], len(ids))])
             self.flat = np.concatenate([self.flat, ids])
-            self.count = np.concatenate([self.count, np.array([self.known.get(w, -1) for w in new], np.int64)])
             found = list(map(self.number.get, words))
         return np.array(found, np.int64)
 
@@ -360,7 +356,6 @@ class Attention:
 
 @dataclass
 class Model:
-    subwords: Subwords
     classes: Classes
     attention: Attention
 
@@ -391,44 +386,74 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (binary; empty: the end of a text) and n, over all rows of docs; counted in each task before the shuffle."""
+_ID = np.dtype("<u2")
+
+
+def _packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The rows of ids up to each of ends, two bytes an id."""
+    offsets = np.append(0, ends) * _ID.itemsize
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(ids.astype(_ID).tobytes())]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), buffers).cast(pa.binary())
+
+
+def cut_texts(docs: DataFrame, subwords: Subwords) -> DataFrame:
+    """Of each row of docs (key, text): row, key, held_out, words and ids (its subwords, packed, without the end); and beside
+    them, of each task, word (packed ids; empty: the end of a text) and n, how often training rows have it."""
+    shared = docs.sparkSession.sparkContext.broadcast(subwords.pieces)
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, tally, known = Memory(Subwords(shared.value)), np.zeros(0, np.int64), 0
+        blank = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+        key_kind = None
+
+        def counted() -> pa.RecordBatch:
+            met = np.flatnonzero(tally)
+            ids, sizes = memory.subwords_of(met)
+            words = pa.concat_arrays([_packed(ids, np.cumsum(sizes)), pa.array([b""], pa.binary())])
+            n = pa.array(np.append(tally[met], known), pa.int64())
+            return _batch(dict(zip(("row", "key", "held_out", "words", "ids", "word", "n"), [*blank(len(n), pa.int64(), key_kind, pa.bool_(), pa.int64(), pa.binary()), words, n])))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                seen[b""] += 1
-            if len(seen) > REMEMBERED:
-                yield _batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-                seen.clear()
-        yield _batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+            key_kind = batch.schema.field("key").type
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                if len(memory.number) > REMEMBERED:
+                    yield counted()
+                    memory.clear()
+                    tally, known = np.zeros(0, np.int64), 0
+                texts = [words_of(t.as_py()) for t in part.column("text")]
+                n, learned = np.array([len(w) for w in texts]), ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                numbers = memory.numbers([w for words in texts for w in words])
+                ids, sizes = memory.subwords_of(numbers)
+                tally = np.append(tally, np.zeros(len(memory.number) - len(tally), np.int64))
+                tally += np.bincount(numbers[np.repeat(learned, n)], minlength=len(tally))
+                known += int(learned.sum())
+                found = [part.column(c) for c in ("row", "key", "held_out")] + [pa.array(n, pa.int64()), _packed(ids, np.append(0, np.cumsum(sizes))[np.cumsum(n)])]
+                yield _batch(dict(zip(("row", "key", "held_out", "words", "ids", "word", "n"), [*found, *blank(len(part), pa.binary(), pa.int64())])))
+        if key_kind is not None:
+            yield counted()
 
-    return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "key", is_held_out(F.col("key")).alias("held_out"), "text")
+    return rows.mapInArrow(cut, f"row long, key {kind}, held_out boolean, words long, ids binary, word binary, n long")
 
 
 def count_subwords(counts: DataFrame, subwords: Subwords) -> np.ndarray:
-    """How often each subword occurs; the driver gets one row for each, at most the vocabulary."""
-    shared = counts.sparkSession.sparkContext.broadcast(subwords.pieces)
+    """How often each subword occurs in words (packed ids) that occur n times; the driver gets one row for each, at most the vocabulary."""
+    end = subwords.end
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Subwords(shared.value)
-        total = np.zeros(own.end + 1)
+        total = np.zeros(end + 1)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            if any(w == b"" for w in words):
-                total[own.end] += n[[i for i, w in enumerate(words) if w == b""]].sum()
-                n = n[[i for i, w in enumerate(words) if w != b""]]
-                words = [w for w in words if w != b""]
-            if words:
-                ids, begins = own.cut(words)
-                total += np.bincount(ids, np.repeat(n, np.diff(np.append(begins, len(ids)))), own.end + 1)
+            sizes = np.array([len(w) // _ID.itemsize for w in words], np.int64)
+            total += np.bincount(np.frombuffer(b"".join(words), _ID), np.repeat(n, sizes), end + 1)
+            total[end] += n[sizes == 0].sum()
         at = np.flatnonzero(total)
         yield _batch({"id": pa.array(at, pa.int64()), "n": pa.array(total[at].astype(np.int64), pa.int64())})
 
     rows = counts.select("word", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(subwords.end + 1)
+    out = np.zeros(end + 1)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
 
@@ -436,25 +461,18 @@ def count_subwords(counts: DataFrame, subwords: Subwords) -> np.ndarray:
 _FIXED = float(1 << 30)  # weights are summed as whole multiples of its inverse, so their order does not count
 
 
-def train(docs: DataFrame, subwords: Subwords, classes: Classes, words: int) -> Attention:
-    """Attention fitted on the texts of docs (key, text), each met once; words: how many they have."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((subwords.pieces, classes.of))
+def train(texts: DataFrame, classes: Classes, words: int) -> Attention:
+    """Attention fitted on texts (key, ids), each met once; words: how many they have."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes.of)
     folds = max(1, words // (ROUNDS * FOLD_WORDS))
-    drawn = F.xxhash64(F.col("key").cast("string"), F.coalesce("text", F.lit("")))
-    dealt = docs.select("text", drawn.alias("drawn")).withColumn("fold", F.pmod(F.shiftright("drawn", 8), F.lit(folds)).cast("int"))
+    drawn = F.xxhash64(F.col("key").cast("string"), "ids")
+    dealt = texts.select("ids", drawn.alias("drawn")).withColumn("fold", F.pmod(F.shiftright("drawn", 8), F.lit(folds)).cast("int"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, of = shared.value
-        memory = Memory(Subwords(pieces))
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                ids, sizes = memory.subwords_of(memory.numbers([w for words in texts for w in words]))
-                ends = np.append(0, np.cumsum(sizes))[np.cumsum([len(w) for w in texts])]
-                packed = np.split(np.insert(of[ids], ends, of[-1]), ends[:-1] + np.arange(1, len(ends)))
-                yield _batch({"fold": part.column("fold"), "drawn": part.column("drawn"), "classes": pa.array([c.tobytes() for c in packed], pa.binary())})
+            found = [of[np.frombuffer(x.as_buffer(), _ID)].tobytes() + of[-1:].tobytes() for x in batch.column("ids")]
+            yield _batch({"fold": batch.column("fold"), "drawn": batch.column("drawn"), "classes": pa.array(found, pa.binary())})
 
     model = Attention.initial(classes.share)
     for r in range(ROUNDS):
@@ -493,7 +511,7 @@ def train(docs: DataFrame, subwords: Subwords, classes: Classes, words: int) ->
             if trained:
                 yield _batch({"total": pa.array([total], pa.list_(pa.int64())), "trained": pa.array([trained], pa.int64())})
 
-        mine = dealt.where(F.pmod("drawn", F.lit(ROUNDS)) == r).mapInArrow(cut, "fold int, drawn long, classes binary")
+        mine = dealt.where(F.pmod("drawn", F.lit(ROUNDS)) == r).mapInArrow(classed, "fold int, drawn long, classes binary")
         ordered = mine.repartitionById(folds, "fold").sortWithinPartitions("fold", "drawn", "classes")
         sums = ordered.select("fold", "classes").mapInArrow(local, "total array<long>, trained long")
         found = sums.select("trained", F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("total"), F.sum("trained").alias("trained")).toPandas()
@@ -525,50 +543,52 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts are one token, the end. Repeated rows are scored (and learned from) each by itself; a null id
     counts as an empty one. Without training documents nothing is known: base_score is then the sum of log10(1 / (N + V + 1))
-    with N = V = 0, and the model that of untrained classes. An empty table gives an empty result; other columns are not looked at.
+    with N = V = 0, and the model that of untrained classes. An empty table gives an empty result; texts are scored whole,
+    however long; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    known = rows.where(~is_held_out(F.col("key")))
-    counts = checkpointed(count_words(known))
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    subwords = Subwords.load(vocabulary)
+    cut = tables.write(cut_texts(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), subwords))
+    texts = cut.where("row is not null").drop("word", "n")
+    counts = tables.write(cut.where("n > 0").select("word", "n").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent, least = frequent_words(counts)
-    subwords = Subwords.load(vocabulary)
-    classes = Classes.from_counts(count_subwords(counts, subwords), np.append(subwords.begins, True))
-    attention = train(known, subwords, classes, total)
-    shared = spark.sparkContext.broadcast((subwords.pieces, classes, attention.flat, frequent))
+    begins = np.append(subwords.begins, True)
+    classes = Classes.from_counts(count_subwords(counts, subwords), begins)
+    attention = train(texts.where("not held_out"), classes, total)
+    shared = spark.sparkContext.broadcast((begins, classes, attention.flat, frequent))
     n_end = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, classes, weights, often = shared.value
-        subwords = Subwords(pieces)
-        model, memory = Model(subwords, classes, Attention(weights)), Memory(subwords, often)
+        begins, classes, weights, often = shared.value
+        model, end = Model(classes, Attention(weights)), len(begins) - 1
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                n = np.array([len(w) for w in texts])
-                numbers = memory.numbers([w for words in texts for w in words])
-                ids, sizes = memory.subwords_of(numbers)
-                # the end of each text behind its words: as a subword, and as a word of number -1
-                ends = np.cumsum(n)
-                ids = np.insert(ids, np.append(0, np.cumsum(sizes))[ends], np.uint16(subwords.end))
-                numbers = np.insert(numbers, ends, -1)
+                packed, n = part.column("ids").to_pylist(), part.column("words").to_numpy()
+                sizes = np.array([len(x) // _ID.itemsize for x in packed], np.int64)
+                ids = np.insert(np.frombuffer(b"".join(packed), _ID), np.cumsum(sizes), end)  # the end of each text behind its words
+                logs = model.words(ids, sizes + 1)
+                # a word's ids are its name
+                line, first = ids.tobytes(), np.append(np.flatnonzero(begins[ids]), len(ids)) * _ID.itemsize
+                places = first.tolist()
+                words = [line[a:b] for a, b in zip(places, places[1:])]
+                ends = np.cumsum(n + 1) - 1
+                count = np.array([often.get(w, -1) for w in words], np.int64)
+                count[ends] = n_end
                 text = np.repeat(np.arange(len(n)), n + 1)
-                count = np.where(numbers >= 0, np.append(memory.count, 0)[numbers], n_end)
-                logs = model.words(ids, np.diff(np.append(0, np.cumsum(sizes)[ends - 1] * (ends > 0) if len(sizes) else ends)) + 1)
                 rare = count < 0
-                mixed = np.where(rare | (count == 0), logs + MIX, np.logaddexp(logs + MIX, np.log(np.maximum(count, 1) / max(1, total)) + MIX)) / math.log(10)
+                mixed = np.where(count <= 0, logs + MIX, np.logaddexp(logs + MIX, np.log(np.maximum(count, 1) / max(1, total)) + MIX)) / math.log(10)
                 offsets = np.append(0, np.cumsum(np.bincount(text[rare], minlength=len(n)))).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array([memory.words[i] for i in numbers[rare].tolist()], pa.binary()))
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in np.flatnonzero(rare).tolist()], pa.binary()))
                 spelled = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mixed[rare], pa.float64()))
                 sums = np.bincount(text, np.where(rare, 0.0, np.log10(np.maximum(count, 0) + 1.0)), len(n))
                 met = np.bincount(text, count > 0, len(n)).astype(np.int64)
-                yield _batch({"row": part.column("row"), "key": part.column("key"), "held_out": part.column("held_out"), "n": pa.array(n + 1, pa.int64()), "sums": pa.array(sums), "met": pa.array(met), "score": pa.array(np.bincount(text, mixed, len(n))), "rest": rest, "spelled": spelled})
+                kept = {c: part.column(c) for c in ("row", "key", "held_out")}
+                yield _batch(kept | {"n": pa.array(n + 1, pa.int64()), "sums": pa.array(sums), "met": pa.array(met), "score": pa.array(np.bincount(text, mixed, len(n))), "rest": rest, "spelled": spelled})
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    given = rows.select(F.monotonically_increasing_id().alias("row"), "key", is_held_out(F.col("key")).alias("held_out"), "text")
-    scored = checkpointed(given.mapInArrow(score, f"row long, key {kind}, held_out boolean, n long, sums double, met long, score double, rest array<binary>, spelled array<double>"))
+    scored = tables.write(texts.mapInArrow(score, f"row long, key {kind}, held_out boolean, n long, sums double, met long, score double, rest array<binary>, spelled array<double>"))
     rare = scored.select("row", F.explode(F.arrays_zip("rest", "spelled")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.spelled").alias("spelled"))
     joined = rare.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word")
     # log10 of one share more: log10(10**a + 10**b) - a
