@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.cluster import Tables, checkpointed
+
+__all__ = ["NOT_ALNUM", "SPACE", "Tables", "bounded", "checkpointed", "let", "split_words", "table"]
+
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Separator of normalised words: anything that is no letter and no number.
@@ -32,49 +35,6 @@ def split_words(text: Column, separator: str = SPACE) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where it is unset and the master is local."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoint")
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the folder that the cluster names (see shared_folder)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-class Tables:
-    """Tables written in the shared folder, which cut lineage: a lost executor costs no work before them."""
-
-    #: Rows of a file of a table whose size is known to be small.
-    ROWS = 250_000
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.written = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """df, written and read again; with rows (at most so many) in files of ROWS, else in as many as df has partitions."""
-        self.written += 1
-        path = f"{self.root}/{self.written}"
-        (df if rows is None else df.coalesce(1 + rows // self.ROWS)).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        """Deletes all tables; whatever reads them must have been written elsewhere."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads at most one row more than that."""
     return df.limit(limit + 1).count() <= limit

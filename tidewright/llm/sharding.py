@@ -85,12 +85,13 @@ def assign(df: DataFrame, key: str, tree: Sequence[Leaf], prefix: str = "") -> D
 def slots(df: DataFrame, shard: str, order: Sequence[str], parts: int = SLOT_PARTS) -> DataFrame:
     """df with slot, the row's place in its shard from 0 without gaps.
 
-    A shard is cut into parts by a hash of the first order column; counts of the parts (shards x parts
-    rows, so small enough to broadcast) give where each part begins. Rows alike in order share an
-    arbitrary order among themselves.
+    A shard is cut into parts by a hash of the order columns, so rows of one key with other values fall into other
+    parts; counts of the parts (shards x parts rows, so small enough to broadcast) give where each part begins. Rows
+    alike in order have an arbitrary order among themselves.
     """
     part, begin = "__tw_part", "__tw_begin"
-    df = df.withColumn(part, F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), F.coalesce(F.col(order[0]).cast("string"), F.lit("\u0000")))), 1, 8), 16, 10).cast("long") % parts)
+    named = F.concat_ws("|", F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in order])
+    df = df.withColumn(part, F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % parts)
     before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     begins = df.groupBy(shard, part).count().select(shard, part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(begin))
     within = F.row_number().over(Window.partitionBy(shard, part).orderBy(*order))
@@ -142,5 +143,5 @@ def oracle_sql(shards: int = SHARDS) -> str:
     two = _sql_descent(grow(tree), "one", "grown_")
     return f"""WITH base AS MATERIALIZED ({base}), one AS ({one}), two AS ({two})
     SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
-      row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot|' || k), 1, 8))::BIGINT % {SLOT_PARTS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+      row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot|' || k || '|' || text_crc32 || '|' || size), 1, 8))::BIGINT % {SLOT_PARTS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
       grown_shard::INTEGER AS grown_shard, region::INTEGER AS region, rack::INTEGER AS rack FROM two"""
