@@ -47,7 +47,7 @@ CLASSES = GROUPS * GROUP
 #: The last classes of either kind hold many subwords of like counts, all others one.
 BANDS = 12
 BEGIN, PAD, SYMBOLS = CLASSES, CLASSES + 1, CLASSES + 2
-WINDOW, STEP, HEADS, KEY, WIDTH = 24, 16, 1, 8, 16
+WINDOW, STEP, HEADS, KEY, WIDTH = 20, 16, 1, 8, 16
 PART = WIDTH // HEADS  # of the hidden row, a head's values
 #: Training: rounds of averaging, words of a fold on average, documents whose windows are mixed, and windows in a step.
 ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 400_000, 1024, 512
@@ -64,9 +64,44 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % PARTS == HELD_OUT
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8, A-Z in lower case; bytes.split cuts at the white space of the contract."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+_U = np.uint64
+_GOLDEN = _U(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_SYMBOL = _mix(np.arange(1 << 16, dtype=_U) * _GOLDEN + _U(1))
+_GAP = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LETTER = np.where(_GAP, _U(0), _SYMBOL[:256])  # the gap behind a word adds nothing
+
+
+def names_of(symbols: np.ndarray, starts: np.ndarray, table: np.ndarray = _SYMBOL) -> np.ndarray:
+    """A 64-bit name of each word: symbols (bytes or ids) hold the words, which begin at starts and reach to the next one;
+    table: what a symbol adds, times a power for its place."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    symbols = symbols[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
+    powers = np.ones(int(place.max()) + 1, _U)
+    powers[1:] = np.cumprod(np.full(len(powers) - 1, _GOLDEN, _U))
+    return _mix(np.add.reduceat(table[symbols] * powers[place], starts))
+
+
+def split_texts(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as UTF-8 with A-Z in lower case, in one row; where words begin and end in it; and how many words each text has."""
+    parts = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    line = b" ".join([*parts, b""])
+    gap = _GAP[np.frombuffer(line, np.uint8)]
+    edges = np.flatnonzero(np.diff(gap, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(x) + 1 for x in parts])))
+    return line, starts, ends, np.diff(bounds)
 
 
 class Subwords:
@@ -422,9 +457,10 @@ def cut_texts(docs: DataFrame, subwords: Subwords) -> DataFrame:
                     yield counted()
                     memory.clear()
                     tally, known = np.zeros(0, np.int64), 0
-                texts = [words_of(t.as_py()) for t in part.column("text")]
-                n, learned = np.array([len(w) for w in texts]), ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                numbers = memory.numbers([w for words in texts for w in words])
+                line, starts, ends, n = split_texts(part.column("text").to_pylist())
+                learned = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                _, first, back = np.unique(names_of(np.frombuffer(line, np.uint8), starts, _LETTER), return_index=True, return_inverse=True)
+                numbers = memory.numbers([line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])[back]
                 ids, sizes = memory.subwords_of(numbers)
                 tally = np.append(tally, np.zeros(len(memory.number) - len(tally), np.int64))
                 tally += np.bincount(numbers[np.repeat(learned, n)], minlength=len(tally))
@@ -556,11 +592,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     begins = np.append(subwords.begins, True)
     classes = Classes.from_counts(count_subwords(counts, subwords), begins)
     attention = train(texts.where("not held_out"), classes, total)
-    shared = spark.sparkContext.broadcast((begins, classes, attention.flat, frequent))
+    often = np.frombuffer(b"".join(w for w in frequent if w), _ID)
+    names, at = np.unique(names_of(often, np.flatnonzero(begins[often])), return_index=True)
+    shared = spark.sparkContext.broadcast((begins, classes, attention.flat, names, np.array([n for w, n in frequent.items() if w], np.int64)[at]))
     n_end = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins, classes, weights, often = shared.value
+        begins, classes, weights, names, times = shared.value
         model, end = Model(classes, Attention(weights)), len(begins) - 1
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -569,18 +607,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes = np.array([len(x) // _ID.itemsize for x in packed], np.int64)
                 ids = np.insert(np.frombuffer(b"".join(packed), _ID), np.cumsum(sizes), end)  # the end of each text behind its words
                 logs = model.words(ids, sizes + 1)
-                # a word's ids are its name
-                line, first = ids.tobytes(), np.append(np.flatnonzero(begins[ids]), len(ids)) * _ID.itemsize
-                places = first.tolist()
-                words = [line[a:b] for a, b in zip(places, places[1:])]
+                first = np.flatnonzero(begins[ids])
+                own = names_of(ids, first)
+                at_name = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+                count = np.where(names[at_name] == own, times[at_name], -1) if len(names) else np.full(len(own), -1)
                 ends = np.cumsum(n + 1) - 1
-                count = np.array([often.get(w, -1) for w in words], np.int64)
                 count[ends] = n_end
                 text = np.repeat(np.arange(len(n)), n + 1)
                 rare = count < 0
                 mixed = np.where(count <= 0, logs + MIX, np.logaddexp(logs + MIX, np.log(np.maximum(count, 1) / max(1, total)) + MIX)) / math.log(10)
                 offsets = np.append(0, np.cumsum(np.bincount(text[rare], minlength=len(n)))).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in np.flatnonzero(rare).tolist()], pa.binary()))
+                line, places = ids.tobytes(), np.append(first, len(ids)) * _ID.itemsize
+                words = [line[a:b] for a, b in zip(places[:-1][rare].tolist(), places[1:][rare].tolist())]
+                rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words, pa.binary()))
                 spelled = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mixed[rare], pa.float64()))
                 sums = np.bincount(text, np.where(rare, 0.0, np.log10(np.maximum(count, 0) + 1.0)), len(n))
                 met = np.bincount(text, count > 0, len(n)).astype(np.int64)
