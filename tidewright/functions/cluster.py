@@ -42,7 +42,7 @@ class Tables:
         """df, written and read again; with rows (at most so many) in files of ROWS, else in as many as df has partitions."""
         self.written += 1
         path = f"{self.root}/{self.written}"
-        (df if rows is None else df.coalesce(1 + rows // self.ROWS)).write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // self.ROWS)).write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
