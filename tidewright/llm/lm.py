@@ -582,9 +582,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with N = V = 0, and the model that of untrained classes. An empty table gives an empty result; texts are scored whole,
     however long; other columns are not looked at.
     """
-    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    spark, early, tables = docs.sparkSession, Tables(docs.sparkSession), Tables(docs.sparkSession)
     subwords = Subwords.load(vocabulary)
-    cut = tables.write(cut_texts(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), subwords))
+    cut = early.write(cut_texts(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), subwords))
     texts = cut.where("row is not null").drop("word", "n")
     counts = tables.write(cut.where("n > 0").select("word", "n").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -620,15 +620,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 line, places = ids.tobytes(), np.append(first, len(ids)) * _ID.itemsize
                 words = [line[a:b] for a, b in zip(places[:-1][rare].tolist(), places[1:][rare].tolist())]
                 rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words, pa.binary()))
-                spelled = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mixed[rare], pa.float64()))
+                spelled = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mixed[rare], pa.float32()))
                 sums = np.bincount(text, np.where(rare, 0.0, np.log10(np.maximum(count, 0) + 1.0)), len(n))
                 met = np.bincount(text, count > 0, len(n)).astype(np.int64)
                 kept = {c: part.column(c) for c in ("row", "key", "held_out")}
                 yield _batch(kept | {"n": pa.array(n + 1, pa.int64()), "sums": pa.array(sums), "met": pa.array(met), "score": pa.array(np.bincount(text, mixed, len(n))), "rest": rest, "spelled": spelled})
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    scored = tables.write(texts.mapInArrow(score, f"row long, key {kind}, held_out boolean, n long, sums double, met long, score double, rest array<binary>, spelled array<double>"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rest", "spelled")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.spelled").alias("spelled"))
+    scored = tables.write(texts.mapInArrow(score, f"row long, key {kind}, held_out boolean, n long, sums double, met long, score double, rest array<binary>, spelled array<float>"))
+    early.clear()
+    rare = scored.select("row", F.explode(F.arrays_zip("rest", "spelled")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.spelled").cast("double").alias("spelled"))
     joined = rare.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word")
     # log10 of one share more: log10(10**a + 10**b) - a
     apart = F.log10(F.col("n") / F.lit(float(max(1, total)))) + F.lit(MIX / math.log(10)) - F.col("spelled")
