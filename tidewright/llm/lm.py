@@ -47,14 +47,14 @@ CLASSES = GROUPS * GROUP
 #: The last classes of either kind hold many subwords of like counts, all others one.
 BANDS = 12
 BEGIN, PAD, SYMBOLS = CLASSES, CLASSES + 1, CLASSES + 2
-WINDOW, STEP, HEADS, KEY, WIDTH = 20, 16, 1, 8, 16
+WINDOW, STEP, HEADS, KEY, WIDTH = 20, 16, 1, 8, 12
 PART = WIDTH // HEADS  # of the hidden row, a head's values
 #: Training: rounds of averaging, words of a fold on average, documents whose windows are mixed, and windows in a step.
 ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 400_000, 1024, 512
 CHUNK, PHASE = 32, 512  # windows attended at once, and scored at once
 MIX = math.log(0.5)  # of a word's share of the corpus, and of the attention's probability
 #: Words counted so often that at most so many are, are looked up in a broadcast table; the rest are joined.
-FREQUENT = 100_000
+FREQUENT = 300_000
 #: Words whose subwords a Python worker remembers; a full memory is counted and emptied, which costs time only.
 REMEMBERED = 400_000
 
