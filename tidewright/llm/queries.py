@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import chat, decontaminate, html, licences, lm, near_dup, pieces, quality, repair, runs, secrets, sharding
+from tidewright.llm import chat, decontaminate, html, licences, lm, near_dup, pieces, quality, repair, repeats, runs, secrets, sharding
 from tidewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_html_extraction": lambda spark, sf: html.extract_pages(table(spark, sf, "pages")),
         "op10_near_dup": lambda spark, sf: near_dup.near_duplicates(table(spark, sf, "documents")),
         "op11_periodic_runs": lambda spark, sf: runs.find_runs(table(spark, sf, "documents")),
+        "op12_repeated_passages": lambda spark, sf: repeats.repeat_digests(table(spark, sf, "documents")),
         "op13_structure_repair": lambda spark, sf: repair.repair_digests(table(spark, sf, "conversations")),
     }
 
