@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -103,3 +104,93 @@ def test_edges_and_redaction(spark):
     assert rows(out.where("doc_id = 2"))[2].redacted is None
     assert secrets.secret_digests(docs.limit(0)).count() == 0
     assert rows(secrets.secret_digests(spark.createDataFrame([(1, "token=abcdef token=abcdef")], DOCS)))[1].n_assign == 2
+
+
+def base_by_hand(text):
+    """Base spans by walking the text, without regular expressions."""
+    word, value = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "+/_.=-"
+    out = []
+
+    def run(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c in word else c for c in text[at : at + len(name)]) != name:
+                continue
+            for skip in (1, 0):  # the quote may be left out, so it may also be none
+                k = at + len(name)
+                if skip:
+                    if text[k : k + 1] not in ("'", '"'):
+                        continue
+                    k += 1
+                k = run(k, " ")
+                if text[k : k + 1] not in (":", "="):
+                    continue
+                k = run(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"')
+                if (end := run(k, word + value)) > k:
+                    return k, end
+        return None
+
+    at = 0
+    while at < len(text):
+        if found := assign(at):
+            if found[1] - found[0] >= 6:
+                out.append(("assign", at, found[1]))
+            at = found[1]
+        else:
+            at += 1
+    for kind, head, letters, least in (("access", "AKIA", word[:36], 20), ("hex", "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), letters) if text.startswith(head, at) else at
+            if end > at + len(head):
+                out += [(kind, at, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_base_spans_of_random_texts_against_a_walk(seed):
+    r = random.Random(seed)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api-key", "=", ":", " ", "  ", '"', "'", "abc", "hunter2/x", "é", "ſecret", "\n", "AKIA", "AKIAAKIA", "ABCDEFGHIJKLMNOPQ", "0123456789ab", "deadbeefdead", "K", "_", "=="]
+    for _ in range(2_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert [x[:3] for x in secrets.scan(text) if x[0] in secrets.BASE_KINDS] == base_by_hand(text), text
+
+
+@pytest.mark.parametrize("unit", ["k=v&", "a=b+", "a:", "token=b+", "token=a1&", "passphrase='a'+", "a=b+'", "secret=$secret ", "x = ${x}${x} "])
+def test_runs_of_assignments_take_time_in_proportion(unit):
+    took = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        secrets.redact(text := unit * (n // len(unit)), secrets.scan(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1  # 8 times the text
+
+
+def test_values_of_one_run_are_scored_as_whole_texts():
+    r = random.Random(8)
+    for _ in range(300):
+        run = "".join(r.choice(["k", "=", ":", "a1", "Zz9aB3", "xxxx", "&", "/", "q8", "-", "changeme"]) for _ in range(r.randint(1, 15)))
+        tail = r.choice(["", "", ' + "q8ZxLm71"', ' + "xx" + "B4"'])
+        added = "".join(tail.split('"')[1::2])
+        literals, sums = secrets._assignments(text := "plain=" + run + tail)[1], {}
+        every = [x for x in literals.at.values() if x]
+        for one in every:
+            if one.behind:
+                one.behind.is_used = True
+        by_end = {}
+        for one in every:
+            if not one.quoted:
+                by_end.setdefault(one.end, []).append(one)
+        for one in every:
+            secrets._evaluate(text, one, by_end)
+            sums[one.start] = one.known[0]
+            if not one.quoted:
+                assert abs(one.known[0].score() - whole_score(text[one.start : one.end] + added)) < 1e-9, (text, one)

@@ -16,7 +16,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -37,17 +37,23 @@ _SIGN = re.compile(r"[:=]")
 # the name before a sign, with its type if it has one, read backwards in the reversed text
 _NAME_BEHIND = re.compile(r""":?(?:[ \t]*[\w.\[\]|]*[A-Za-z_][ \t]*:)?[ \t]*\]?["'`]?([\w$]*[A-Za-z_$](?:[.-][\w$]*[A-Za-z_$])*)""")
 _TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.\[\]|]*[ \t]*=(?!=)[ \t]*\S")  # behind a colon: a type, not a value
-_LITERAL = re.compile(r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;#(){}\[\]<>+]+))""")
+_GAP = re.compile(r"[ \t]*")
+_QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>+]+""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _REFERENCE = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{\{\s*(\w+)\s*\}\}")
+_WORD = re.compile(r"[\w$.-]+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _EDGE = 16  # characters kept of a value's ends: as long as the longest stand-in
+#: Characters that are counted apart in values that are put together.
+FOLD = 256
 
 #: Parts of names and how sensitive they are.
 NAME_WEIGHTS = {"password": 0.6, "passwd": 0.6, "pwd": 0.6, "passphrase": 0.6, "secret": 0.6, "token": 0.55, "apikey": 0.6, "credential": 0.5, "credentials": 0.5, "bearer": 0.5, "auth": 0.4, "signature": 0.35, "salt": 0.3}
 PAIR_WEIGHTS = {("api", "key"): 0.6, ("private", "key"): 0.6, ("access", "key"): 0.6, ("secret", "key"): 0.65, ("signing", "key"): 0.55, ("encryption", "key"): 0.55, ("client", "secret"): 0.65, ("conn", "string"): 0.5, ("connection", "string"): 0.5}
 #: What stands where a secret would.
 _STANDS_IN = re.compile(r"example|sample|changeme|change_me|placeholder|your[_-]|dummy|redacted|xxxx|\*{3}", re.IGNORECASE)
+_STANDS_IN_ANYWHERE = re.compile(f"(?={_STANDS_IN.pattern})", re.IGNORECASE)
 _NOTHING = re.compile(r"none|null|nil|true|false|undefined|required|optional|string|str|bytes", re.IGNORECASE)
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("start", "end", "value_start", "value_end")), T.StructField("score", T.DoubleType())])
@@ -60,144 +66,248 @@ def name_weight(name: str) -> float:
     return max(one, max((PAIR_WEIGHTS.get(p, 0.0) for p in zip(parts, parts[1:])), default=0.0))
 
 
+def _fold(counts: Counter) -> Counter:
+    """Counts of at most FOLD characters: those of larger alphabets share places, so that values add up in bounded time."""
+    if len(counts) <= FOLD:
+        return counts
+    out: Counter = Counter()
+    for c, n in counts.items():
+        out[chr(ord(c) % FOLD)] += n
+    return out
+
+
+def _log(n: int) -> float:
+    return n * math.log2(n) if n else 0.0
+
+
 @dataclass(frozen=True)
 class Value:
-    """What the score of a text needs of it; adds up over the parts of a text. first and last: its ends."""
+    """What the score of a text needs of it; adds up over the parts of a text.
+
+    counts: of its characters, where other values are made of it; weight: the sum of n * log2(n) over them. first and last: its ends.
+    """
 
     length: int = 0
-    counts: Mapping[str, int] = field(default_factory=dict)
+    counts: Counter | None = field(default_factory=Counter)
+    weight: float = 0.0
     first: str = ""
     last: str = ""
     stands_in: bool = False
     is_url: bool = False
+    has_digit: bool = False
+    has_letter: bool = False
+    has_space: bool = False
 
     @classmethod
     def of(cls, text: str) -> Value:
-        return cls(len(text), Counter(text), text[:_EDGE], text[-_EDGE:], _STANDS_IN.search(text) is not None, "://" in text)
+        counts = Counter(text)
+        kinds = [any(map(f, counts)) for f in (str.isdigit, str.isalpha, str.isspace)]
+        counts = _fold(counts)
+        return cls(len(text), counts, sum(map(_log, counts.values())), text[:_EDGE], text[-_EDGE:], _STANDS_IN.search(text) is not None, "://" in text, *kinds)
 
     def __add__(self, other: Value) -> Value:
         if not self.length or not other.length:
             return self if self.length else other
-        seam = self.last + other.first
+        seam, counts = self.last + other.first, _fold(self.counts + other.counts)
         return Value(
-            self.length + other.length, Counter(self.counts) + Counter(other.counts), (self.first + other.first)[:_EDGE], seam[-_EDGE:] if other.length < _EDGE else other.last,
+            self.length + other.length, counts, sum(map(_log, counts.values())), (self.first + other.first)[:_EDGE], seam[-_EDGE:] if other.length < _EDGE else other.last,
             self.stands_in or other.stands_in or _STANDS_IN.search(seam) is not None, self.is_url or other.is_url or "://" in seam,
+            self.has_digit or other.has_digit, self.has_letter or other.has_letter, self.has_space or other.has_space,
         )
 
-    def has_digit(self) -> bool:
-        return any(c.isdigit() for c in self.counts)
-
     def score(self) -> float:
         """How much the text looks like a secret: long, random and mixed speaks for it; words, paths and stand-ins against."""
         n = self.length
         if n < 6 or self.stands_in or self.first.startswith("<") or (n <= _EDGE and _NOTHING.fullmatch(self.first)):
             return -1.0
-        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        bits = round(math.log2(n) - self.weight / n, 9)
         out = 0.1 + (0.1 if n >= 12 else 0.0) + (0.2 if bits > 3.0 else 0.1 if bits > 2.5 else 0.0)
-        out += 0.15 if self.has_digit() and any(c.isalpha() for c in self.counts) else 0.0
-        out -= 0.4 if any(c.isspace() for c in self.counts) else 0.0
+        out += 0.15 if self.has_digit and self.has_letter else 0.0
+        out -= 0.4 if self.has_space else 0.0
         return out - (0.3 if self.is_url or self.first.startswith("/") else 0.0)
 
 
-@dataclass
-class _Part:
-    """A literal of an assignment: its text and place; a quoted one may hold references, a bare one may be one."""
+@dataclass(eq=False)
+class _Literal:
+    """A literal and what is added to it: its place; a quoted one may hold references, a bare one may be one.
+
+    Bare literals that begin at signs inside one run of characters all end with it and share what follows. known: the
+    value of the literal and all behind it, the first place it is written at, whether it follows a constant, and is quoted.
+    """
 
-    text: str
     start: int
     end: int
     quoted: bool
-
-
-def _assignments(text: str) -> list[tuple[str, list[_Part]]]:
-    """The names and literals of all assignments of a text, in order."""
-    out, size, behind = [], len(text), text[::-1]
+    behind: _Literal | None = None
+    #: places of references in the text, and the literals they mean
+    uses: list[tuple[int, int, _Literal]] = field(default_factory=list)
+    is_used: bool = False
+    known: tuple[Value, tuple[int, int] | None, bool, bool] | None = None
+    told: bool = False
+
+    def places(self) -> list[tuple[int, int]]:
+        """Where the literal itself is written: here, or where the constants are that it is made of."""
+        own = [(self.start, self.end)] if self.quoted or not self.uses else []
+        return list(dict.fromkeys(own + [u.known[1] for _, _, u in self.uses if u.known and u.known[1]]))
+
+
+class _Literals:
+    """The literals of a text, each read once."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, {}
+        self.runs = [m.span() for m in _BARE.finditer(text)]
+        self.begins = [a for a, _ in self.runs]
+
+    def _one(self, at: int) -> _Literal | None:
+        """The literal that starts at a place, known or new."""
+        if at in self.at or at >= len(self.text):
+            return self.at.get(at)
+        made = None
+        if self.text[at] in "\"'`":
+            m = _QUOTED.match(self.text, at)
+            made = m and _Literal(*m.span(2), True)
+        elif (k := bisect_right(self.begins, at) - 1) >= 0 and at < self.runs[k][1]:
+            made = _Literal(at, self.runs[k][1], False)
+        self.at[at] = made
+        return made
+
+    def chain(self, at: int) -> _Literal | None:
+        """The literal behind the blanks at a place, linked to those added to it."""
+        first = self._one(_GAP.match(self.text, at).end())
+        one = first
+        while one is not None and one.behind is None:
+            plus = _PLUS.match(self.text, one.end + one.quoted)
+            one.behind = self._one(plus.end()) if plus else None
+            one = one.behind
+        return first
+
+
+def _assignments(text: str) -> tuple[list[tuple[str, int, _Literal]], _Literals]:
+    """The name, the sign's place and the first literal of all assignments of a text, in order; all literals."""
+    out, size, behind, literals = [], len(text), text[::-1], _Literals(text)
     for m in _SIGN.finditer(text):
         i = m.start()
         after, before = text[i + 1 : i + 2], text[i - 1 : i]
         if after == "=" or before in ("=", "!", "<", ">") or (m[0] == ":" and (text[i + 1 : i + 3] == "//" or _TYPE.match(text, i + 1))):
             continue
         named = _NAME_BEHIND.match(behind, size - i)
-        if not named:
-            continue
-        at, parts = i + 1 + (m[0] == "=" and after == ">"), []
-        while (lit := _LITERAL.match(text, at)) is not None:
-            k = 2 if lit[1] else 3
-            parts.append(_Part(lit[k], lit.start(k), lit.end(k), k == 2))
-            plus = _PLUS.match(text, at := lit.end())
-            if not plus:
-                break
-            at = plus.end()
-        if parts:
-            out.append((named[1][::-1], parts))
-    return out
+        first = named and literals.chain(i + 1 + (m[0] == "=" and after == ">"))
+        if first:
+            out.append((named[1][::-1], i, first))
+    return out, literals
 
 
-def lex(text: str) -> Iterator[tuple[str, int, int, float]]:
-    """(kind, start, end, score) of the literals that reach a sensitive name with a score of THRESHOLD or more."""
-    made = _assignments(text)
+def _find_uses(text: str, made: list[tuple[str, int, _Literal]], literals: list[_Literal]) -> None:
+    """Fills in which constants literals name: the last assignment of the name before the literal's own, else the first behind it."""
     places: dict[str, list[int]] = {}  # of a name, whole and by its last part, in the assignments
-    for k, (name, _) in enumerate(made):
+    for k, (name, _, _) in enumerate(made):
         for n in dict.fromkeys((name, name.rpartition(".")[2])):
             places.setdefault(n, []).append(k)
+    signs = [i for _, i, _ in made]
 
-    def constant(name: str, k: int) -> int | None:
-        """The assignment that name means in assignment k."""
+    def constant(name: str, start: int) -> _Literal | None:
+        k = bisect_left(signs, start) - 1
         for n in dict.fromkeys((name, name.rpartition(".")[2])):
             own = places.get(n, ())
             if (j := bisect_left(own, k)) > 0:
-                return own[j - 1]
-            if (later := own[j + (j < len(own) and own[j] == k) :]) :
-                return later[0]
+                return made[own[j - 1]][2]
+            j += j < len(own) and own[j] == k
+            if j < len(own):
+                return made[own[j]][2]
         return None
 
-    def references(part: _Part, k: int) -> Iterator[tuple[int, int, int | None]]:
-        """Where a part names constants, and which (None: no constant of this text)."""
-        if part.quoted:
-            for r in _REFERENCE.finditer(part.text):
-                yield *r.span(), constant(next(filter(None, r.groups())), k)
+    for one in literals:
+        if one.quoted:
+            found = [(*m.span(), next(filter(None, m.groups()))) for m in _REFERENCE.finditer(text, one.start, one.end)]
+        elif (word := _WORD.match(text, one.start, one.end)) and word.end() == one.end:
+            found = [(one.start, one.end, word[0][1:] if re.fullmatch(r"\$\w+", word[0]) else word[0])]
         else:
-            r = _REFERENCE.fullmatch(part.text)
-            yield 0, len(part.text), constant(next(filter(None, r.groups())) if r else part.text, k)
-
-    #: of an assignment: its value, the places of its literals, whether it is followed to a constant, and quoted
-    known: dict[int, tuple[Value, list[tuple[int, int]], bool, bool]] = {}
-
-    def evaluate(k: int) -> None:
-        value, spans, followed, quoted = Value(), [], False, False
-        for part in made[k][1]:
-            at = 0
-            refs = [(a, b, known[c]) for a, b, c in references(part, k) if c is not None and c in known]
-            for a, b, (inner, places, _, q) in refs:
-                value = value + Value.of(part.text[at:a]) + inner
-                followed, quoted, at = True, quoted or q, b
-            value = value + Value.of(part.text[at:])
-            if part.quoted or not refs:
-                spans.append((part.start, part.end))
-            spans += [r[2][1][0] for r in refs if r[2][1]]
-            quoted = quoted or part.quoted
-        known[k] = (value, list(dict.fromkeys(spans)), followed, quoted)
-
-    for k in range(len(made)):
-        waiting, open_ = [k], set()
-        while waiting:
-            top = waiting[-1]
-            if top in known:
-                waiting.pop()
-                continue
-            needed = [] if top in open_ else [c for part in made[top][1] for _, _, c in references(part, top) if c is not None and c not in known and c not in open_]
-            open_.add(top)  # a constant made of itself is read as far as it is known
+            found = []
+        one.uses = [(a, b, u) for a, b, name in found if (u := constant(name, one.start))]
+        for _, _, u in one.uses:
+            u.is_used = True
+        if one.behind:
+            one.behind.is_used = True
+
+
+def _evaluate(text: str, first: _Literal, by_end: dict[int, list[_Literal]]) -> None:
+    """Makes the value of a literal known, and those it is made of before it; a constant made of itself is read as far as it is known."""
+    waiting, open_ = [first], set()
+    while waiting:
+        one = waiting[-1]
+        if one.known:
+            waiting.pop()
+            continue
+        if one not in open_:
+            open_.add(one)
+            needed = [x for x in (one.behind, *(u for _, _, u in one.uses)) if x and not x.known and x not in open_]
             if needed:
                 waiting += needed
-            else:
-                evaluate(top)
-                waiting.pop()
-    for k, (name, _) in enumerate(made):
-        value, spans, followed, quoted = known[k]
+                continue
+        rest = one.behind.known if one.behind and one.behind.known else (Value(), None, False, False)
+        if one.quoted or one.uses:
+            value, at, used = Value(), one.start, [(a, b, u.known) for a, b, u in one.uses if u.known]
+            for a, b, (inner, _, _, _) in used:
+                value, at = value + Value.of(text[at:a]) + inner, b
+            value = value + Value.of(text[at : one.end])
+            place = next(iter(one.places()), rest[1])
+            one.known = (value + rest[0], place, bool(used) or rest[2], one.quoted or rest[3] or any(u[3] for _, _, u in used))
+        else:
+            _evaluate_run(text, [x for x in by_end[one.end] if not x.known and not x.uses], rest)
+        waiting.pop()
+
+
+def _evaluate_run(text: str, ones: list[_Literal], rest: tuple[Value, tuple[int, int] | None, bool, bool]) -> None:
+    """The values of bare literals of one run (and of what is added behind it), from the last to the first in one pass."""
+    ones = sorted(ones, key=lambda x: -x.start)
+    begin, end, tail = ones[-1].start, ones[0].end, rest[0]
+    stand_in = max((m.start() for m in _STANDS_IN_ANYWHERE.finditer(text, begin, end) if _STANDS_IN.match(text, m.start(), end)), default=-1)
+    url = text.rfind("://", begin, end)
+    seam = text[max(begin, end - _EDGE) : end] + tail.first
+    counts, weight, at = Counter(tail.counts), tail.weight, end
+    digit, letter, space = tail.has_digit, tail.has_letter, tail.has_space
+    for one in ones:
+        for c in text[one.start : at]:
+            place = c if c in counts or len(counts) < FOLD else chr(ord(c) % FOLD)
+            n = counts[place]
+            counts[place] = n + 1
+            weight += _log(n + 1) - _log(n)
+            digit, letter, space = digit or c.isdigit(), letter or c.isalpha(), space or c.isspace()
+        at = one.start
+        own = text[max(at, end - _EDGE) : end]
+        across = seam[len(seam) - len(own) - len(tail.first) :]
+        value = Value(
+            end - at + tail.length, Counter(counts) if one.is_used else None, weight, (text[at : min(end, at + _EDGE)] + tail.first)[:_EDGE], (own + tail.first)[-_EDGE:] if tail.length < _EDGE else tail.last,
+            at <= stand_in or tail.stands_in or (bool(tail.first) and _STANDS_IN.search(across) is not None), at <= url or tail.is_url or (bool(tail.first) and "://" in across), digit, letter, space,
+        )
+        one.known = (value, (at, end), rest[2], rest[3])
+
+
+def lex(text: str) -> Iterator[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of the literals that reach a sensitive name with a score of THRESHOLD or more.
+
+    Time grows nearly in proportion to the text: signs inside one run of characters share its end, added literals are linked, and
+    those that a sensitive name before has told already are not told again.
+    """
+    made, literals = _assignments(text)
+    every = list({id(x): x for x in literals.at.values() if x}.values())
+    _find_uses(text, made, every)
+    by_end: dict[int, list[_Literal]] = {}
+    for one in every:
+        if not one.quoted:
+            by_end.setdefault(one.end, []).append(one)
+    for _, _, first in made:
+        _evaluate(text, first, by_end)
+    for name, _, one in made:
         weight = name_weight(name)
-        if weight and (quoted or value.has_digit()) and (score := weight + value.score()) >= THRESHOLD:
-            for start, end in spans:
-                yield "propagated" if followed else "lexed", start, end, round(score, 4)
+        value, _, followed, quoted = one.known
+        if weight and (quoted or value.has_digit) and (score := weight + value.score()) >= THRESHOLD:
+            while one is not None and not one.told:
+                for start, end in one.places():
+                    yield "propagated" if followed else "lexed", start, end, round(score, 4)
+                one.told = True
+                one = one.behind
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, int, int, float]]:
