@@ -64,8 +64,76 @@ def test_pages_of_an_unseen_layout(spark):
         page, blocks = unseen_page(seed)
         got = [x for x in model.extract(page).split("\n\n") if x]
         kept, wanted, right = kept + len(got), wanted + len(blocks), right + len(set(got) & set(blocks))
-    # sections inside an article are rare in the labelled layouts, so some are missed; what is kept is main text
-    assert right / wanted > 0.6 and right / kept > 0.95, (kept, wanted, right)
+    assert right / wanted > 0.9 and right / kept > 0.95, (kept, wanted, right)
+
+
+def another_unseen_page(seed):
+    """A page of a layout written after the labelled ones were done: generated class names, chapters, lists and quotes, notes between them."""
+    r = random.Random(seed)
+    para = lambda n: prose(r.randrange(10**9), n).capitalize() + "."
+    name = lambda: "css-" + "".join(r.choice("0123456789abcdef") for _ in range(6))
+    links = lambda n: "".join(f'<a class="{name()}" href="/{prose(r.randrange(10**9), 1)}">{prose(r.randrange(10**9), 1)}</a> ' for _ in range(n))
+    blocks, body = [], ""
+
+    def put(tag, text):
+        blocks.append(text)
+        return f'<{tag} class="{name()}">{text}</{tag}>'
+
+    for _ in range(r.randint(2, 5)):
+        inner = put("h2", para(4).rstrip("."))
+        for _ in range(r.randint(2, 5)):
+            kind = r.random()
+            text = lambda: " ".join(para(r.randint(7, 20)) for _ in range(r.randint(2, 5)))
+            if kind < 0.7:
+                inner += f'<div class="{name()}">{put("p", text())}</div>'
+            elif kind < 0.85:
+                inner += "<blockquote>" + put("p", text()) + "</blockquote>"
+            else:
+                inner += "<ul>" + "".join(put("li", para(9)) for _ in range(3)) + "</ul>"
+        body += f'<section class="{name()}"><div class="{name()}">{inner}</div></section>'
+        body += f'<div class="ad-slot {name()}"><p>{para(5)}</p></div>' if r.random() < 0.4 else ""
+    page = f"""<html><body><div id="app"><header role="banner"><div class="{name()}">{links(6)}</div></header><div class="{name()}"><main class="{name()}"><article>{body}</article>
+      </main><aside class="{name()}"><h4>{para(2)}</h4><div>{links(5)}</div></aside></div><div class="newsletter-box"><form><p>{para(6)}</p><button>{para(1)}</button></form></div>
+      <footer><div class="{name()}">{links(4)}</div><small>&copy; {para(2)}</small></footer></div></body></html>"""
+    return page, blocks
+
+
+def test_pages_of_another_unseen_layout(spark):
+    model = html.fit(html.labelled_pages(spark))
+    kept = wanted = right = 0
+    for seed in range(60):
+        page, blocks = another_unseen_page(seed)
+        got = [x for x in model.extract(page).split("\n\n") if x]
+        kept, wanted, right = kept + len(got), wanted + len(blocks), right + len(set(got) & set(blocks))
+    print(kept, wanted, right)
+    assert right / wanted > 0.9 and right / kept > 0.95, (kept, wanted, right)
+
+
+def test_attributes_are_read_one_by_one():
+    assert html.attributes_of(""" class="a b" title="id=x hidden class='y'" ID=z data-x=1 hidden """) == {"class": "a b", "title": "id=x hidden class='y'", "id": "z", "data-x": "1", "hidden": ""}
+    assert html.attributes_of(" class=first CLASS=second") == {"class": "first"}
+    assert html.parse('<p title="hidden gems" class="lead">x</p>').cues[1] == ("lead",)
+    for value in ("hello", "", "1", "0", "7", "-1", "1.5"):  # a page's own attribute is no label
+        page = html.parse(f'<button {html.LABEL}="{value}">x</button>')
+        assert page.label == [None, None] and page.runs == [(1, "x")]
+    assert html.parse(f'<p {html.LABEL}="hello">x</p>', labelled=True).label == [None, None]
+    assert html.parse(f'<p {html.LABEL}="1">x</p>', labelled=True).label == [None, 1]
+
+
+def test_blocks_that_a_page_hides():
+    assert shown('<p>a</p><div style="color:red; display: NONE"><p>no</p><ul><li>no</ul></div><p>b</p>') == ["a", "b"]
+    assert shown('<div hidden><div>no</div>no</div>b<p style="visibility:hidden">no<p>c') == ["b", "c"]
+    assert shown('<p style="display:block" title="display:none">a</p>') == ["a"]
+
+
+def test_whole_texts_of_pages_against_their_template(spark):
+    """Texts, not marginals: character references, white space and order of blocks as the contract has them."""
+    model = html.fit(html.labelled_pages(spark))
+    for seed in range(20):
+        page, blocks = unseen_page(seed)
+        page = page.replace(blocks[1], f"  A &amp; B&nbsp;&eacute;\n\t{blocks[1]}  <b>bold</b>, <i>it</i>.")
+        blocks[1] = f"A & B \u00e9 {blocks[1]} bold, it."
+        assert model.extract(page) == "\n\n".join(blocks)
 
 
 def test_repeated_and_missing_pages(spark):

@@ -30,6 +30,8 @@ LABELLED_PAGES, LABELLED_SEED = 600, 11
 SMOOTHING = 0.5
 #: Siblings of one tag are written alike: together they say as much about their parent as so many nodes.
 SIBLINGS = 3
+#: Names of classes and ids count from so many elements on.
+SEEN = 5
 LABEL = "data-content"
 TAGGED = ("links", "under", "stop", "plain")
 
@@ -56,8 +58,11 @@ _GROUPS = {"ol": "ul", "menu": "ul", "dir": "ul", "dl": "ul", "dt": "li", "dd":
 
 # a quoted value ends where white space or the end of the tag follows; a quote without such an end is a character like others
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|["'])*+)>?""", re.DOTALL)
-_NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|%s)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""" % LABEL, re.IGNORECASE)
-_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+# attributes one by one, each with its whole value, so nothing inside a value is taken for an attribute
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|["'][^\s]*""")
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+# letters behind digits, or in front of digits and letters, are part of a generated name and say nothing
+_WORD = re.compile(r"(?<!\d)(?:[A-Z]++(?![a-z])|[A-Z]?[a-z]++)(?!\d+[A-Za-z])")
 
 
 @dataclass
@@ -72,8 +77,20 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)  # (node, text without outer white space)
 
 
-def parse(html: str) -> Page:
-    """The block tree of html; unclosed and stray tags are mended as browsers do, a cut page ends its open elements."""
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of what stands behind a tag's name, by lower-case name; the first of a name counts, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        if m[1]:
+            out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    return out
+
+
+def parse(html: str, labelled: bool = False) -> Page:
+    """The block tree of html; unclosed and stray tags are mended as browsers do, a cut page ends its open elements.
+
+    Block elements that a page hides (hidden, or a style that says so) are not shown. Labels are read only if labelled.
+    """
     page = Page()
     stack: list[int] = []
     opened: dict[str, int] = {}
@@ -82,25 +99,19 @@ def parse(html: str) -> Page:
 
     def push(tag: str, attributes: str) -> None:
         nonlocal hidden
+        own = attributes_of(attributes)
         names.append(tag)
         opened[tag] = opened.get(tag, 0) + 1
-        hidden += tag in HIDDEN
+        shut.append(tag in HIDDEN or "hidden" in own or _UNSHOWN.search(own.get("style", "")) is not None)
+        hidden += shut[-1]
         if hidden:  # no node of the tree: what is inside is not shown
             stack.append(stack[-1])
             return
-        cues, label = [], None
-        for m in _NAMED.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == LABEL:
-                label = int(value)
-            elif name == "hidden":
-                cues.append("hidden")
-            else:
-                cues += [w.lower() for w in _WORD.findall(value)]
+        cues = [w.lower() for name in ("class", "id", "role") for w in _WORD.findall(own.get(name, ""))]
         page.parent.append(stack[-1] if stack else -1)
         page.tag.append(_GROUPS.get(tag, tag))
         page.cues.append(tuple(dict.fromkeys(cues)))
-        page.label.append(label)
+        page.label.append(int(own[LABEL]) if labelled and own.get(LABEL) in ("0", "1") else None)
         page.linked.append(0)
         stack.append(len(page.tag) - 1)
 
@@ -113,7 +124,7 @@ def parse(html: str) -> Page:
     def pop() -> None:
         nonlocal hidden
         stack.pop()
-        hidden -= names[-1] in HIDDEN
+        hidden -= shut.pop()
         opened[names.pop()] -= 1
 
     def text(value: str) -> None:
@@ -125,6 +136,7 @@ def parse(html: str) -> Page:
             page.linked[stack[-1]] += len(value)
 
     names: list[str] = []
+    shut: list[bool] = []
     push("html", "")
     for m in iter(lambda: _MARKUP.search(html, at), None):
         if m.start() > at:
@@ -234,7 +246,9 @@ class TreeModel:
         for key in zip(page.parent, page.tag):
             alike[key] = alike.get(key, 0) + 1
         weight = [min(1.0, SIBLINGS / alike[key]) for key in zip(page.parent, page.tag)]
-        shown = [w * sum(self.shown.get(f, 0.0) for f in row) for w, row in zip(weight, features(page))]
+        # names that the labelled pages do not have say no more than no name
+        bare = [[f"plain {tag}"] if cues and not any(f"cue {c}" in self.shown for c in cues) else [] for tag, cues in zip(page.tag, page.cues)]
+        shown = [w * sum(self.shown.get(f, 0.0) for f in row + more) for w, row, more in zip(weight, features(page), bare)]
         # beliefs as log odds of what lies below a node; pair potentials as the four probabilities
         below = shown
         up = [0.0] * n
@@ -275,7 +289,7 @@ def fit(labelled: DataFrame, html_col: str = "html") -> TreeModel:
         for batch in batches:
             rows: list[tuple[str, str, int, int]] = []
             for value in batch.column(0):
-                page = parse(value.as_py() or "")
+                page = parse(value.as_py() or "", labelled=True)
                 y = labels(page)
                 for i, row in enumerate(features(page)):
                     rows += [("shown", f, 0, y[i]) for f in row]
@@ -293,6 +307,8 @@ def fit(labelled: DataFrame, html_col: str = "html") -> TreeModel:
     shown = {}
     for name in {n for k, n, _, _ in found if k == "shown"}:
         words = name.split()
+        if words[0] == "cue" and sum(found.get(("shown", name, 0, y), 0) for y in (0, 1)) < SEEN:
+            continue
         tag = words[1] if words[0] in TAGGED else ""  # given its tag, since the pair potential has what the tag itself says
         zero, one = ((found.get(("shown", name, 0, y), 0) + SMOOTHING) / (nodes.get((tag, y), 0) + 4 * SMOOTHING) for y in (0, 1))
         shown[name] = math.log(one) - math.log(zero)
@@ -378,7 +394,17 @@ def labelled_page(seed: int) -> str:
 
     tag, words = r.choice(MAINS)
     title = r.choice((f"<h1{mark(1)}>{phrase(1, 10)}</h1>", f"<h1{mark(1)}>{phrase(1, 10)}</h1>", f"<header{mark(1)}><h1>{phrase(1, 9)}</h1></header>" if tag == "article" else "", ""))
-    body = title + "".join(block() + (part() if r.random() < 0.06 else "") for _ in range(r.randint(1, r.choice((3, 16, 16, 50)))))
+    blocks = [block() + (part() if r.random() < 0.06 else "") for _ in range(r.randint(1, r.choice((3, 16, 16, 50))))]
+    for _ in range(r.choice((0, 0, 1, 2))):  # blocks in groups, and groups in groups
+        tag_of, words_of, most_of = r.choice(("section", "section", "div")), r.choice(("", "", "", "chapter", "text block", "paragraph", word())), r.choice((1, 1, 3, 8))
+        grouped, at = [], 0
+        while at < len(blocks):
+            n = r.randint(1, most_of)
+            inner = "".join(blocks[at : at + n])
+            grouped.append(f"<{tag_of}{named(words_of)}{mark(1)}>{inner}</{tag_of}>")
+            at += n
+        blocks = grouped
+    body = title + "".join(blocks)
     main = f"<{tag}{named(words)}{mark(1)}>{body}</{tag}>"
     main = f"<table><tr>{main}</tr></table>" if tag == "td" else main
     main = r.choice((main, main, main, f"<div{named(r.choice(('wrapper', 'container', 'page', '')))}>{main}</div>", f"<main>{main}</main>"))
