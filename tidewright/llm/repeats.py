@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,8 @@ HOT = 4_000
 BLOCK = 1_500_000
 #: Windows of a text that are named at once.
 CHUNK = 1 << 21
-#: Spans up to so many are broadcast to the texts.
-BROADCAST = 400_000
+#: Bits of the table that says which texts need no look.
+SIEVE = 1 << 25
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -197,17 +198,39 @@ def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
 
 def _name_windows(level: int):
     def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40  # texts are numbered by task and place; the numbers are written with the names
         for frame in frames:
-            found = [(t, *pieces_of(text, SEEDS[level])) for t, text in zip(frame["t"], frame["text"])]
-            # what tells pieces apart: 64 bits of the text's digest and the place
-            ids = [int.from_bytes(t[:8], "little", signed=True) + x[1] * np.int64(0x2545F4914F6CDD1D) for t, *x in found]
-            column = lambda k: np.concatenate([x[k] for x in found]) if found else []
-            names = column(1)
-            yield pd.DataFrame({"key": names, "t": np.repeat(np.array([x[0] for x in found], object), [len(x[1]) for x in found]), "start": column(2), "n": column(3), "low": np.concatenate(ids) if ids else [], "again": column(4)})
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            digests = []
+            for t, text in zip(frame["t"], frame["text"]):
+                names, starts, counts, again = pieces_of(text, SEEDS[level])
+                values, places = np.unique(names, return_counts=True)
+                again |= np.isin(names, values[places > 1])
+                same = np.ones(len(names), np.int64)
+                for column, found in zip(columns, (same * number, same * int.from_bytes(t[:8], "little", signed=True), names, starts, counts, again)):
+                    column.append(found)
+                digests += [t, *[None] * (len(names) - 1)]
+                number += 1
+            out = {c: np.concatenate(x) if x else [] for c, x in zip(("no", "tag", "key", "start", "n", "again"), columns)}
+            yield pd.DataFrame(out | {"t": pd.Series(digests, dtype=object)})
 
     return name
 
 
+def sieve(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts with may: false where t is in no row of members for sure.
+
+    A table of SIEVE bits, in words of 64, is broadcast: its size is fixed, so with very many members it lets more through, and only
+    the work behind it grows.
+    """
+    bit = F.pmod(F.xxhash64("t"), F.lit(SIEVE))
+    word, place = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
+    words = members.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = texts.withColumn("word", word).join(F.broadcast(words), "word", "left")
+    may = F.getbit(F.coalesce("bits", F.lit(0).cast("long")), place) == 1
+    return found.withColumn("may", may).drop("word", "bits")
+
+
 def _cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pieces of each text, copies of a text once in a task."""
     seen: set[bytes] = set()
@@ -248,10 +271,13 @@ def repeated_ranges(texts: DataFrame, tables: Tables, level: int = 0) -> DataFra
     texts: t (a digest of the text) and text (binary); copies of a text are one text here.
     """
     spark = texts.sparkSession
-    named = tables.write(texts.where(F.octet_length("text") >= WINDOW).mapInPandas(_name_windows(level), "key long, t binary, start long, n long, low long, again boolean"))
-    shared = named.groupBy("key").agg(F.min("low").alias("low"), F.max(F.when(F.col("again"), F.try_add("low", F.lit(1))).otherwise(F.col("low"))).alias("high")).where("low <> high or high is null")
-    wanted = named.join(shared.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_set(F.struct("key", "start", "n")).alias("wanted"))
-    pieces = tables.write(texts.join(wanted, "t").select("t", "text", "wanted").mapInPandas(_cut_out, _PIECE))
+    named = tables.write(texts.where(F.octet_length("text") >= WINDOW).mapInPandas(_name_windows(level), "no long, tag long, key long, start long, n long, again boolean, t binary"))
+    # names in several texts (copies are one), or at several places of one
+    shared = tables.write(named.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.max("again").alias("again")).where("low <> high or again").select("key"))
+    owners = named.where("t is not null").groupBy("t").agg(F.min("no").alias("no"))
+    by_text = named.select("no", "key", "start", "n").join(shared, "key", "left_semi").groupBy("no").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
+    wanted = tables.write(by_text.join(owners, "no").select("t", "wanted"))
+    pieces = tables.write(sieve(wanted, texts).where("may").join(wanted, "t").select("t", "text", "wanted").mapInPandas(_cut_out, _PIECE))
     distinct = tables.write(pieces.groupBy("key", "name").agg(F.first("piece").alias("piece"), F.first("n").alias("n"), (F.count(F.lit(1)) > 1).alias("many")))
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.min("many").alias("all_many"))
     hot = spark.createDataFrame([], "key long")
@@ -317,9 +343,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = copies.select("t", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("n") - WINDOW + 1).alias("end"))).alias("whole"))
     found = tables.write(ranges.join(whole, "t", "full_outer").select("t", F.coalesce("whole", "ranges").alias("ranges")))
     scratch.clear()
-    few = found.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= BROADCAST
-    out = texts.join(F.broadcast(found) if few else found, "t", "left").select("id", "text", _cut("text", "ranges").alias("c"))
-    return out.select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "c.spans", "c.kept")
+    sieved = sieve(found, texts)
+    touched = sieved.where("may").join(found, "t", "left").select("id", "text", _cut("text", "ranges").alias("c")).select("id", "text", "c.spans", "c.kept")
+    whole = sieved.where("not may").select("id", "text", F.array().cast(_SPANS).alias("spans"), F.col("text").alias("kept"))
+    return touched.unionByName(whole).select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
