@@ -4,6 +4,7 @@ import pytest
 
 from tests import brute
 from tidewright.model import parse, to_text
+from tidewright.operators import engine as engine_module
 from tidewright.operators.compare import compare, validate
 from tidewright.operators.engine import OdEngine, discover
 
@@ -78,3 +79,68 @@ def test_comparison():
     assert compare(ods, ods).is_valid
     with pytest.raises(AssertionError, match="1 missing"):
         validate(set(), {parse("{A}: [] ↦ B", NAMES)}, NAMES)
+
+
+def judged_whole(engine):
+    return {od for od, whole in engine.judged.items() if whole}
+
+
+def table_of(spark, rows, n):
+    return spark.createDataFrame(rows, "_tid long, " + ", ".join(f"{c} int" for c in NAMES[:n]))
+
+
+def test_a_set_with_another_pair_starts_no_judgement(spark):
+    rows = [(i, i % 3, 7 * i % 5, i) for i in range(12)]
+    engine = OdEngine(table_of(spark, rows, 3), NAMES[:3])
+    for key, evidence in engine.evidence.items():  # let one pair of each set that has several lose a row
+        for mask, own in evidence.pairs.items():
+            assert 1 <= len(own) <= engine_module.PROOFS and all(p != p[::-1] for p in own), (key, mask)
+    single = {p for e in engine.evidence.values() for own in e.pairs.values() if len(own) == 1 for p in own}
+    ends = {t for p in single for t in p}
+    free = [r[0] for r in rows if r[0] not in ends] or [rows[0][0]]
+    before = {k: set(e.pairs) for k, e in engine.evidence.items()}
+    gone = next((t for t in free if all(any(t not in p for p in own) for e in engine.evidence.values() for own in e.pairs.values())), None)
+    assert gone is not None
+    engine.delete(spark.createDataFrame([(gone,)], "_tid long"))
+    assert engine.judged == {} and before == {k: set(e.pairs) for k, e in engine.evidence.items()}
+    assert engine.ods() == brute.cover([r[1:] for r in rows if r[0] != gone], 3)
+
+
+@pytest.mark.parametrize("column", [0, 3])
+def test_an_update_judges_only_what_has_the_column(spark, column):
+    r = random.Random(column)
+    table = {i: tuple(r.randrange(4) for _ in range(4)) for i in range(14)}
+    engine = OdEngine(table_of(spark, [(i, *v) for i, v in table.items()], 4), NAMES[:4])
+    changes = []
+    for k, i in enumerate(r.sample(sorted(table), 3)):
+        table[i] = tuple(9 + k if c == column else v for c, v in enumerate(table[i]))
+        changes.append(("update", i, k, *table[i]))
+    same = next(i for i in table if i not in {c[1] for c in changes})
+    changes.append(("update", same, 9, *table[same]))  # changes nothing
+    engine.apply(spark.createDataFrame(changes, "_op string, _rid long, _seq long, " + ", ".join(f"{c} int" for c in NAMES[:4])))
+    assert engine.ods() == brute.cover(list(table.values()), 4) and engine.non_ods() == brute.maximal_invalid(list(table.values()), 4)
+    assert all((od.context | od.key.mask) >> column & 1 for od in engine.judged)
+
+
+def test_a_snapshot_goes_on(spark, tmp_path):
+    r = random.Random(4)
+    table = {i: tuple(r.randrange(3) for _ in range(3)) for i in range(8)}
+    engine = OdEngine(table_of(spark, [(i, *v) for i, v in table.items()], 3), NAMES[:3])
+    engine.save(str(tmp_path))
+    again = OdEngine.load(spark, str(tmp_path))
+    assert again.ods() == engine.ods() and again.non_ods() == engine.non_ods() and again.judged == {}
+    again.delete(spark.createDataFrame([(2,), (5,)], "_tid long"))
+    again.insert(table_of(spark, [(9, 1, 2, 0)], 3))
+    rest = [v for i, v in table.items() if i not in (2, 5)] + [(1, 2, 0)]
+    assert again.ods() == brute.cover(rest, 3)
+
+
+def test_wrong_ids_are_refused(spark):
+    engine = OdEngine(frame(spark, BASE), NAMES[:3])
+    with pytest.raises(ValueError, match="known record: 2"):
+        engine.insert(table_of(spark, [(2, 1, 1, 1)], 3))
+    with pytest.raises(ValueError, match="comes twice"):
+        engine.insert(table_of(spark, [(7, 1, 1, 1), (7, 1, 1, 1)], 3))
+    with pytest.raises(ValueError, match="unknown record: 77"):
+        engine.delete(spark.createDataFrame([(1,), (77,)], "_tid long"))
+    assert engine.ods() == brute.cover(BASE, 3)

@@ -2,7 +2,7 @@ import random
 
 from tests import brute
 from tidewright.model import Key, OrderDependency, all_keys, compatible, constant, members, parse, to_mask, to_text
-from tidewright.plans.lattice import contexts_of, cover, evidence_of, holds, maximal_invalid, minimal_hitting_sets
+from tidewright.plans.lattice import HittingSets, contexts_of, cover, evidence_of, holds, maximal_invalid, minimal, minimal_hitting_sets, search
 
 
 def test_minimal_hitting_sets():
@@ -25,6 +25,33 @@ def test_hitting_sets_against_all_subsets():
         assert minimal_hitting_sets(edges) == {s for s in hits if not any(o != s and o & s == o for o in hits)}
 
 
+def test_edges_come_and_go():
+    r = random.Random(7)
+    for _ in range(150):
+        kept, edges = HittingSets(first := [r.randrange(128) for _ in range(r.randint(0, 3))]), set(first)
+        for _ in range(12):
+            if edges and r.random() < 0.45:
+                edges.remove(e := r.choice(sorted(edges)))
+                kept.remove(e)
+            else:
+                edges.add(e := r.randrange(r.choice((8, 128))))
+                kept.add(e)
+            assert kept.sets == minimal_hitting_sets(edges) and kept.least == minimal(edges)
+
+
+def test_search_of_thirty_columns():
+    r = random.Random(11)
+    edges = [sum(1 << v for v in r.sample(range(30), r.randint(3, 8))) for _ in range(14)]
+    found, kept = list(search(edges)), HittingSets()
+    for e in edges:
+        kept.add(e)
+    assert len(found) == len(set(found)) > 1000 and set(found) == kept.sets
+    for s in r.sample(found, 200):
+        assert all(s & e for e in edges) and not any(all((s & ~(1 << v)) & e for e in edges) for v in members(s))
+    some = search([1 << 2 * i | 1 << 2 * i + 1 for i in range(31)])  # two to the 31 sets: taken one after another, none held
+    assert len({next(some) for _ in range(1000)}) == 1000
+
+
 def test_text_form():
     names = ["active", "franchID", "franchName", "NAassoc", "score"]
     for text, od in [

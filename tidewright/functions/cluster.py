@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Jobs that a driver submits at once.
+AT_ONCE = 8
+
+
+def at_once[T](jobs: Sequence[Callable[[], T]]) -> list[T]:
+    """What jobs give, in order; they are submitted from threads, so small ones do not wait for each other's planning."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    session = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(job) if session else job) for job in jobs]]
+
+
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "_pos") -> DataFrame:
     """df with its rows' places from 0 in the order given.
 

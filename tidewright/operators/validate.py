@@ -10,13 +10,17 @@ rows are looked at, so neither the empty context nor a hot class is one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.cluster import at_once
 from tidewright.model import Key, OrderDependency, members
+from tidewright.plans.lattice import minimal
 
 RANGES = 64
 #: Values drawn to find the ranges of a column that is no number.
@@ -25,6 +29,8 @@ SAMPLED = 2_000
 WHOLE = 200_000
 #: Contexts of one GROUPING SETS job at most, since Spark expands each row once for each.
 SETS = 12
+#: Groups of (context, A) of one job at most, since the table is read for each.
+GROUPS = 6
 
 
 def _names(columns: Sequence[str], mask: int) -> list[str]:
@@ -76,51 +82,54 @@ def constant_groups(df: DataFrame, contexts: dict[str, Sequence[str]], targets:
     return grouped.withColumn("gid", gid).drop("g")
 
 
-Rows = Callable[[int], DataFrame]
+#: The rows to judge a context on, given the context and all attributes that are judged in it.
+Rows = Callable[[int, int], DataFrame]
+
+#: Rows of a change up to so many have their classes broadcast.
+BROADCAST_CLASSES = 200_000
 
 
-def touched(df: DataFrame, columns: Sequence[str], delta: DataFrame) -> Rows:
-    """For each context the rows of df in classes that a row of delta is in: an insert can break a dependency in these alone.
+def touched(df: DataFrame, columns: Sequence[str], delta: DataFrame, changed: str | None = None) -> Rows:
+    """For each context the rows of df in classes that a row of delta is in: a change can break a dependency in these alone.
 
-    The classes of delta are broadcast if few, so the rest of df is left out where it is scanned.
+    changed: a column of delta with the mask of attributes that the row did not have before; rows that changed no attribute that is
+    judged are left out. The classes of delta are broadcast if few, so the rest of df is left out where it is scanned.
     """
+    few = delta.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
 
-    def rows(context: int) -> DataFrame:
+    def rows(context: int, attributes: int) -> DataFrame:
         names = _names(columns, context)
-        return df.join(_few(delta.select(*names).distinct()), names, "left_semi") if names else df
+        own = delta if changed is None else delta.where(F.col(changed).bitwiseAND(F.lit(attributes)) != 0)
+        if not names:
+            return df
+        classes = own.select(*names).distinct()
+        return df.join(F.broadcast(classes) if few else classes, names, "left_semi")
 
     return rows
 
 
-#: Classes of a change up to so many are broadcast.
-BROADCAST_CLASSES = 200_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
-
-
 def constant_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
     """Those of the constant dependencies that do not hold on df, or on the rows of their context (null-free, as rank-encoded tables are)."""
     by_context: dict[int, list[OrderDependency]] = {}
     for od in ods:
         by_context.setdefault(od.context, []).append(od)
-    broken: set[OrderDependency] = set()
     order = sorted(by_context)
-    for at in range(0, len(order), SETS):
-        part = order[at : at + SETS]
+
+    def judge(part: list[int]) -> set[OrderDependency]:
         targets = sorted({od.key.left for m in part for od in by_context[m]})
         names = {str(m): _names(columns, m) for m in part}
         if rows is None:
             groups = constant_groups(df, names, [columns[t] for t in targets])
             verdicts = groups.groupBy("gid").agg(*(F.max(F.col(f"lo_{columns[t]}") != F.col(f"hi_{columns[t]}")).alias(f"v_{t}") for t in targets))
         else:
-            extremes = lambda m: rows(m).groupBy(*names[str(m)]).agg(*(f(columns[t]).alias(f"{p}_{t}") for t in targets for p, f in (("lo", F.min), ("hi", F.max))))
+            own = lambda m: rows(m, m | sum(od.key.mask for od in by_context[m]))
+            extremes = lambda m: own(m).groupBy(*names[str(m)]).agg(*(f(columns[t]).alias(f"{p}_{t}") for t in targets for p, f in (("lo", F.min), ("hi", F.max))))
             flags = [F.coalesce(F.max(F.col(f"lo_{t}") != F.col(f"hi_{t}")), F.lit(False)).alias(f"v_{t}") for t in targets]
             verdicts = _union([extremes(m).agg(*flags).select(F.lit(str(m)).alias("gid"), "*") for m in part])
-        for row in verdicts.collect():  # a row for each context
-            broken |= {od for od in by_context[int(row.gid)] if row[f"v_{od.key.left}"]}
-    return broken
+        # a row for each context
+        return {od for row in verdicts.collect() for od in by_context[int(row.gid)] if row[f"v_{od.key.left}"]}
+
+    return set().union(*at_once([partial(judge, order[at : at + SETS]) for at in range(0, len(order), SETS)]))
 
 
 def swap_groups(df: DataFrame, context: Sequence[str], a: str, targets: Sequence[tuple[str, bool]], witness: Column | None = None, bounds: dict[str, list] | None = None) -> DataFrame:
@@ -157,62 +166,129 @@ def swap_condition(b: str, same: bool, inner: str = "") -> Column:
     return F.col(f"top_{b}{inner}") > F.col(f"lo_{b}{inner}") if same else F.col(f"low_{b}{inner}") < F.col(f"hi_{b}{inner}")
 
 
-def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
+def _by_group(ods: Iterable[OrderDependency]) -> dict[tuple[int, int], list[OrderDependency]]:
+    """Dependencies by context and, of compatible ones, A (constant ones: -1); each group shares its aggregate."""
+    out: dict[tuple[int, int], list[OrderDependency]] = {}
+    for od in sorted(set(ods)):
+        out.setdefault((od.context, -1 if od.key.constant else od.key.left), []).append(od)
+    return dict(sorted(out.items()))
+
+
+def _attributes(ods: Iterable[OrderDependency]) -> int:
+    return reduce(lambda x, od: x | od.context | od.key.mask, ods, 0)
+
+
+def compatible_verdicts(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None, bounds: dict[str, list] | None = None) -> set[OrderDependency]:
     """Those of the compatible dependencies that do not hold on df, or on the rows of their context: one plan for each
     (context, A), shared by all B."""
-    by_group: dict[tuple[int, int], list[OrderDependency]] = {}
-    for od in ods:
-        by_group.setdefault((od.context, od.key.left), []).append(od)
-    broken: set[OrderDependency] = set()
-    order = sorted(by_group)
-    bounds = range_bounds(df, [columns[a] for _, a in order])
-    for at in range(0, len(order), SETS):
+    by_group = _by_group(ods)
+    order = list(by_group)
+    bounds = range_bounds(df, [columns[a] for _, a in order]) if bounds is None else bounds
+
+    def judge(part: list[tuple[int, int]]) -> set[OrderDependency]:
         plans = []
-        for context, a in order[at : at + SETS]:
+        for context, a in part:
             own = by_group[context, a]
-            groups = swap_groups(df if rows is None else rows(context), _names(columns, context), columns[a], [(columns[od.key.right], od.key.same) for od in own], bounds=bounds)
+            groups = swap_groups(df if rows is None else rows(context, _attributes(own)), _names(columns, context), columns[a], [(columns[od.key.right], od.key.same) for od in own], bounds=bounds)
             flags = [F.coalesce(F.max(swap_condition(columns[od.key.right], od.key.same)), F.lit(False)) for od in own]
             plans.append(groups.agg(F.array(*flags).alias("v")).select(F.lit(context).cast("long").alias("context"), F.lit(a).alias("a"), "v"))
-        for row in _union(plans).collect():  # a row for each (context, A)
-            broken |= {od for od, v in zip(by_group[row.context, row.a], row.v) if v}
-    return broken
+        # a row for each (context, A)
+        return {od for row in _union(plans).collect() for od, v in zip(by_group[row.context, row.a], row.v) if v}
 
+    return set().union(*at_once([partial(judge, order[at : at + GROUPS]) for at in range(0, len(order), GROUPS)]))
 
-def broken(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None) -> set[OrderDependency]:
+
+def broken(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], rows: Rows | None = None, bounds: dict[str, list] | None = None) -> set[OrderDependency]:
     """Those of ods that do not hold on df, or on what rows (see touched) gives for their context; constants first."""
     ods = set(ods)
     fixed = {od for od in ods if od.key.constant}
-    return (constant_verdicts(df, columns, fixed, rows) if fixed else set()) | (compatible_verdicts(df, columns, ods - fixed, rows) if ods - fixed else set())
+    return (constant_verdicts(df, columns, fixed, rows) if fixed else set()) | (compatible_verdicts(df, columns, ods - fixed, rows, bounds) if ods - fixed else set())
+
+
+Pair = tuple[int, int]
+
 
+def _proofs(found: DataFrame, *by: str) -> DataFrame:
+    """pairs: up to four different pairs (t1, t2) of each group, out of aggregates."""
+    ends = F.col("t1").cast("long").alias("t1"), F.col("t2").cast("long").alias("t2")
+    pick = [f(F.struct(*order)) for order in (ends, ends[::-1]) for f in (F.min, F.max)]
+    straight = [F.struct(p["t1"].alias("t1"), p["t2"].alias("t2")) for p in pick]
+    return found.groupBy(*by).agg(F.array_distinct(F.array(*straight)).alias("pairs"))
 
-def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], tid: str = "_tid", rows: Rows | None = None) -> DataFrame:
-    """left, right, same, mask, t1, t2: for each broken dependency of ods the distinct difference sets of one pair of
-    rows of each violating class (or violating group of it), with the ids of such a pair.
 
-    A pair comes out of an aggregate, so there are never more than groups; the distinct masks are few.
+def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependency], tid: str = "_tid", rows: Rows | None = None, bounds: dict[str, list] | None = None) -> list[tuple[Key, int, list[Pair]]]:
+    """For each broken dependency of ods the distinct difference sets of one pair of rows of each violating class (or
+    violating group of it), with the ids of up to four such pairs.
+
+    Pairs come out of aggregates, one for each context (or context and A) and shared by its dependencies; the distinct sets are few.
     """
     row = F.struct(F.col(tid).alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    plans, ods = [], sorted(set(ods))
-    bounds, whole = range_bounds(df, [columns[od.key.left] for od in ods if not od.key.constant]), df
-    for od in ods:
-        key, df = od.key, whole if rows is None else rows(od.context)
-        if key.constant:
-            a = columns[key.left]
-            value = F.struct(F.col(a).alias("b"), row.alias("w"))
-            pairs = df.groupBy(*_names(columns, od.context)).agg(F.min(value).alias("x"), F.max(value).alias("y")).where("x.b <> y.b").select("x.w", F.col("y.w").alias("z"))
+    by_group, full = _by_group(ods), (1 << len(columns)) - 1
+    order, keys = list(by_group), sorted({od.key for od in ods})
+    bounds = range_bounds(df, [columns[a] for _, a in order if a >= 0]) if bounds is None else bounds
+    pair = lambda key, w, z, wrong: F.struct(F.lit(keys.index(key)).alias("key"), F.lit(full & ~key.mask).cast("long").alias("free"), w.alias("w"), z.alias("z"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+
+    def plan(context: int, a: int) -> DataFrame:
+        own = by_group[context, a]
+        source, names = df if rows is None else rows(context, _attributes(own)), _names(columns, context)
+        if a < 0:
+            value = lambda t: F.struct(F.col(columns[t]).alias("b"), row.alias("w"))
+            groups = source.groupBy(*names).agg(*(f(value(od.key.left)).alias(f"{p}_{od.key.left}") for od in own for p, f in (("lo", F.min), ("hi", F.max))))
+            pairs = [pair(od.key, F.col(f"lo_{t}.w"), F.col(f"hi_{t}.w"), F.col(f"lo_{t}.b") != F.col(f"hi_{t}.b")) for od in own for t in [od.key.left]]
         else:
-            b, p = columns[key.right], "top" if key.same else "low"
-            groups = swap_groups(df, _names(columns, od.context), columns[key.left], [(b, key.same)], row, bounds)
-            pairs = groups.where(swap_condition(b, key.same, ".b")).select(F.col(f"{p}_{b}.w").alias("w"), F.col(f"{'lo' if key.same else 'hi'}_{b}.w").alias("z"))
-        bits = [F.when(F.col(f"w.v{i}").eqNullSafe(F.col(f"z.v{i}")), F.lit(0)).otherwise(F.lit(1 << i)) for i in range(len(columns)) if not key.mask >> i & 1]
-        mask = reduce(Column.__add__, bits, F.lit(0)).cast("long")
-        found = pairs.groupBy(mask.alias("mask")).agg(F.min(F.struct(F.col("w.t").alias("t1"), F.col("z.t").alias("t2"))).alias("p"))
-        plans.append(found.select(F.lit(key.left).alias("left"), F.lit(key.right).alias("right"), F.lit(key.same).alias("same"), "mask", F.col("p.t1").cast("long").alias("t1"), F.col("p.t2").cast("long").alias("t2")))
-    return _union(plans)
-
-
-def key_of(row) -> Key:
-    return Key(row.left, row.right, row.same)
+            groups = swap_groups(source, names, columns[a], [(columns[od.key.right], od.key.same) for od in own], row, bounds)
+            ends = lambda b, same: (F.col(f"{'top' if same else 'low'}_{b}.w"), F.col(f"{'lo' if same else 'hi'}_{b}.w"), swap_condition(b, same, ".b"))
+            pairs = [pair(od.key, *ends(columns[od.key.right], od.key.same)) for od in own]
+        found = groups.select(F.explode(F.filter(F.array(*pairs), lambda p: p["wrong"])).alias("p")).select("p.*")
+        bits = [F.when(F.col(f"w.v{i}").eqNullSafe(F.col(f"z.v{i}")), F.lit(0)).otherwise(F.lit(1 << i)).cast("long") for i in range(len(columns))]
+        return found.select("key", reduce(Column.__add__, bits).bitwiseAND(F.col("free")).alias("mask"), F.col("w.t").alias("t1"), F.col("z.t").alias("t2"))
+
+    def collect(part: list[tuple[int, int]]) -> list[tuple[Key, int, list[Pair]]]:
+        return [(keys[r.key], r["mask"], [(p.t1, p.t2) for p in r.pairs]) for r in _proofs(_union([plan(*group) for group in part]), "key", "mask").collect()]
+
+    return [x for part in at_once([partial(collect, order[at : at + GROUPS]) for at in range(0, len(order), GROUPS)]) for x in part]
+
+
+#: Rows that neighbours are looked for in, and difference sets of a key that a batch of them gives.
+SEED_ROWS, SEED_SETS = 200_000, 64
+
+
+def neighbours(df: DataFrame, columns: Sequence[str], keys: Sequence[Key], tid: str, rows: int) -> list[tuple[Key, int, list[Pair]]]:
+    """Difference sets of rows that stand beside each other when a batch of rows is sorted by one column.
+
+    They only spare rounds of judgement: every pair is a proof by itself, and what they miss is found where candidates are judged. So
+    about SEED_ROWS rows, drawn by a hash of their ids, are enough of a table of `rows`.
+    """
+    n = len(columns)
+
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, out = frame[tid].to_numpy(), []
+            codes = np.stack([np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in columns], axis=1) if len(frame) else np.zeros((0, n), int)
+            one, two = [], []
+            for c in range(n):
+                order = np.lexsort([codes[:, (c + k) % n] for k in range(n - 1, -1, -1)])
+                for lag in (1, 2, 5):
+                    one.append(order[:-lag])
+                    two.append(order[lag:])
+            x, y = np.concatenate(one), np.concatenate(two)
+            weights = np.left_shift(np.int64(1), np.arange(n, dtype=np.int64))
+            differ, less = (codes[x] != codes[y]) @ weights, (codes[x] < codes[y]) @ weights
+            _, first = np.unique(np.stack([differ, less]), axis=1, return_index=True)
+            x, y, differ, less = x[first], y[first], differ[first], less[first]
+            for k, key in enumerate(keys):
+                wrong = differ >> key.left & 1 == 1
+                if not key.constant:
+                    wrong &= (differ >> key.right & 1 == 1) & ((less >> key.left & 1 != less >> key.right & 1) == key.same)
+                masks, at = np.unique(differ[wrong] & ~key.mask, return_index=True)
+                least = sorted(zip(masks.tolist(), np.flatnonzero(wrong)[at].tolist()), key=lambda m: m[0].bit_count())[: 4 * SEED_SETS]
+                kept = minimal(m for m, _ in least)
+                out += [(k, m, int(ids[x[i]]), int(ids[y[i]])) for m, i in [p for p in least if p[0] in kept][:SEED_SETS]]
+            yield pd.DataFrame(out, columns=["key", "mask", "t1", "t2"])
+
+    drawn = df.where(F.pmod(F.xxhash64(F.lit("neighbours"), tid), F.lit(1 + rows // SEED_ROWS)) == 0).select(F.col(tid).cast("long").alias(tid), *columns)
+    found = _proofs(drawn.mapInPandas(find, "key int, mask long, t1 long, t2 long"), "key", "mask")
+    return [(keys[r.key], r["mask"], [(p.t1, p.t2) for p in r.pairs]) for r in found.collect()]
 
 
 def violating_classes(df: DataFrame, context: Sequence[str], a: str, b: str, same: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ the minimal difference sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from tidewright.model import Key, OrderDependency, members
 
@@ -22,18 +22,75 @@ def minimal(masks: Iterable[int]) -> set[int]:
     return set(out)
 
 
-def minimal_hitting_sets(edges: Iterable[int]) -> set[int]:
-    """The minimal sets that meet every edge: {0} without edges, none if an edge is empty.
+def search(edges: Iterable[int], universe: int = -1) -> Iterator[int]:
+    """The minimal sets of elements of universe that meet every edge, each once, depth first.
 
-    Edges are added one by one: sets that miss the new edge are extended by each of its members, and
-    extensions that contain a set which meets it are dropped.
+    Sets grow by elements of an edge they miss. Each chosen element must keep an edge that it alone meets, so no set
+    is visited that a minimal one does not grow from by dropping elements; what is held is one path, not the sets found. Edges are sets of bits too.
     """
-    found = {0}
-    for edge in sorted(minimal(edges), key=int.bit_count):
-        hit = {s for s in found if s & edge}
-        grown = {s | 1 << a for s in found - hit for a in members(edge)}
-        found = hit | {g for g in minimal(grown) if not any(h & g == h for h in hit)}
-    return found
+    edges = sorted(minimal(e & universe for e in edges), key=int.bit_count)
+    if edges and not edges[0]:
+        return
+    meeting: dict[int, int] = {}  # element to the edges it is in
+    for i, e in enumerate(edges):
+        for v in members(e):
+            meeting[v] = meeting.get(v, 0) | 1 << i
+
+    def grow(chosen: int, alone: list[int], missed: int, free: int) -> Iterator[int]:
+        """alone: for each chosen element the edges that no other one meets; missed: edges not met; free: elements that may be added."""
+        if not missed:
+            yield chosen
+            return
+        edge = min((edges[i] & free for i in members(missed)), key=int.bit_count)
+        free &= ~edge
+        for v in members(edge):
+            kept = [x & ~meeting[v] for x in alone]
+            if all(kept):
+                yield from grow(chosen | 1 << v, [*kept, missed & meeting[v]], missed & ~meeting[v], free)
+                free |= 1 << v
+
+    yield from grow(0, [], (1 << len(edges)) - 1, sum(1 << v for v in meeting))
+
+
+def minimal_hitting_sets(edges: Iterable[int]) -> set[int]:
+    """The minimal sets that meet every edge: {0} without edges, none if an edge is empty."""
+    return set(search(edges))
+
+
+class HittingSets:
+    """The minimal hitting sets of edges that come and go, changed by one edge at a time."""
+
+    def __init__(self, edges: Iterable[int] = ()):
+        self.edges = set(edges)
+        #: the edges that contain no other one, and the sets
+        self.least, self.sets = minimal(self.edges), set(search(self.edges))
+
+    def _needed(self, chosen: int) -> bool:
+        """Whether each element of a hitting set alone meets an edge."""
+        met = 0
+        for e in self.least:
+            if (x := e & chosen) & (x - 1) == 0:
+                met |= x
+        return met == chosen
+
+    def add(self, edge: int) -> None:
+        """Sets that meet the new edge stay; the others grow by one of its elements, where all their elements are still needed."""
+        if edge in self.edges:
+            return
+        self.edges.add(edge)
+        if any(o & edge == o for o in self.least):
+            return
+        self.least = {o for o in self.least if o & edge != edge} | {edge}
+        grown = {s | 1 << v for s in self.sets if not s & edge for v in members(edge)}
+        self.sets = {s for s in self.sets if s & edge} | {g for g in grown if self._needed(g)}
+
+    def remove(self, edge: int) -> None:
+        """Sets whose elements are needed without the edge stay; new ones avoid it, since a set that meets it was one before."""
+        self.edges.discard(edge)
+        if edge not in self.least:
+            return
+        self.least = minimal([*(self.least - {edge}), *(e for e in self.edges if e & edge == edge)])
+        self.sets = {s for s in self.sets if self._needed(s)} | set(search(self.least, ~edge))
 
 
 def holds(contexts: Mapping[Key, set[int]], key: Key, context: int) -> bool:
