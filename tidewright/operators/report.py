@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.cluster import with_before
+
 
 def flatten_metrics(df: DataFrame, json: str, metrics: str = "array<struct<name:string,time:double>>") -> DataFrame:
     """name and time of each entry of a JSON array of metrics, beside the other columns."""
@@ -22,20 +24,20 @@ def total_time(df: DataFrame, json: str, name: str, schema: str = "array<struct<
 
 
 def rates(df: DataFrame, run: str, step: str, time: str) -> DataFrame:
-    """df with d_step, d_time (differences to the step before in the run) and rate (time for each step)."""
-    w = Window.partitionBy(run).orderBy(step)
-    out = df.withColumn("d_step", F.col(step) - F.lag(step).over(w)).withColumn("d_time", F.col(time) - F.lag(time).over(w))
+    """df with d_step, d_time (differences to the step before in the run) and rate (time for each step); a run may be of any size."""
+    out = with_before(df, [run], step, F.struct(F.col(step).alias("s"), F.col(time).alias("t")), "_before")
+    out = out.withColumn("d_step", F.col(step) - F.col("_before.v.s")).withColumn("d_time", F.col(time) - F.col("_before.v.t")).drop("_before")
     return out.withColumn("rate", F.col("d_time") / F.nullif(F.col("d_step"), F.lit(0)))
 
 
 def as_of(log: DataFrame, points: DataFrame, run: str, step: str, value: str, at: str) -> DataFrame:
-    """run, at, and the value of the last step at or before each point of the run (null: none).
+    """run, at, and the value of the last step at or before each point of the run (null: none, or that step has none).
 
-    Points and log are merged by one sort for each run, so a point joins no more rows than one.
+    Points and log are merged by one sort, so a point joins no more rows than one; a run may be of any size.
     """
-    marked = log.select(run, F.col(step).alias("_s"), F.lit(0).alias("_p"), F.col(value).alias(value)).unionByName(points.select(run, F.col(at).alias("_s"), F.lit(1).alias("_p"), F.lit(None).cast(log.schema[value].dataType).alias(value)))
-    w = Window.partitionBy(run).orderBy("_s", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_p = 1").select(run, F.col("_s").alias(at), value)
+    marked = log.select(run, F.col(step).alias("_s"), F.lit(False).alias("_point"), F.col(value).alias("_v")).unionByName(points.select(run, F.col(at).alias("_s"), F.lit(True).alias("_point"), F.lit(None).cast(log.schema[value].dataType).alias("_v")))
+    out = with_before(marked, [run], "_s", F.col("_v"), "_before", this=True, mark=~F.col("_point"))
+    return out.where("_point").select(run, F.col("_s").alias(at), F.col("_before.v").alias(value))
 
 
 def runs_of(paths: DataFrame, path: str = "path", pattern: str = r"([^/]+)\.\w+$") -> DataFrame:

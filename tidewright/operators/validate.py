@@ -250,7 +250,7 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
 
 
 #: Rows that neighbours are looked for in, and difference sets of a key that a batch of them gives.
-SEED_ROWS, SEED_SETS = 200_000, 64
+SEED_ROWS, SEED_SETS = 40_000, 64
 
 
 def neighbours(df: DataFrame, columns: Sequence[str], keys: Sequence[Key], tid: str, rows: int) -> list[tuple[Key, int, list[Pair]]]:

@@ -369,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "superkey_check": " UNION ALL ".join(f"SELECT '{t}' AS context, NOT EXISTS (SELECT 1 FROM {t} GROUP BY {c} HAVING count(*) > 1) AS is_key" for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey, l_linenumber"), ("customer", "c_custkey"))),
         "metric_rates": """SELECT event_type, event_id, event_id - lag(event_id) OVER w AS d_step, round(value - lag(value) OVER w, 6) AS d_time,
           round((value - lag(value) OVER w) / nullif(event_id - lag(event_id) OVER w, 0), 6) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
-        "metric_as_of": """SELECT t.event_type, p.step::BIGINT AS step, (SELECT arg_max(value, event_id) FROM events e WHERE e.event_type = t.event_type AND e.event_id <= p.step) AS value
+        "metric_as_of": """SELECT t.event_type, p.step::BIGINT AS step, (SELECT max({'k': event_id, 'v': value}).v FROM events e WHERE e.event_type = t.event_type AND e.event_id <= p.step) AS value
           FROM (SELECT DISTINCT event_type FROM events) t, (VALUES (0), (100), (1000), (5000), (100000000)) p(step)""",
         "metric_mean_std": "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1",
         "relative_runtime": """WITH m AS (SELECT user_id % 10 AS k, event_type, avg(value) AS mean FROM events GROUP BY 1, 2)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,13 +13,31 @@ from tidewright.functions.cluster import with_position
 from tidewright.operators.engine import OdEngine
 
 
-def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, state: str, on_batch: Callable[[int, OdEngine], None] | None = None, available_now: bool = True, sequence: str = "_seq", done: int = -1) -> StreamingQuery:
+#: Batches between two snapshots.
+SNAPSHOTS = 16
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _snapshots(spark: SparkSession, state: str) -> list[int]:
+    """The numbers of the batches that have a whole snapshot; -1 is the start."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/snapshot=*/about/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(int(re.search(r"snapshot=(-?\d+)/", str(f.getPath()))[1]) for f in found)
+
+
+def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, state: str, on_batch: Callable[[int, OdEngine], None] | None = None, available_now: bool = True, sequence: str = "_seq", done: int = -1, every: int = SNAPSHOTS) -> StreamingQuery:
     """Applies a stream of changes (_op, _rid, _seq, values) to engine by foreachBatch and starts it.
 
-    The first table and each batch are stored under state before they are applied, so a new driver goes on from
-    recover(). Batches up to done, replayed behind a failure, are passed over. on_batch sees the number and the engine after each batch.
+    A snapshot of the engine is written before the first batch and behind each `every`; each batch is stored under state before it is
+    applied. So a new driver goes on from recover(), which reads one snapshot and the batches behind it. Batches up to done, replayed behind
+    a failure, are passed over. on_batch sees the number and the engine after each batch.
     """
-    engine.rows.write.mode("ignore").parquet(f"{state}/start")
+    if not _snapshots(engine.spark, state):
+        engine.save(f"{state}/snapshot={done}")
 
     def apply(batch: DataFrame, number: int) -> None:
         nonlocal done
@@ -30,6 +48,8 @@ def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, state: str, o
         if not stored.isEmpty():
             engine.apply(stored, sequence=sequence)
         done = number
+        if (number + 1) % every == 0:
+            engine.save(f"{state}/snapshot={number}")
         if on_batch:
             on_batch(number, engine)
 
@@ -37,18 +57,18 @@ def maintain(stream: DataFrame, engine: OdEngine, checkpoint: str, state: str, o
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def recover(spark: SparkSession, state: str, columns: Sequence[str], tid: str = "_tid", sequence: str = "_seq") -> tuple[OdEngine, int]:
-    """The engine behind all batches stored under state, and the last one's number (-1: none); the batches count as one."""
-    engine = OdEngine(spark.read.parquet(f"{state}/start"), columns, tid=tid)
-    try:
-        changes = spark.read.option("basePath", f"{state}/changes").parquet(f"{state}/changes")
-    except AnalysisException:  # no batch was stored
-        return engine, -1
-    last = changes.agg(F.max("batch")).first()[0]
-    if last is not None:
+def recover(spark: SparkSession, state: str, sequence: str = "_seq") -> tuple[OdEngine, int]:
+    """The engine behind all batches stored under state, and the last one's number (-1: none); batches behind the last snapshot count as one."""
+    last = _snapshots(spark, state)[-1]
+    engine = OdEngine.load(spark, f"{state}/snapshot={last}")
+    if not _exists(spark, f"{state}/changes"):  # no batch was stored
+        return engine, last
+    changes = spark.read.option("basePath", f"{state}/changes").parquet(f"{state}/changes").where(F.col("batch") > last)
+    newest = changes.agg(F.max("batch")).first()[0]
+    if newest is not None:
         placed = with_position(changes, [F.col("batch"), F.col(sequence)], "_place")
         engine.apply(placed.drop(sequence, "batch").withColumnRenamed("_place", sequence), sequence=sequence)
-    return engine, -1 if last is None else int(last)
+    return engine, last if newest is None else int(newest)
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
