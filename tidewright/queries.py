@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import history, prepare
-from tidewright.functions.cluster import with_position
+from tidewright.functions.cluster import Tables, with_position
 from tidewright.model import OrderDependency, all_keys, compatible, constant, to_frame, to_text
 from tidewright.operators import report, validate, violations
+from tidewright.operators.classes import ClassIndex, KeptExtremes
 from tidewright.operators.compare import compare_frames
+from tidewright.operators.dominance import Blocks
 from tidewright.operators.engine import OdEngine, discover
 from tidewright.streaming.feed import windowed_counts
 
@@ -246,6 +248,90 @@ def cover_after_changes(spark: SparkSession, sf: str) -> DataFrame:
     return engine.to_frame().select("od")
 
 
+def cover_after_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The cover of four columns of orders after a batch of changes by record: two columns updated, some rows deleted and put in anew."""
+    orders = table(spark, sf, "orders").withColumn("_tid", F.col("o_orderkey").cast("long"))
+    engine = OdEngine(orders, CHANGED)
+    moved = orders.where("o_orderkey % 89 = 0").withColumns({"o_orderstatus": F.lit("X"), "o_custkey": F.col("o_custkey") % 10})
+    gone = orders.where("o_orderkey % 97 = 0 and o_orderkey % 89 <> 0")
+    feed = lambda rows, op, place: rows.select(F.lit(op).alias("_op"), F.col("_tid").alias("_rid"), (F.col("_tid") * 3 + place).alias("_seq"), *CHANGED)
+    engine.apply(feed(moved, "update", 0).unionByName(feed(gone, "delete", 1)).unionByName(feed(gone.where("o_orderkey % 2 = 0"), "insert", 2)))
+    return engine.to_frame().select("od")
+
+
+def class_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """For each changed line how many lines of the table are of its part and supplier, out of an index that is not shuffled."""
+    base, delta = _change(spark, sf)
+    index = ClassIndex(base.select("tid", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], 16)
+    found = Tables(spark).write(index.look_up(delta.select("tid", "l_partkey", "l_suppkey")).groupBy(F.col("d_tid").alias("delta_id")).agg(F.count(F.lit(1)).alias("n")))
+    index.drop()
+    return found
+
+
+def kept_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """Extremes of discounts by supplier and quantity, kept through an insert and a delete."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount")
+    kept = KeptExtremes(lines.where("l_orderkey % 97 <> 0"), ["l_suppkey"], "l_quantity", "l_discount")
+    kept.insert(lines.where("l_orderkey % 97 = 0"))
+    kept.delete(lines.where("l_orderkey % 89 = 0"), lines.where("l_orderkey % 89 <> 0"))
+    return kept.state()
+
+
+def swap_count_large_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return violations.swap_pairs(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_discount", same=False)
+
+
+def empty_context_violators(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers that swap with changed ones on key and balance, in the class of all rows, by a search through blocks."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    base, delta = customer.where("c_custkey % 397 <> 0"), customer.where("c_custkey % 397 = 0")
+    return Blocks(base, [], "c_custkey", "c_acctbal", "c_custkey").swaps(delta, [], "c_custkey", "c_acctbal", "c_custkey")
+
+
+def order_halves(spark: SparkSession, sf: str) -> DataFrame:
+    parts = prepare.halves(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), F.col("o_orderkey"))
+    return parts[0].withColumn("half", F.lit(1)).unionByName(parts[1].withColumn("half", F.lit(2))).select("o_orderkey", "half")
+
+
+def attribute_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each attribute is set in the events of a type."""
+    attributes = F.array_compact(F.array(F.when(F.col("value") > 20, "value"), F.when(F.col("user_id") % 3 == 0, "user"), F.lit("props")))
+    return history.attribute_counts(_events(spark, sf).withColumn("attributes", attributes), "event_type", "attributes")
+
+
+def first_seen_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return history.dense_ids(_events(spark, sf), "event_type", "user_id", F.col("ts"), F.col("event_id")).select("event_id", F.col("id").cast("long").alias("id"))
+
+
+def rebuilt_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The states of users from single changes, a step a day: what is viewed and clicked, a small value taking it away."""
+    day, value = F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("value") >= 15, F.floor("value").cast("string"))
+    changes = _events(spark, sf).select("user_id", day.alias("day"), "event_type", value.alias("v"))
+    return history.rebuild(changes, "user_id", "day", "event_type", "v", ["view", "click"]).select("user_id", "day", F.col("event_type").alias("kind"), "view", "click")
+
+
+def allowed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The events whose group of users is among those that have a large value of the type."""
+    events = _events(spark, sf).withColumn("attribute", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    stats = events.where("value > 150").groupBy(F.col("event_type").alias("infobox_name")).agg(F.map_from_entries(F.collect_set(F.struct("attribute", F.lit(1)))).alias("attributes"))
+    return history.only_allowed(events, "event_type", "attribute", history.allowed_attributes(stats)).select("event_id")
+
+
+def first_runs(spark: SparkSession, sf: str) -> DataFrame:
+    log = _events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return report.first_run(log, ["event_type", "day"], "user_id").select("event_id")
+
+
+def last_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return report.last_row(_events(spark, sf).select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id")
+
+
+def run_status(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("user_id") % 10
+    status = report.status(F.col("value") > 60, k == 3, F.when(k > 1, F.col("value")))
+    return _events(spark, sf).groupBy("event_type", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "constant_od_verdicts": constant_od_verdicts, "constant_od_split_classes": split_classes, "constant_od_witness": constant_witnesses,
@@ -258,6 +344,9 @@ def queries() -> dict[str, Query]:
         "dead_witnesses": dead_witnesses, "delete_by_value": delete_by_value, "od_set_diff": od_set_diff, "superkey_check": superkey_check, "metric_rates": metric_rates,
         "metric_as_of": metric_as_of, "metric_mean_std": metric_mean_std, "relative_runtime": relative_runtime, "ratio_table": ratio_table, "windowed_event_counts": windowed_event_counts,
         "discover_minimal_cover": discover_minimal_cover, "maximal_non_ods": maximal_non_ods, "cover_after_changes": cover_after_changes,
+        "cover_after_updates": cover_after_updates, "class_lookup": class_lookup, "kept_extremes": kept_extremes, "swap_count_large_classes": swap_count_large_classes,
+        "empty_context_violators": empty_context_violators, "order_halves": order_halves, "attribute_counts": attribute_counts, "first_seen_ids": first_seen_ids,
+        "rebuilt_states": rebuilt_states, "allowed_changes": allowed_changes, "first_runs": first_runs, "last_rows": last_rows, "run_status": run_status,
     }
 
 
@@ -381,4 +470,28 @@ def oracle_sql() -> dict[str, str]:
         "maximal_non_ods": f"""SELECT od FROM (WITH v AS MATERIALIZED ({_lattice('nation', DISCOVERED['nation'])}) SELECT * FROM v WHERE NOT holds
           AND NOT EXISTS (SELECT 1 FROM v o WHERE NOT o.holds AND (o.a, o.b, o.same) = (v.a, v.b, v.same) AND o.ctx <> v.ctx AND o.ctx & v.ctx = v.ctx))""",
         "cover_after_changes": _cover("(SELECT * FROM orders WHERE o_orderkey % 89 <> 0)", CHANGED, "od"),
+        "cover_after_updates": _cover("""(SELECT o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN o_custkey % 10 ELSE o_custkey END AS o_custkey, o_orderdate, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+          FROM orders WHERE o_orderkey % 89 = 0 OR o_orderkey % 97 <> 0 OR o_orderkey % 2 = 0)""", CHANGED, "od"),
+        "class_lookup": f"SELECT {_TID.replace('l_', 'd.l_')} AS delta_id, count(*) AS n {_PAIRS} AND b.l_partkey = d.l_partkey AND b.l_suppkey = d.l_suppkey GROUP BY d.l_orderkey, d.l_partkey, d.l_suppkey, d.l_linenumber",
+        "kept_extremes": "SELECT l_suppkey, l_quantity, min(l_discount) AS lo, max(l_discount) AS hi, count(*) AS n FROM lineitem WHERE l_orderkey % 89 <> 0 GROUP BY 1, 2",
+        "swap_count_large_classes": """WITH c AS (SELECT l_returnflag, l_linestatus, l_quantity AS a, l_discount AS b, count(*) AS n FROM lineitem GROUP BY ALL)
+          SELECT x.l_returnflag, x.l_linestatus, sum(x.n * y.n)::BIGINT AS pairs FROM c x JOIN c y ON x.l_returnflag = y.l_returnflag AND x.l_linestatus = y.l_linestatus AND x.a < y.a AND x.b < y.b GROUP BY 1, 2""",
+        "empty_context_violators": """SELECT d.c_custkey AS delta_id, b.c_custkey AS base_id FROM customer b JOIN customer d ON d.c_custkey % 397 = 0 AND b.c_custkey % 397 <> 0
+          AND ((b.c_custkey < d.c_custkey AND b.c_acctbal > d.c_acctbal) OR (b.c_custkey > d.c_custkey AND b.c_acctbal < d.c_acctbal))""",
+        "order_halves": "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 < (SELECT count(*) // 2 FROM orders) THEN 1 ELSE 2 END AS half FROM orders",
+        "attribute_counts": """SELECT event_type, attribute, count(*) AS n FROM (SELECT event_type, 'value' AS attribute FROM events WHERE value > 20 UNION ALL SELECT event_type, 'user' FROM events WHERE user_id % 3 = 0
+          UNION ALL SELECT event_type, 'props' FROM events) GROUP BY 1, 2""",
+        "first_seen_ids": """WITH f AS (SELECT event_type, user_id, min({'t': ts, 'e': event_id}) AS f FROM events GROUP BY 1, 2), i AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY f) - 1 AS id FROM f)
+          SELECT event_id, id FROM events JOIN i USING (event_type, user_id)""",
+        "rebuilt_states": """WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type AS a, CASE WHEN value >= 15 THEN floor(value)::BIGINT::VARCHAR END AS v FROM events WHERE event_type IN ('view', 'click')),
+          s AS (SELECT user_id, day, count(*) FILTER (a = 'view') > 0 AS sv, min(v) FILTER (a = 'view') AS v, count(*) FILTER (a = 'click') > 0 AS sc, min(v) FILTER (a = 'click') AS c FROM c GROUP BY 1, 2),
+          t AS (SELECT user_id, day, v IS NOT NULL OR c IS NOT NULL AS adds, last_value(CASE WHEN sv THEN {'x': v} END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN sc THEN {'x': c} END IGNORE NULLS) OVER w AS c FROM s
+            WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+          m AS (SELECT *, CASE WHEN adds THEN 'add' ELSE 'none' END AS k FROM t WHERE adds OR coalesce(v.x, c.x) IS NULL),
+          p AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY day) AS before FROM m)
+          SELECT user_id, day, CASE WHEN NOT adds THEN 'delete' WHEN before = 'add' THEN 'update' ELSE 'insert' END AS kind, v.x AS view, c.x AS click FROM p WHERE adds OR before = 'add'""",
+        "allowed_changes": "SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM events a WHERE a.value > 150 AND a.event_type = e.event_type AND a.user_id % 40 = e.user_id % 40)",
+        "first_runs": "SELECT event_id FROM events QUALIFY user_id = min(user_id) OVER (PARTITION BY event_type, ts::DATE)",
+        "last_rows": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+        "run_status": """SELECT event_type, CASE WHEN user_id % 10 = 3 THEN 'oom' WHEN value > 60 THEN 'timeout' WHEN user_id % 10 <= 1 THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1, 2""",
     }
