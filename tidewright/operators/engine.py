@@ -103,6 +103,7 @@ class OdEngine:
         self.keys = all_keys(len(self.columns))
         self.tables, self.spent, self.batches = Tables(rows.sparkSession), None, 0
         self.judged: dict[OrderDependency, bool] = {}
+        self.counts = dict.fromkeys(("whole", "near", "spared", "broken", "rounds", "compactions"), 0)
         self.rows = self.tables.write(rows.select(tid, *self.columns))
         self.size = self._checked(self.rows)
         self.bounds = range_bounds(self.rows, self.columns) if self.size else {}
@@ -148,6 +149,9 @@ class OdEngine:
             if asked:
                 failed |= broken(self.rows, self.columns, asked, near, self.bounds)
             self.judged |= dict.fromkeys(first - known, True) | dict.fromkeys(asked, False)
+            for name, ods in (("whole", first - known), ("near", asked), ("spared", known - asked), ("broken", failed)):
+                self.counts[name] += len(ods)
+            self.counts["rounds"] += 1
             for od in first - failed:
                 valid[od.key].add(od.context)
             news = 0
@@ -168,18 +172,31 @@ class OdEngine:
         if self.batches % COMPACT:
             return rows
         self.spent, self.tables = self.tables, Tables(self.spark)
+        self.counts["compactions"] += 1
         return self.tables.write(rows)
 
     def insert(self, delta: DataFrame) -> None:
         """Adds rows (tid and columns); an id that the table has is an error."""
+        delta = self._new(delta)
+        if delta is not None:
+            self.rows = self._write(self.rows.unionByName(delta))
+            self.refine(delta)
+
+    def insert_judged(self, delta: DataFrame) -> None:
+        """Adds rows whose difference sets are known (see timeline)."""
+        delta = self._new(delta)
+        if delta is not None:
+            self.rows = self._write(self.rows.unionByName(delta))
+
+    def _new(self, delta: DataFrame) -> DataFrame | None:
+        """delta as a table of its own (none if it has no rows), or an error if an id of it is known."""
         delta = self.tables.write(delta.select(self.tid, *self.columns))
         if not self._checked(delta):
-            return
+            return None
         known = self.rows.join(small(delta.select(self.tid)), self.tid, "left_semi").select(self.tid).head()
         if known:
             raise ValueError(f"insert of a known record: {known[0]}")
-        self.rows = self._write(self.rows.unionByName(delta))
-        self.refine(delta)
+        return delta
 
     def delete(self, ids: DataFrame) -> None:
         """Removes the rows whose id is in ids (all of them known); pairs that lost a row are dropped, then candidates are judged anew."""
@@ -257,6 +274,20 @@ class OdEngine:
         """The maximal contexts in which a key does not hold."""
         return maximal_invalid({k: e.hitting.least for k, e in self.evidence.items()}, len(self.columns))
 
+    def statistics(self, operations: int, elapsed_ms: int, ods: Iterable[OrderDependency] | None = None, non_ods: Iterable[OrderDependency] | None = None, highest_id: int | None = None) -> dict:
+        """A row of statistics: the state (this one, or the one given; highest_id is -1 without rows), what was judged since the start, and what is kept."""
+        ods, non_ods = (set(self.ods() if ods is None else ods), set(self.non_ods() if non_ods is None else non_ods))
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        split = lambda found: (sum(od.key.constant for od in found), sum(not od.key.constant for od in found))
+        (constant, compatible), (no_constant, no_compatible) = split(ods), split(non_ods)
+        top = self.rows.agg(F.coalesce(F.max(self.tid), F.lit(-1))).first()[0] if highest_id is None else highest_id
+        return {
+            "highest_id": top, "operations": operations, "constant_ods": constant, "constant_non_ods": no_constant, "compatible_ods": compatible, "compatible_non_ods": no_compatible,
+            "elapsed_ms": elapsed_ms, "judged": self.counts["whole"] + self.counts["near"], "judged_whole": self.counts["whole"], "judged_near": self.counts["near"], "spared": self.counts["spared"],
+            "rounds": self.counts["rounds"], "compactions": self.counts["compactions"], "driver_max_bytes": int(runtime.maxMemory()), "driver_used_bytes": int(runtime.totalMemory() - runtime.freeMemory()),
+            "contexts": len({od.context for od in ods}), "proofs": sum(len(own) for e in self.evidence.values() for own in e.pairs.values()),
+        }
+
     def to_frame(self) -> DataFrame:
         return to_frame(self.spark, self.ods(), self.columns)
 
