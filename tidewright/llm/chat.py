@@ -42,6 +42,27 @@ def _blocks(turns: Column) -> Column:
     return F.when(last >= 0, cut(turns))
 
 
+def _chunked(x: Column) -> Column:
+    """An array in chunks of the root of its size."""
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int")
+    return F.when(F.size(x) > 0, let(step, lambda c: F.transform(F.sequence(F.lit(1), F.size(x), c), lambda s: F.slice(x, s, c)))).otherwise(F.array(x))
+
+
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """All text of formatted under a loss mask (spans of begin and length), unescaped, in order, nothing between.
+
+    A place inside a text is found by walking it, so spans are taken out of the piece of text that a chunk of them covers.
+    """
+    cut = lambda text, begin, length: F.substring(text, (begin + 1).cast("int"), length.cast("int"))
+
+    def texts(chunk: Column) -> Column:
+        first, last = F.get(chunk, F.lit(0)), F.get(chunk, F.size(chunk) - 1)
+        piece = cut(formatted, first["begin"], last["begin"] + last["length"] - first["begin"])
+        return let(piece, lambda p: F.array_join(F.transform(chunk, lambda s: unescape(cut(p, s["begin"] - first["begin"], s["length"]))), ""))
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_chunked(spans), texts), "")).otherwise(F.lit(""))
+
+
 def _spans(turns: Column) -> Column:
     """Begin and length of the loss texts in the formatted text of sorted turns (role, marked: the escaped role, text: the escaped text).
 
@@ -57,10 +78,6 @@ def _spans(turns: Column) -> Column:
 
         return F.transform(t, size)
 
-    def chunked(x: Column) -> Column:
-        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int")
-        return F.when(F.size(x) > 0, let(step, lambda c: F.transform(F.sequence(F.lit(1), F.size(x), c), lambda s: F.slice(x, s, c)))).otherwise(F.array(x))
-
     def placed(chunks: Column) -> Column:
         total = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda a, x: a + x["head"] + x["n"])
         start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
@@ -73,7 +90,7 @@ def _spans(turns: Column) -> Column:
 
         return let(begins, lambda b: F.flatten(F.transform(chunks, lambda chunk, k: spans(chunk, F.get(b, k)))))
 
-    return let(sizes(turns), lambda x: let(chunked(x), placed))
+    return let(sizes(turns), lambda x: let(_chunked(x), placed))
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -108,16 +125,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """The digest columns of format_chats, read back from its output in one pass."""
+    """The digest columns of format_chats, all read back from its output: turns from the text, the loss text from under the mask."""
 
     def digests(turns: Column) -> Column:
         said = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-        loss = F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == LOSS_ROLE), lambda x: x["text"]), "")
-        lost = let(loss, lambda x: F.struct(F.length(x).cast("long").alias("n"), F.sha2(x, 256).alias("sha")))
-        return F.struct(F.size(turns).cast("long").alias("n"), F.sha2(said, 256).alias("sha"), lost.alias("loss"))
+        return F.struct(F.size(turns).cast("long").alias("n"), F.sha2(said, 256).alias("sha"))
 
-    out = format_chats(chats).select("conv_id", let(read_back(F.col("formatted")), digests).alias("back"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
-    return out.select("conv_id", F.col("back.n").alias("n_turns"), F.col("back.sha").alias("turns_sha256"), F.col("back.loss.n").alias("loss_chars"), F.col("back.loss.sha").alias("loss_sha256"), "formatted_chars", "n_blocks")
+    loss = let(masked_text(F.col("formatted"), F.col("loss_spans")), lambda x: F.struct(F.length(x).cast("long").alias("n"), F.sha2(x, 256).alias("sha")))
+    out = format_chats(chats).select("conv_id", let(read_back(F.col("formatted")), digests).alias("back"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
+    return out.select("conv_id", F.col("back.n").alias("n_turns"), F.col("back.sha").alias("turns_sha256"), F.col("loss.n").alias("loss_chars"), F.col("loss.sha").alias("loss_sha256"), "formatted_chars", "n_blocks")
 
 
 #: The conversation that the query adds: texts made of other templates' control strings.
