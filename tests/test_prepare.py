@@ -35,3 +35,14 @@ def test_whole_tables(spark, tmp_path):
     assert prepare.load(spark, str(tmp_path / "bare.tsv"), "\t", False, "nulls_first", convert=True).count() == 3
     with pytest.raises(SystemExit):
         prepare.main([str(tmp_path / "bare.tsv")])
+
+
+def test_feeds_and_start_tables_of_other_tools(spark):
+    from pyspark.sql import functions as F
+
+    events = spark.createDataFrame([("insert", "a1", i, -i) for i in range(14)], "event_type string, articleid string, x int, y int")
+    feed = prepare.action_feed(events)
+    assert feed.columns == ["::action", "x", "y"] and feed.count() == 14 and prepare.action_feed(feed).columns == feed.columns
+    start, rest = prepare.start_and_rest(feed, F.col("y"))
+    assert sorted(r.x for r in start.collect()) == list(range(4, 14)) and sorted(r.x for r in rest.collect()) == list(range(4))
+    assert prepare.start_and_rest(feed.limit(3), F.col("x"))[1].count() == 0

@@ -6,11 +6,11 @@ import argparse
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import prepare as steps
-from tidewright.functions.cluster import Tables
+from tidewright.functions.cluster import Tables, with_position
 from tidewright.sources.sinks import write_text
 from tidewright.sources.tables import Config, CsvOptions, config_json, letters, read_raw
 
@@ -56,6 +56,24 @@ def batch_files(df: DataFrame, stem: str, sizes: Sequence[int], out: str, sep: s
     return Config(paths[0], tuple(paths[1:]), results[0], tuple(results[1:]), CsvOptions(sep, True))
 
 
+#: Fixed value: the column in which a feed for other tools names its operations.
+ACTION = "::action"
+#: Rows of a start table for tools that need one.
+START_ROWS = 10
+
+
+def action_feed(events: DataFrame, operation: str = "event_type", record: str = "articleid") -> DataFrame:
+    """A history without updates as a feed of inserts and deletes by value: the operation under its own name, no record ids."""
+    out = events.withColumnRenamed(operation, ACTION) if operation in events.columns else events
+    return out.drop(record)
+
+
+def start_and_rest(df: DataFrame, *order: Column, rows: int = START_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The first rows of df as a start table, and the rest as its increment."""
+    placed = with_position(df, order)
+    return placed.where(F.col("_pos") < rows).drop("_pos"), placed.where(F.col("_pos") >= rows).drop("_pos")
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("file")
