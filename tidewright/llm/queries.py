@@ -35,4 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat.oracle_sql(),
         "op2_sharding": sharding.oracle_sql(),
         "op4_license_scan": licences.oracle_sql(),
+        "op11_periodic_runs": runs.oracle_sql(),
+        "op12_repeated_passages": repeats.oracle_sql(),
+        "op13_structure_repair": repair.oracle_sql(),
     }

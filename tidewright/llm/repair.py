@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import Tables, bounded
+from tidewright.llm.common import Tables, bounded, crc32_sql
 
 #: Costs of the edits; a truncated row that is not deleted adds one.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -231,3 +231,35 @@ def repair_digests(conversations: DataFrame) -> DataFrame:
     """
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     return judged(damaged(conversations)).select("conv_id", *counts, "audit", _digest("rows", "audit").alias("repaired_sha256"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of repair_digests: the program over states as a recursive query, a row for each conversation and state."""
+    moves = ", ".join(f"({s}, '{'I' * n}', {to})" for s in range(4) for n, to in enumerate((s, _NEXT[s], _NEXT[_NEXT[s]])))
+    following = "CASE m.mid WHEN 2 THEN 3 ELSE 2 END"
+    own, extra = "CASE left(f.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 END", f"CASE WHEN f.fault = 'truncated' THEN {TRUNCATED} ELSE 0 END"
+    space = r"\x20\x09-\x0D"
+    return f"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS t FROM conversations),
+    kinds AS MATERIALIZED (SELECT *, {crc32_sql('t')} % 20 AS k FROM src),
+    rows AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE r END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text
+      FROM (SELECT *, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds)),
+    f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 'truncated' ELSE '' END AS fault FROM
+      (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM
+        (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)))),
+    facts AS (SELECT c.conv_id, count(f.i) AS n, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON c.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY 1),
+    moves(s, ins, mid) AS (VALUES {moves}),
+    walk AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0 AS cost, '' AS audit FROM facts UNION ALL
+      SELECT conv_id, i, s, cost, audit FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) AS place FROM (
+        SELECT w.conv_id, f.i, e.s, w.cost + {INSERT} * length(m.ins) + e.cost AS cost, w.audit || m.ins || e.letter AS audit
+        FROM walk w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1 JOIN moves m ON m.s = w.s,
+          LATERAL (SELECT 'D' AS letter, m.mid AS s, {DELETE} AS cost UNION ALL SELECT 'R', {following}, {REROLE} + {extra} WHERE f.fault NOT IN ('blank', 'duplicate')
+            UNION ALL SELECT 'K', {own}, {KEEP} + {extra} WHERE f.fault NOT IN ('blank', 'duplicate') AND ({own} = {following} OR ({own} = 1 AND m.mid = 0))) e)) WHERE place = 1),
+    best AS MATERIALIZED (SELECT facts.*, b.cost::BIGINT AS cost, b.audit FROM facts JOIN (SELECT w.conv_id, w.i, w.cost + {INSERT} * length(m.ins) AS cost, w.audit || m.ins AS audit FROM walk w JOIN moves m ON m.s = w.s AND m.mid IN (0, 3)) b
+      ON facts.conv_id IS NOT DISTINCT FROM b.conv_id AND facts.n = b.i QUALIFY row_number() OVER (PARTITION BY facts.conv_id ORDER BY b.cost, b.audit) = 1),
+    letters AS (SELECT conv_id, letter, pos, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS e FROM
+      (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS pos FROM best WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+    given AS (SELECT l.*, f.role, f.text, max(CASE WHEN letter = 'K' AND e = 1 AND left(f.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS leads FROM letters l LEFT JOIN f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i),
+    texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - leads) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS t FROM given WHERE letter <> 'D' GROUP BY 1)
+    SELECT b.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(t, '')) AS repaired_sha256 FROM best b LEFT JOIN texts x ON b.conv_id IS NOT DISTINCT FROM x.conv_id"""

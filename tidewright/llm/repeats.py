@@ -352,3 +352,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """The digest columns of remove_repeats."""
     return remove_repeats(docs).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of repeat_digests: all windows by their digest, their islands, and the text between, two hexadecimal digits a byte."""
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    windows AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * WINDOW})) AS m FROM (SELECT r, h, unnest(range(0, greatest(n - {WINDOW - 1}, 0))) AS i FROM d)),
+    repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM windows) WHERE c > 1),
+    islands AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS new FROM repeated)),
+    spans AS (SELECT r, min(i) AS a, max(i) + {WINDOW} AS z FROM islands GROUP BY r, k),
+    gaps AS (SELECT r, z AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 1::BIGINT << 40) AS z FROM (SELECT r, a, z FROM spans UNION ALL SELECT r, -1, 0 FROM d)),
+    kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (least(z, n) - a)), '' ORDER BY a) AS k FROM gaps JOIN d USING (r) WHERE a < n GROUP BY r)
+    SELECT doc_id, n AS n_bytes, n - strlen(coalesce(k, '')) // 2 AS n_removed, (SELECT count(*) FROM spans s WHERE s.r = d.r) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Tables
+from tidewright.llm.common import Tables, crc32_sql
 
 #: A run has this many words and this many times its period at least.
 MIN_LENGTH, MIN_EXPONENT = 6, 4
@@ -181,3 +181,20 @@ def find_runs(docs: DataFrame) -> DataFrame:
     names = _NAMES[:8]
     out = scanned.where("part is null").select(*names).unionByName(split.select("doc_id", "words", "runs").mapInPandas(_describe, f"doc_id string, {RESULT}"))
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of find_runs: pairs of equal words by their distance, their islands, and the least period of each."""
+    return f"""WITH split AS (SELECT row_number() OVER () AS r, doc_id, doc_id::VARCHAR AS id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    drawn AS (SELECT *, len(w) AS n, CASE WHEN id IS NOT NULL THEN {crc32_sql('id')} END AS h FROM split),
+    placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS parts FROM drawn),
+    d AS MATERIALIZED (SELECT r, doc_id, n, list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) AS w FROM placed),
+    words AS MATERIALIZED (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS w FROM d),
+    same AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // {MIN_EXPONENT}),
+    islands AS (SELECT r, q, min(i) AS s, count(*) AS n FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k),
+    runs AS MATERIALIZED (SELECT r, s AS start, n + q AS length, min(q) AS period FROM islands WHERE n + q >= greatest({MIN_LENGTH}, {MIN_EXPONENT} * q) GROUP BY 1, 2, 3),
+    listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY r),
+    longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+    kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM words x WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = x.r AND x.i >= u.start + u.period AND x.i < u.start + u.length) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN listed l USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept k USING (r)"""
