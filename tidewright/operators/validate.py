@@ -249,45 +249,73 @@ def witnesses(df: DataFrame, columns: Sequence[str], ods: Iterable[OrderDependen
     return [x for part in at_once([partial(collect, order[at : at + GROUPS]) for at in range(0, len(order), GROUPS)]) for x in part]
 
 
-#: Rows that neighbours are looked for in, and difference sets of a key that a batch of them gives.
-SEED_ROWS, SEED_SETS = 40_000, 64
+#: Rows that neighbours are looked for in, those that are sorted at once, and difference sets of a key that these give.
+SEED_ROWS, SEED_BATCH, SEED_SETS = 160_000, 40_000, 128
+
+
+def _vectors(codes: np.ndarray, order: np.ndarray, lag: int) -> np.ndarray:
+    """A row for each kind of pair `lag` places apart in an order: where the two differ, where the first is less (masks), and the rows."""
+    x, y = order[:-lag], order[lag:]
+    differ, less = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for c in range(codes.shape[1]):
+        one, two = codes[x, c], codes[y, c]
+        differ |= (one != two).astype(np.int64) << c
+        less |= (one < two).astype(np.int64) << c
+    by = np.lexsort([less, differ])
+    new = np.append(True, (np.diff(differ[by]) != 0) | (np.diff(less[by]) != 0)) if len(by) else np.zeros(0, bool)
+    return np.stack([differ, less, x, y])[:, by[new]]
+
+
+def _sets_of(codes: np.ndarray, keys: Sequence[Key]) -> Iterator[tuple[int, int, int, int]]:
+    """(key, mask, row, row): the least difference sets of rows that stand beside each other in an order by one column or two."""
+    n = codes.shape[1]
+    found = []
+    for c in range(n):
+        for d in range(c, n):
+            rest = [(d + k) % n for k in range(n, 0, -1)]
+            order = np.lexsort([codes[:, k] for k in (*rest, d, c)])
+            found += [_vectors(codes, order, lag) for lag in ((1, 2, 5) if c == d else (1,)) if lag < len(codes)]
+    if not found:
+        return
+    differ, less, x, y = np.concatenate(found, axis=1)
+    for k, key in enumerate(keys):
+        wrong = differ >> key.left & 1 == 1
+        if not key.constant:
+            wrong &= (differ >> key.right & 1 == 1) & ((less >> key.left & 1 == less >> key.right & 1) != key.same)
+        masks, at = np.unique(differ[wrong] & ~key.mask, return_index=True)
+        least = sorted(zip(masks.tolist(), np.flatnonzero(wrong)[at].tolist()), key=lambda m: m[0].bit_count())[: 8 * SEED_SETS]
+        kept = minimal(m for m, _ in least)
+        for m, i in [p for p in least if p[0] in kept][:SEED_SETS]:
+            yield k, m, int(x[i]), int(y[i])
 
 
 def neighbours(df: DataFrame, columns: Sequence[str], keys: Sequence[Key], tid: str, rows: int) -> list[tuple[Key, int, list[Pair]]]:
-    """Difference sets of rows that stand beside each other when a batch of rows is sorted by one column.
+    """Difference sets of rows that stand beside each other when a batch of rows is sorted by a column or two.
 
     They only spare rounds of judgement: every pair is a proof by itself, and what they miss is found where candidates are judged. So
     about SEED_ROWS rows, drawn by a hash of their ids, are enough of a table of `rows`.
     """
-    n = len(columns)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def sets() -> pd.DataFrame:
+            frame = pd.concat(held)
+            held.clear()
+            ids = frame[tid].to_numpy()
+            codes = np.stack([np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in columns], axis=1)
+            return pd.DataFrame([(k, m, int(ids[x]), int(ids[y])) for k, m, x, y in _sets_of(codes, keys)], columns=["key", "mask", "t1", "t2"])
+
         for frame in frames:
-            ids, out = frame[tid].to_numpy(), []
-            codes = np.stack([np.unique(frame[c].to_numpy(), return_inverse=True)[1] for c in columns], axis=1) if len(frame) else np.zeros((0, n), int)
-            one, two = [], []
-            for c in range(n):
-                order = np.lexsort([codes[:, (c + k) % n] for k in range(n - 1, -1, -1)])
-                for lag in (1, 2, 5):
-                    one.append(order[:-lag])
-                    two.append(order[lag:])
-            x, y = np.concatenate(one), np.concatenate(two)
-            weights = np.left_shift(np.int64(1), np.arange(n, dtype=np.int64))
-            differ, less = (codes[x] != codes[y]) @ weights, (codes[x] < codes[y]) @ weights
-            _, first = np.unique(np.stack([differ, less]), axis=1, return_index=True)
-            x, y, differ, less = x[first], y[first], differ[first], less[first]
-            for k, key in enumerate(keys):
-                wrong = differ >> key.left & 1 == 1
-                if not key.constant:
-                    wrong &= (differ >> key.right & 1 == 1) & ((less >> key.left & 1 != less >> key.right & 1) == key.same)
-                masks, at = np.unique(differ[wrong] & ~key.mask, return_index=True)
-                least = sorted(zip(masks.tolist(), np.flatnonzero(wrong)[at].tolist()), key=lambda m: m[0].bit_count())[: 4 * SEED_SETS]
-                kept = minimal(m for m, _ in least)
-                out += [(k, m, int(ids[x[i]]), int(ids[y[i]])) for m, i in [p for p in least if p[0] in kept][:SEED_SETS]]
-            yield pd.DataFrame(out, columns=["key", "mask", "t1", "t2"])
+            if len(frame):
+                held.append(frame)
+            if sum(map(len, held)) >= SEED_BATCH:
+                yield sets()
+        if held:
+            yield sets()
 
     drawn = df.where(F.pmod(F.xxhash64(F.lit("neighbours"), tid), F.lit(1 + rows // SEED_ROWS)) == 0).select(F.col(tid).cast("long").alias(tid), *columns)
-    found = _proofs(drawn.mapInPandas(find, "key int, mask long, t1 long, t2 long"), "key", "mask")
+    found = _proofs(drawn.coalesce(max(1, min(rows, SEED_ROWS) // SEED_BATCH)).mapInPandas(find, "key int, mask long, t1 long, t2 long"), "key", "mask")
     return [(keys[r.key], r["mask"], [(p.t1, p.t2) for p in r.pairs]) for r in found.collect()]
 
 
