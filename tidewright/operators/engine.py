@@ -34,6 +34,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CHANGES + 1).count() <= BROADCAST_CHANGES else df
 
 
+#: So many ids are written into a filter, which reaches the files' statistics; more are joined.
+FILTERED_IDS = 1_000
+
+
+def of_ids(df: DataFrame, tid: str, ids: Sequence[int]) -> DataFrame:
+    """The rows of df with ids that the driver holds: those of proofs."""
+    if len(ids) <= FILTERED_IDS:
+        return df.where(F.col(tid).isin(list(ids)))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in ids], f"`{tid}` long")), tid, "left_semi")
+
+
 #: Changes are appended as tables of their own; behind so many the table is written anew.
 COMPACT = 16
 #: Pairs of rows that are kept for each difference set.
@@ -231,7 +242,7 @@ class OdEngine:
         ids = sorted({t for p in pairs for t in p})
         if not ids:
             return
-        now = {r[0]: tuple(r)[1:] for r in self.rows.where(F.col(self.tid).isin(ids)).select(self.tid, *self.columns).collect()}
+        now = {r[0]: tuple(r)[1:] for r in of_ids(self.rows, self.tid, ids).select(self.tid, *self.columns).collect()}
         for pair, keys in pairs.items():
             x, y = now[pair[0]], now[pair[1]]
             mask = sum(1 << i for i, (a, b) in enumerate(zip(x, y)) if a != b)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.cluster import Tables, at_once, with_position
 from tidewright.model import Key, OrderDependency
-from tidewright.operators.engine import OdEngine
+from tidewright.operators.engine import OdEngine, of_ids
 from tidewright.operators.validate import Pair, broken, touched, witnesses
 from tidewright.plans.lattice import HittingSets, cover, maximal_invalid
 
@@ -101,7 +101,7 @@ def insert_stepwise(engine: OdEngine, delta: DataFrame, order: Column, samples:
             groups.setdefault(s, set()).add(od)
         found = at_once([partial(judge, s, ods) for s, ods in sorted(groups.items())])
         ids = sorted({t for _, rows in found for _, _, pairs in rows for p in pairs for t in p})
-        at = {r[0]: r[1] for r in placed.where(F.col(tid).isin(ids)).select(tid, "_at").collect()}
+        at = {r[0]: r[1] for r in of_ids(placed, tid, ids).select(tid, "_at").collect()}
         behind = lambda pair: next(s for s, n in enumerate(sizes) if n > max(at.get(t, -1) for t in pair))
         news = False
         for (s, ods), (bad, rows) in zip(sorted(groups.items()), found):
