@@ -201,7 +201,7 @@ def test_pages(spark):
     model = html.fit(html.labelled_pages(spark))
     right = total = 0
     for seed in range(9_000_000, 9_000_120):
-        page = html.parse(html.labelled_page(seed))
+        page = html.parse(html.labelled_page(seed), labelled=True)
         own = []
         for i in range(len(page.tag)):
             own.append(page.label[i] if page.label[i] is not None else (own[page.parent[i]] if i else 0))
