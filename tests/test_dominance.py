@@ -115,3 +115,14 @@ def test_one_run_of_all_rows_is_dealt_out(spark, many_ranges):
     last = lambda run, at: next((v for s, v in reversed(own.get(run, [])) if s <= at), None)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(((run, at, last(run, at)) for run, at in points), key=str)
     assert ranged(log.where("run = 'one'"), [F.col("run"), F.col("step")]).select("_range").distinct().count() > 1
+
+
+def test_a_search_is_dealt_out_by_blocks_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(dominance, "LEAF_BITS", 2)
+    monkeypatch.setattr(dominance, "FANOUT_BITS", 2)
+    base, df = rows_of(spark, 10, 400, 1000)
+    delta, changed = rows_of(spark, 11, 5, 1000)
+    found = dominance.Blocks(df, [], "a", "b", "tid").swaps(changed.coalesce(1), [], "a", "b", "tid")
+    shares = found.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert shares.sum() == sum(wrong(s, d, True) for d in delta for s in base)
+    assert len(shares) > 1 and shares.max() < shares.sum() * 0.6  # not all where the change was read

@@ -3,7 +3,8 @@
 Rows are put in order by class and A and cut into blocks; FANOUT blocks make one of the next level, up to one for a class. Each block
 knows the extremes of A and B of its rows. A search carries rows down: a block is entered only if its extremes allow a partner, and
 apart from the one block of a level that A's value lies in, an entered block holds a partner. So the work follows the result,
-in a hot class and in the empty context too, and every step is a join on (class, block) that Spark can split.
+in a hot class and in the empty context too. The lowest blocks carry their rows; what enters the blocks above them is dealt out by
+(class, block) into tasks of about TASK_PAIRS pairs, so the pairs are made where the table's rows are, not where the change was read.
 
 Swapped pairs are counted by digits of A's rank: two rows are told apart by the highest digit in which they differ, so each
 level counts, inside blocks that agree in the digits above, rows of lesser digits against rows of greater ones by running sums over B.
@@ -21,6 +22,8 @@ from tidewright.functions.cluster import Tables, with_position
 
 #: Rows of a block of the lowest level, and blocks of a block, as powers of two.
 LEAF_BITS, FANOUT_BITS = 8, 6
+#: Pairs that a task of a search looks at, if blocks allow it: a block above the lowest is one task at least.
+TASK_PAIRS = 50_000_000
 #: Bits of a digit, and of the ranges of B's rank that running sums are cut into.
 DIGIT_BITS, RANGE_BITS = 4, 12
 
@@ -43,10 +46,10 @@ class Blocks:
         self.classes, self.tables = [f"x{i}" for i in range(len(context))], Tables(base.sparkSession)
         rows = base.select(*[F.col(c).alias(x) for c, x in zip(context, self.classes)], F.col(a).alias("a"), F.col(b).alias("b"), F.col(tid).alias("id"))
         placed = with_position(rows, [F.col(c) for c in (*self.classes, "a")], "_place")
-        self.rows = self.tables.write(placed.withColumn("block", F.shiftright("_place", LEAF_BITS)).drop("_place"))
         extremes = [f(F.col(c)).alias(f"{p}_{c}") for c in ("a", "b") for p, f in (("lo", F.min), ("hi", F.max))]
-        level = self.tables.write(self.rows.groupBy(*self.classes, "block").agg(*extremes))
-        self.levels = [level]  # the lowest first
+        blocks = placed.groupBy(*self.classes, F.shiftright("_place", LEAF_BITS).alias("block"))
+        level = self.tables.write(blocks.agg(*extremes, F.collect_list(F.struct("a", "b", "id")).alias("rows")))
+        self.levels = [level]  # the lowest first, with its rows
         while (level.agg(F.max("block")).first()[0] or 0) > 0:
             merged = [f(F.col(f"{p}_{c}")).alias(f"{p}_{c}") for c in ("a", "b") for p, f in (("lo", F.min), ("hi", F.max))]
             level = self.tables.write(level.withColumn("block", F.shiftright("block", FANOUT_BITS)).groupBy(*self.classes, "block").agg(*merged))
@@ -58,14 +61,23 @@ class Blocks:
         may(lo_a, hi_a, lo_b, hi_b): whether a block with these extremes can hold a partner of (d_a, d_b).
         """
         own = [*self.classes, "d_a", "d_b", "delta_id"]
-        front = None
-        for level in reversed(self.levels):
+        front, lowest = None, self.levels[0].withColumn("above", F.shiftright("block", FANOUT_BITS))
+        enters = may(*(F.col(f"l.{x}") for x in ("lo_a", "hi_a", "lo_b", "hi_b")))
+        for level in reversed(self.levels[1:]):
             blocks = level if front is None else level.withColumn("above", F.shiftright("block", FANOUT_BITS))
             one, on = (wanted, F.lit(True)) if front is None else (front, F.col("f.block") == F.col("l.above"))
-            joined = one.alias("f").join(blocks.alias("l"), _match(self.classes, "f", "l") & on & may(*(F.col(f"l.{x}") for x in ("lo_a", "hi_a", "lo_b", "hi_b"))))
+            joined = one.alias("f").join(blocks.alias("l"), _match(self.classes, "f", "l") & on & enters)
             front = joined.select(*[F.col(f"f.{c}") for c in own], F.col("l.block"))
-        hit = front.alias("f").join(self.rows.alias("l"), _match(self.classes, "f", "l") & (F.col("f.block") == F.col("l.block")) & found(F.col("l.a"), F.col("l.b")))
-        return hit.select("f.delta_id", F.col("l.id").alias("base_id"))
+        if front is None:
+            met = wanted.alias("f").join(lowest.alias("l"), _match(self.classes, "f", "l") & enters)
+        else:
+            front = self.tables.write(front)
+            # a partition for each share of the pairs; both sides keep it, however few bytes they are
+            tasks = max(self.tables.spark.sparkContext.defaultParallelism, -(-(front.count() << LEAF_BITS + FANOUT_BITS) // TASK_PAIRS))
+            front, lowest = front.repartition(tasks, *self.classes, "block"), lowest.repartition(tasks, *self.classes, "above")
+            met = front.alias("f").join(lowest.alias("l").hint("merge"), _match(self.classes, "f", "l") & (F.col("f.block") == F.col("l.above")) & enters)
+        rows = met.select("f.d_a", "f.d_b", "f.delta_id", F.explode("l.rows").alias("row"))
+        return rows.where(found(F.col("row.a"), F.col("row.b"))).select("delta_id", F.col("row.id").alias("base_id"))
 
     def _wanted(self, delta: DataFrame, context: Sequence[str], a: str, b: str, tid: str) -> DataFrame:
         return delta.select(*[F.col(c).alias(x) for c, x in zip(context, self.classes)], F.col(a).alias("d_a"), F.col(b).alias("d_b"), F.col(tid).alias("delta_id"))
