@@ -3,8 +3,9 @@ import random
 import pytest
 
 from tests import brute
-from tidewright.model import parse, to_text
+from tidewright.model import all_keys, parse, to_text
 from tidewright.operators import engine as engine_module
+from tidewright.operators import validate as validate_module
 from tidewright.operators.compare import compare, validate
 from tidewright.operators.engine import OdEngine, discover
 
@@ -144,3 +145,35 @@ def test_wrong_ids_are_refused(spark):
     with pytest.raises(ValueError, match="unknown record: 77"):
         engine.delete(spark.createDataFrame([(1,), (77,)], "_tid long"))
     assert engine.ods() == brute.cover(BASE, 3)
+
+
+def pairs_of_rows(spark, n):
+    """Two rows a value of A, which differ in C or not: hardly two of them are drawn together by their ids."""
+    r = random.Random(4)
+    rows = [(i // 2, r.randrange(5), r.randrange(5)) for i in range(n)]
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(r.sample(rows, n))], "_tid long, A int, B int, C int").repartition(3)
+
+
+@pytest.mark.parametrize("hot", [0, 3000])
+def test_seeds_have_rows_of_small_classes(spark, monkeypatch, hot):
+    monkeypatch.setattr(validate_module, "SEED_ROWS", 100)
+    monkeypatch.setattr(validate_module, "SEED_BATCH", 50)
+    monkeypatch.setattr(validate_module, "SEED_CLASS", 4, raising=False)
+    df = pairs_of_rows(spark, 20_000).selectExpr("_tid", f"CASE WHEN _tid < {hot} THEN -1 ELSE A END AS A", "B", "C")
+    rows = {r[0]: tuple(r)[1:] for r in df.collect()}
+    found = validate_module.neighbours(df, NAMES[:3], all_keys(3), "_tid", len(rows))
+    for key, mask, pairs in found:
+        for one, two in pairs:  # every pair is a proof
+            differ = sum(1 << i for i, (x, y) in enumerate(zip(rows[one], rows[two])) if x != y)
+            assert differ & key.mask == key.mask and differ & ~key.mask == mask
+    assert any(key.constant and key.left == 2 and not mask & 1 for key, mask, _ in found)  # agrees in A, differs in C
+
+
+def test_a_large_start_is_judged_once(spark, monkeypatch):
+    monkeypatch.setattr(validate_module, "SEED_ROWS", 400)
+    monkeypatch.setattr(validate_module, "SEED_BATCH", 200)
+    df = pairs_of_rows(spark, 20_000)
+    engine = OdEngine(df.where("_tid % 97 <> 0").selectExpr("_tid", "_tid AS A", "A AS B", "B AS C", "C AS D"), NAMES)
+    assert engine.counts["broken"] == 0  # no candidate of the seeds had to be refuted on the whole table
+    engine.insert(df.where("_tid % 97 = 0").selectExpr("_tid", "_tid AS A", "A AS B", "B AS C", "C AS D"))
+    assert {to_text(od, NAMES) for od in engine.ods()} == {f"{{A}}: [] ↦ {c}" for c in "BCD"}
