@@ -361,15 +361,15 @@ class Attention:
         inner[real] = back
 
         def spread(ids: np.ndarray, grown: np.ndarray) -> np.ndarray:
-            width = grown.shape[-1]
-            return np.bincount((ids.reshape(-1, 1) * width + np.arange(width)).ravel(), grown.ravel().astype(np.float64), SYMBOLS * width).reshape(SYMBOLS, width)
+            # a column at a time, which takes no place for each number
+            return np.stack([np.bincount(ids.ravel(), c, SYMBOLS) for c in grown.reshape(ids.size, -1).T], axis=1)
 
         out["own"][:] = spread(own, inner)
         inner, pair = inner.reshape(hidden.shape), pair.ravel()
         for h, (p, v, mean) in enumerate(heads):
             d = inner[:, :, h * PART : (h + 1) * PART]
             s = d @ v.transpose(0, 2, 1)
-            s -= (d * mean).sum(-1, keepdims=True)
+            s -= np.einsum("bik,bik->bi", d, mean)[:, :, None]
             s *= p
             out["value"][h] = spread(x, p.transpose(0, 2, 1) @ d)
             met = np.bincount(pair, s.ravel().astype(np.float64), SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS).astype(flat.dtype)
