@@ -177,3 +177,15 @@ def test_a_large_start_is_judged_once(spark, monkeypatch):
     assert engine.counts["broken"] == 0  # no candidate of the seeds had to be refuted on the whole table
     engine.insert(df.where("_tid % 97 = 0").selectExpr("_tid", "_tid AS A", "A AS B", "B AS C", "C AS D"))
     assert {to_text(od, NAMES) for od in engine.ods()} == {f"{{A}}: [] ↦ {c}" for c in "BCD"}
+
+
+def test_changes_of_a_large_table_are_judged_once(spark, monkeypatch):
+    """An insert and a delete, as cover_after_changes makes them: nothing is refuted on the whole table."""
+    monkeypatch.setattr(validate_module, "SEED_ROWS", 400)
+    monkeypatch.setattr(validate_module, "SEED_BATCH", 200)
+    df = pairs_of_rows(spark, 20_000).selectExpr("_tid", "_tid AS A", "A AS B", "B AS C", "C AS D")
+    engine = OdEngine(df.where("_tid % 97 <> 0"), NAMES)
+    engine.insert(df.where("_tid % 97 = 0"))
+    engine.delete(df.where("_tid % 89 = 0").select("_tid"))
+    assert engine.counts["broken"] == 0
+    assert {to_text(od, NAMES) for od in engine.ods()} == {f"{{A}}: [] ↦ {c}" for c in "BCD"}
