@@ -1,7 +1,10 @@
 """The language model against definitions: counts, one token after another, gradients by differences."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -148,3 +151,32 @@ def test_probabilities_sum_to_one():
     logs = model.score(x, goal)[0].reshape(goal.shape)[:, 0]
     assert np.exp(logs).sum() == pytest.approx(1.0, rel=1e-4)
     assert np.bincount(classes.of, np.exp(classes.within)).sum() == pytest.approx(len(set(classes.of.tolist())), rel=1e-6)
+
+
+def test_sums_by_class():
+    r = np.random.default_rng(3)
+    ids, rows = r.integers(0, 40, (6, 5)).astype(np.uint8), r.standard_normal((30, 3))
+    wanted = np.zeros((lm.SYMBOLS, 3))
+    np.add.at(wanted, ids.ravel(), rows)
+    assert np.allclose(lm._summed(ids, rows), wanted)
+    assert not lm._summed(ids[:0], rows[:0]).any()
+
+
+@pytest.mark.skipif(not hasattr(os, "confstr") or not (os.confstr("CS_GNU_LIBC_VERSION") or "").startswith("glibc"), reason="memory is kept by glibc")
+def test_a_step_of_training_takes_no_new_pages():
+    code = """
+import resource
+import numpy as np
+from tidewright.llm import lm
+lm.keep_freed()
+r = np.random.default_rng(1)
+x, goal = r.integers(0, lm.CLASSES, (lm.BATCH, lm.WINDOW)).astype(np.uint8), r.integers(0, lm.CLASSES, (lm.BATCH, lm.STEP)).astype(np.uint8)
+own = lm.Attention.initial(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES)))
+moments = own.train(x, goal, 0.01)
+moments = own.train(x, goal, 0.01, moments)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+own.train(x, goal, 0.01, moments)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(lm.__file__) + "/../..")
+    assert int(found.stdout) < 500  # thousands where each step's arrays are given back to the system

@@ -51,7 +51,7 @@ WINDOW, STEP, HEADS, KEY, WIDTH = 32, 16, 2, 8, 32
 PART = WIDTH // HEADS  # of the hidden row, a head's values
 #: Training: rounds of averaging, words of a fold on average, documents whose windows are mixed, and windows in a step.
 ROUNDS, FOLD_WORDS, MIXED, BATCH = 4, 400_000, 1024, 512
-CHUNK, PHASE = 32, 512  # windows attended at once, and scored at once
+PHASE = 512  # windows scored at once
 MIX = math.log(0.5)  # of a word's share of the corpus, and of the attention's probability
 #: Words counted so often that at most so many are, are looked up in a broadcast table; the rest are joined.
 FREQUENT = 300_000
@@ -64,6 +64,12 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % PARTS == HELD_OUT
 
 
+def keep_freed() -> None:
+    """Lets the process keep what its arrays free: glibc holds on to blocks as large as the largest one freed so far, up to 32 MB.
+    Otherwise the arrays of each step are returned to the system and come back as pages that it clears, a few thousand a step."""
+    np.empty((1 << 25) - (1 << 16), np.uint8)
+
+
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -246,6 +252,17 @@ def _by_group(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return real, of, within, np.searchsorted(of, np.arange(GROUPS + 1))
 
 
+def _summed(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each class (ids, a byte each), which are put beside each other first."""
+    ids = ids.ravel()
+    counts = np.bincount(ids, minlength=SYMBOLS)
+    met = np.flatnonzero(counts)
+    out = np.zeros((SYMBOLS, rows.shape[1]), rows.dtype)
+    if len(met):
+        out[met] = np.add.reduceat(np.take(rows, np.argsort(ids, kind="stable"), axis=0), (np.cumsum(counts) - counts)[met], axis=0)
+    return out
+
+
 class Attention:
     """One layer of causal self-attention over classes; flat: its weights in one row, w: by name.
 
@@ -277,31 +294,42 @@ class Attention:
         return one, np.where(_BEHIND >= 0, np.exp(np.minimum(self.w["place"], _MOST))[:, np.maximum(_BEHIND, 0)], 0.0).astype(one.dtype)
 
     @cached_property
-    def scoring(self) -> tuple:
-        """What scoring reads: the tables of attention, values with a one behind, which gives the sums of attention."""
-        one, place = self.tables()
-        ones = np.ones((SYMBOLS, 1), one.dtype)
-        return [t.ravel() for t in one], place, [np.hstack([v, ones]) for v in self.w["value"]]
-
-    def _hidden(self, x: np.ndarray) -> np.ndarray:
-        """Hidden rows of the last STEP places of windows x, with a one behind."""
-        one, place, value = self.scoring
-        x = x.astype(np.intp)
+    def scoring(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tables of attention, kept for scoring: its weights do not change."""
+        return self.tables()
+
+    def _attend(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple:
+        """Of windows x: their last STEP places, the entries of the table that these meet, by head the attention there, its
+        sums and the values, and the means of values, head beside head."""
+        one, place = tables
         own = x[:, WINDOW - STEP :]
-        hidden = np.ones((*own.shape, WIDTH + 1), place.dtype)
-        hidden[:, :, :WIDTH] = np.take(self.w["own"], own, axis=0)
         pair = own[:, :, None] * SYMBOLS + x[:, None, :]
+        mean, sums = np.empty((*own.shape, WIDTH), one.dtype), np.empty((*own.shape, HEADS, 1), one.dtype)
+        ones, met, values = np.ones((WINDOW, 1), one.dtype), [], []
         for h in range(HEADS):
-            p = np.take(one[h], pair, mode="clip")  # numpy's fast path: no index is out of bounds
+            p, v = np.take(one[h].ravel(), pair, mode="clip"), np.take(self.w["value"][h], x, axis=0)  # clip is numpy's fast path: no index is out of bounds
             p *= place[h]
-            mean = p @ np.take(value[h], x, axis=0)
-            hidden[:, :, h * PART : (h + 1) * PART] += mean[:, :, :PART] / (mean[:, :, PART:] + p.dtype.type(1e-20))
-        _squash(hidden[:, :, :WIDTH])
-        return hidden.reshape(-1, WIDTH + 1)
+            np.matmul(p, v, out=mean[:, :, h * PART : (h + 1) * PART])
+            np.matmul(p, ones, out=sums[:, :, h])
+            met.append(p)
+            values.append(v)
+        sums += sums.dtype.type(1e-20)
+        by_head = mean.reshape(*own.shape, HEADS, PART)
+        by_head /= sums
+        return own, pair, met, sums, values, mean
+
+    def _hidden(self, x: np.ndarray) -> np.ndarray:
+        """Hidden rows of the last STEP places of windows x, with a one behind."""
+        own, *_, mean = self._attend(x.astype(np.intp), self.scoring)
+        mean += np.take(self.w["own"], own, axis=0)
+        _squash(mean)
+        hidden = np.ones((own.size, WIDTH + 1), mean.dtype)
+        hidden[:, :WIDTH] = mean.reshape(-1, WIDTH)
+        return hidden
 
     def score(self, x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each goal class (PAD: 0), and that of any class which begins a word."""
-        hidden = np.concatenate([self._hidden(x[at : at + CHUNK]) for at in range(0, len(x), CHUNK)])
+        hidden = self._hidden(x)
         logits = hidden @ self.w["group"]
         real, of, within, ends = _by_group(goal)
         e, total = _shares(logits)
@@ -321,19 +349,10 @@ class Attention:
         w = self.w
         flat = np.zeros(_SIZE, self.flat.dtype)
         out = _named(flat)
-        x = x.astype(np.intp)
-        own = x[:, WINDOW - STEP :]
-        pair = own[:, :, None] * SYMBOLS + x[:, None, :]
-        one, place = self.tables()
+        ids, x = x, x.astype(np.intp)
+        own, pair, met, sums, values, mean = self._attend(x, self.tables())
         hidden = np.take(w["own"], own, axis=0)
-        heads = []
-        for h in range(HEADS):
-            p, v = np.take(one[h].ravel(), pair, mode="clip"), np.take(w["value"][h], x, axis=0)
-            p *= place[h]
-            p *= 1.0 / (p @ np.ones((WINDOW, 1), p.dtype) + p.dtype.type(1e-20))
-            mean = p @ v
-            hidden[:, :, h * PART : (h + 1) * PART] += mean
-            heads.append((p, v, mean))
+        hidden += mean
         _squash(hidden)
         real, of, within, ends = _by_group(goal)
         rows = np.ones((len(real), WIDTH + 1), hidden.dtype)
@@ -360,21 +379,21 @@ class Attention:
         inner = np.zeros((own.size, WIDTH), hidden.dtype)
         inner[real] = back
 
-        def spread(ids: np.ndarray, grown: np.ndarray) -> np.ndarray:
-            # a column at a time, which takes no place for each number
-            return np.stack([np.bincount(ids.ravel(), c, SYMBOLS) for c in grown.reshape(ids.size, -1).T], axis=1)
-
-        out["own"][:] = spread(own, inner)
-        inner, pair = inner.reshape(hidden.shape), pair.ravel()
-        for h, (p, v, mean) in enumerate(heads):
-            d = inner[:, :, h * PART : (h + 1) * PART]
+        out["own"][:] = _summed(ids[:, WINDOW - STEP :], inner)
+        inner = inner.reshape(*own.shape, HEADS, PART)
+        inner /= sums
+        moved = np.einsum("bihk,bihk->bih", inner, mean.reshape(inner.shape))[..., None]
+        grown = np.empty((*x.shape, WIDTH), hidden.dtype)
+        for h, (p, v) in enumerate(zip(met, values)):
+            d = inner[:, :, h]
+            np.matmul(p.transpose(0, 2, 1), d, out=grown[:, :, h * PART : (h + 1) * PART])
             s = d @ v.transpose(0, 2, 1)
-            s -= np.einsum("bik,bik->bi", d, mean)[:, :, None]
+            s -= moved[:, :, h]
             s *= p
-            out["value"][h] = spread(x, p.transpose(0, 2, 1) @ d)
-            met = np.bincount(pair, s.ravel().astype(np.float64), SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS).astype(flat.dtype)
-            out["query"][h], out["key"][h] = met @ w["key"][h], met.T @ w["query"][h]
+            total = np.bincount(pair.ravel(), s.ravel(), SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS).astype(flat.dtype)
+            out["query"][h], out["key"][h] = total @ w["key"][h], total.T @ w["query"][h]
             out["place"][h] = np.bincount(np.maximum(_BEHIND, 0).ravel(), np.where(_BEHIND >= 0, s.sum(0), 0.0).ravel(), WINDOW)
+        out["value"][:] = _summed(ids, grown.reshape(-1, WIDTH)).reshape(SYMBOLS, HEADS, PART).transpose(1, 0, 2)
         return flat
 
     def train(self, x: np.ndarray, goal: np.ndarray, rate: float, moments: tuple | None = None) -> tuple:
@@ -438,6 +457,7 @@ def cut_texts(docs: DataFrame, subwords: Subwords) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         memory, tally, known = Memory(Subwords(shared.value)), np.zeros(0, np.int64), 0
         blank = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
         key_kind = None
@@ -516,6 +536,7 @@ def train(texts: DataFrame, classes: Classes, words: int) -> Attention:
 
         def local(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
             # a task holds the windows of MIXED documents
+            keep_freed()
             total, trained, now = np.zeros(_SIZE, np.int64), 0, None
             waiting: list[np.ndarray] = []
 
@@ -598,6 +619,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_end = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         begins, classes, weights, names, times = shared.value
         model, end = Model(classes, Attention(weights)), len(begins) - 1
         for batch in batches:
